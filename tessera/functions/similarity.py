@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -98,7 +99,7 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def _pairwise(measure, empty: float | None = 0.0):
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([empty if empty is not None and not (x and y) else measure(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 

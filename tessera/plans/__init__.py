@@ -1 +1 @@
-"""Entity resolution and record linkage as Spark DataFrames."""
+"""Registered queries over the operators."""
