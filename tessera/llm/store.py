@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera import ship
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -29,6 +31,7 @@ class Workspace:
     """A folder of one operator run: ``keep`` writes a table, ``drop`` removes it."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
         self._serial = 0
