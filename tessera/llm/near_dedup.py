@@ -2,10 +2,14 @@
 
 Documents are sets of distinct 5-word shingles.  240 MinHash samples give 40 bands
 of 6 rows: two sets at the threshold of 0.85 share no band once in 10**8 pairs.
-The samples are also folded into an odd sketch, a bitmap of 1,024 parities: a
-sample in which two sets differ flips at most two bits of the XOR of their sketches,
-so a population count above twice the greatest plausible number of differing
-samples (once in 10**9 at the threshold) rules a pair out.  All other candidate
+
+Candidates are checked on odd sketches: the shingles of smallest hash (bottom MinHash
+samples, all below a threshold that leaves 512 to 1,024 of them, or the whole set if it
+is smaller) flip one parity each in a bitmap of 1,024 bits.  The population count of the
+XOR of two sketches is at most the number of samples in which the sets differ, and near
+it as long as the sets are similar - so it tells similarities of 0.8 from 0.85, where
+240 equal-or-not samples would not.  A pair is ruled out when its count exceeds what a
+link allows: exactly for whole sets, at odds of 10**-9 for samples.  All other candidate
 pairs are confirmed on the full sets.
 
 No bucket is turned into all its pairs.  Equal sets are one class.  In each bucket a
@@ -25,8 +29,6 @@ copies; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -44,7 +46,10 @@ PERCENT = 85
 BANDS, ROWS = 40, 6
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
-PIVOT_ROUNDS = 3
+SKETCH_WORDS = SKETCH_BITS // 64
+#: Samples a sketch holds at most, in expectation.
+SKETCH_SAMPLES = 1024
+PIVOT_ROUNDS = 2
 #: Rows of a block when the rest of a bucket is compared in blocks.
 BLOCK_ROWS = 256
 
@@ -53,19 +58,6 @@ _FACTORS = (mix64(np.arange(1, SAMPLES + 1, dtype=_U)) >> _U(32)).astype(np.uint
 _OFFSETS = (mix64(np.arange(1001, SAMPLES + 1001, dtype=_U)) >> _U(32)).astype(np.uint32)
 
 
-def _greatest_difference(probability: float = 1e-9) -> int:
-    """Differing samples that a pair at the threshold exceeds with that probability."""
-    p, tail, k = 1 - PERCENT / 100, 0.0, SAMPLES
-    while k and tail + math.comb(SAMPLES, k) * p**k * (1 - p) ** (SAMPLES - k) <= probability:
-        tail += math.comb(SAMPLES, k) * p**k * (1 - p) ** (SAMPLES - k)
-        k -= 1
-    return k
-
-
-#: Sketches that differ in more bits than this cannot belong to a link.
-MAX_FLIPS = 2 * _greatest_difference()
-
-
 def samples(shingles: np.ndarray) -> np.ndarray:
     """The MinHash samples of a set of shingle hashes."""
     x = (shingles >> _U(32)).astype(np.uint32)
@@ -77,11 +69,41 @@ def samples(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def odd_sketch(sampled: np.ndarray) -> np.ndarray:
-    """Parities of the (sample number, value) pairs, as 64-bit words."""
-    slot = mix64(sampled.astype(_U) + (np.arange(SAMPLES, dtype=_U) << _U(32))) % _U(SKETCH_BITS)
-    parity = np.bincount(slot.astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(_U)
+def sketch_level(size) -> np.ndarray:
+    """Halvings that leave at most SKETCH_SAMPLES of so many shingles."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / SKETCH_SAMPLES))).astype(np.int64)
+
+
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmaps, as 64-bit words, of the samples of the set's level and of the next.
+
+    Sets that can be linked differ by one level at most, so two of them always have
+    a level in common.
+    """
+    level = int(sketch_level(len(shingles)))
+    out = np.zeros((2, SKETCH_WORDS), _U)
+    for k in range(2):
+        kept = shingles[: np.searchsorted(shingles, _U(1) << _U(64 - level - k))] if level + k else shingles
+        parity = np.bincount((kept % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+        out[k] = np.packbits(parity.astype(np.uint8)).view(_U)
+    return out
+
+
+def may_link(size_a, sketch_a, size_b, sketch_b) -> np.ndarray:
+    """Whether sketches (rows of two levels) of sets of such sizes allow a link.
+
+    PERCENT * union <= 100 * intersection means that the sets differ in at most
+    (100 - PERCENT) * (sum of sizes) / (100 + PERCENT) shingles; of samples, at
+    most seven standard deviations more than their share of these.
+    """
+    level_a, level_b = sketch_level(size_a), sketch_level(size_b)
+    level = np.maximum(level_a, level_b)
+    most = (100 - PERCENT) * (size_a + size_b) // (100 + PERCENT)
+    share = most / 2.0**level
+    most = np.where(level == 0, most, share + 7 * np.sqrt(share) + 10)
+    rows = np.arange(len(sketch_a))
+    one, two = sketch_a[rows, np.minimum(level - level_a, 1)], sketch_b[rows, np.minimum(level - level_b, 1)]
+    return (np.bitwise_count(one ^ two).sum(axis=1) <= most) & (np.abs(level_a - level_b) <= 1)
 
 
 def band_keys(sampled: np.ndarray) -> np.ndarray:
@@ -118,7 +140,7 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                     sampled = samples(s)
                     hi.append(a)
                     lo.append(b)
-                    sketch.append(odd_sketch(sampled).tobytes())
+                    sketch.append(odd_sketch(s).tobytes())
                     bands.append(band_keys(sampled).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -128,18 +150,23 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, sketch binary, bands array<long>")
 
 
+def _unpacked(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, 2, SKETCH_WORDS)
+
+
 def _pass_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) whose odd sketches allow a link."""
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for k in (2, 3))
-            near = np.bitwise_count(a ^ b).sum(axis=1) <= MAX_FLIPS
+            sizes = [batch.column(k).to_numpy() for k in (2, 4)]
+            packed = [_unpacked(batch.column(k).to_pylist()) for k in (3, 5)]
+            near = may_link(sizes[0], packed[0], sizes[1], packed[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
-    one = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a"))
-    two = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "sketch_a", "sketch_b")
+    one = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    two = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -181,12 +208,14 @@ def _block_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     labels whose sketches allow a link, compared in pairs of blocks."""
 
     def compare(group):
-        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group), -1)
-        ids, labels, block, weight = (group[name].to_numpy() for name in ("doc_id", "label", "block", "weight"))
-        one = np.flatnonzero(block == group["left"].iloc[0])
-        two = np.flatnonzero(block == group["right"].iloc[0])
-        found = [(i, j) for i in one for j in two[(np.bitwise_count(sketch[two] ^ sketch[i]).sum(axis=1) <= MAX_FLIPS) & (labels[two] != labels[i])]]
-        out = [(ids[i], ids[j]) if (weight[i], -ids[i]) < (weight[j], -ids[j]) else (ids[j], ids[i]) for i, j in found]
+        sketch = _unpacked(group["sketch"])
+        ids, labels, block, weight, size = (group[name].to_numpy() for name in ("doc_id", "label", "block", "weight", "n_shingles"))
+        one, two = (np.flatnonzero(block == group[side].iloc[0]) for side in ("left", "right"))
+        out = []
+        for i in one:
+            other = two[labels[two] != labels[i]]
+            near = other[may_link(np.full(len(other), size[i]), np.broadcast_to(sketch[i], (len(other), *sketch[i].shape)), size[other], sketch[other])]
+            out += [(ids[i], ids[j]) if (weight[i], -ids[i]) < (weight[j], -ids[j]) else (ids[j], ids[i]) for j in near]
         return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype="int64")
 
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n_blocks"))
@@ -202,8 +231,8 @@ def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", tex
     signed = work.keep(signatures(docs), "signatures")
     classes = work.keep(signed.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     leading = classes.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id"))
-    reps = work.keep(signed.filter("n_shingles > 0").join(leading, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "sketch", "bands"), "representatives")
-    sketches = reps.select("doc_id", "sketch")
+    reps = work.keep(signed.filter("n_shingles > 0").join(leading, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch", "bands"), "representatives")
+    sketches = reps.select("doc_id", "n_shingles", "sketch")
 
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = work.keep(rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
