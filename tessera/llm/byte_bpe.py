@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.caching import GenerationCache
+
 #: Pieces kept per generation of a worker's cache; two generations are kept.
 CACHE_PIECES = 300_000
 
@@ -36,26 +38,33 @@ class PairTree:
     """Leftmost minimum over positions; leaves hold rank * size + position."""
 
     def __init__(self, ranks: list[int | None]):
-        self.size = 1 << max(0, (len(ranks) - 1).bit_length())
-        self.none = 1 << 62
-        leaves = [self.none if r is None else r * self.size + i for i, r in enumerate(ranks)]
-        self.node = [self.none] * self.size + leaves + [self.none] * (self.size - len(leaves))
-        for i in range(self.size - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
+        n = len(ranks)
+        self.size = size = 1 << max(0, (n - 1).bit_length())
+        self.none = none = 1 << 62
+        node = [none] * size
+        node += [none if r is None else r * size + i for i, r in enumerate(ranks)]
+        node += [none] * (size - n)
+        for i in range(size - 1, 0, -1):
+            a, b = node[2 * i], node[2 * i + 1]
+            node[i] = a if a < b else b
+        self.node = node
 
     def first(self) -> int | None:
         """Position of the leftmost pair of minimum rank."""
-        return None if self.node[1] >= self.none else self.node[1] % self.size
+        low = self.node[1]
+        return None if low >= self.none else low & (self.size - 1)
 
     def put(self, at: int, rank: int | None) -> None:
         node, i = self.node, self.size + at
         node[i] = self.none if rank is None else rank * self.size + at
         while i > 1:
             i >>= 1
-            low = min(node[2 * i], node[2 * i + 1])
-            if node[i] == low:
+            a, b = node[2 * i], node[2 * i + 1]
+            if b < a:
+                a = b
+            if node[i] == a:
                 return
-            node[i] = low
+            node[i] = a
 
 
 class ByteBpe:
@@ -66,9 +75,12 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         self.longest = max(map(len, ranks), default=0)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.text_of = {rank: str(rank) for rank in self.bytes_of}
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}  # the generation before
+        #: piece -> its ids, and the ids as decimal text
+        self.pieces = GenerationCache(self._piece, CACHE_PIECES)
+
+    def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
+        ids = tuple(self.merge(piece.encode()))
+        return ids, ",".join(map(str, ids))
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -101,16 +113,13 @@ class ByteBpe:
             i = end[i]
         return out
 
+    def encode_with_text(self, text: str) -> tuple[list[int], str]:
+        """The ids of a text, and the ids as decimal text joined by commas."""
+        found = list(map(self.pieces.__getitem__, self.split(text)))
+        return list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])
+
     def encode(self, text: str) -> list[int]:
-        pieces = self.split(text)
-        missing = set(pieces).difference(self.cache)
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_PIECES:
-                self.older, self.cache, missing = self.cache, {}, set(pieces)
-            older = self.older
-            for piece in missing:
-                self.cache[piece] = older.get(piece) or tuple(self.merge(piece.encode()))
-        return list(chain.from_iterable(map(self.cache.__getitem__, pieces)))
+        return list(chain.from_iterable([f[0] for f in map(self.pieces.__getitem__, self.split(text))]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -157,13 +166,12 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_column: str
 
     def run(batches):
         bpe = codec(path, pattern)
-        text_of = bpe.text_of.__getitem__
         for batch in batches:
             counts, sums, back = [], [], []
             for text in batch.column(1):
-                ids = bpe.encode(text.as_py() or "")
+                ids, digits = bpe.encode_with_text(text.as_py() or "")
                 counts.append(len(ids))
-                sums.append(hashlib.sha256(",".join(map(text_of, ids)).encode()).hexdigest())
+                sums.append(hashlib.sha256(digits.encode()).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -26,11 +26,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.caching import GenerationCache
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Chunks kept per generation of a worker's cache; two generations are kept.
 CACHE_CHUNKS = 300_000
 
+_PARTS = regex.compile(f"{MARK}[^{MARK}]*").findall
 _WORDS = regex.compile(r"\P{White_Space}+").findall
 
 
@@ -50,36 +53,45 @@ class UnigramCounter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((score for _, score in vocabulary), default=0.0) - UNKNOWN_PENALTY
-        self.cache: dict[bytes, tuple[int, int]] = {}
-        self.older: dict[bytes, tuple[int, int]] = {}
+        #: chunk -> pieces, and unknown characters above bit 40
+        self.chunks = GenerationCache(lambda c: (n := self.chunk(c.decode()))[0] | n[1] << 40, CACHE_CHUNKS)
 
     def word(self, word: str) -> tuple[int, int, float]:
         """(pieces, unknown characters, score) of the best path of a marked word."""
-        n = len(word)
-        score, pieces, unknown = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, match in self.automaton.iter(word):
-            matches[last + 1].append(match)
-        for end in range(1, n + 1):
-            best, single = None, False
-            for length, own in sorted(matches[end], reverse=True):  # the leftmost start first
-                single |= length == 1
-                got = own + score[end - length]
-                if best is None or got > best:
-                    best, pieces[end], unknown[end] = got, pieces[end - length] + 1, unknown[end - length]
-            if not single:
-                got = self.unknown + score[end - 1]
-                if best is None or got > best:
-                    best, pieces[end], unknown[end] = got, pieces[end - 1] + len(word[end - 1].encode()), unknown[end - 1] + 1
-            score[end] = best
-        return pieces[n], unknown[n], score[n]
+        n, none = len(word), float("-inf")
+        best, pieces, unknown = [0.0] + [none] * n, [0] * (n + 1), [0] * (n + 1)
+        done = 0  # ends up to here are settled
+        single = False
+        for last, (length, own) in self.automaton.iter(word):
+            end = last + 1
+            if end != done:
+                if done and not single:
+                    self._unknown(word, done, best, pieces, unknown)
+                for gap in range(done + 1, end):  # no match ends here
+                    self._unknown(word, gap, best, pieces, unknown)
+                done, single = end, False
+            start = end - length  # the leftmost start comes first
+            got = own + best[start]
+            if got > best[end]:
+                best[end], pieces[end], unknown[end] = got, pieces[start] + 1, unknown[start]
+            single |= length == 1
+        if done and not single:
+            self._unknown(word, done, best, pieces, unknown)
+        for gap in range(done + 1, n + 1):
+            self._unknown(word, gap, best, pieces, unknown)
+        return pieces[n], unknown[n], best[n]
+
+    def _unknown(self, word: str, end: int, best: list, pieces: list, unknown: list) -> None:
+        """The character before ``end`` as an unknown one, if that scores more."""
+        got = self.unknown + best[end - 1]
+        if got > best[end]:
+            best[end], pieces[end], unknown[end] = got, pieces[end - 1] + len(word[end - 1].encode()), unknown[end - 1] + 1
 
     def chunk(self, chunk: str) -> tuple[int, int]:
         pieces = unknown = 0
         for word in _WORDS(chunk):
-            marked = word if word.startswith(MARK) else MARK + word
             # the word mark always starts a word of its own
-            for part in regex.findall(f"{MARK}[^{MARK}]*", marked):
+            for part in _PARTS(word if word.startswith(MARK) else MARK + word):
                 a, b, _ = self.word(part)
                 pieces += a
                 unknown += b
@@ -87,15 +99,8 @@ class UnigramCounter:
 
     def text(self, text: bytes) -> tuple[int, int]:
         """(pieces, unknown characters) of a text."""
-        chunks = text.split()
-        missing = set(chunks).difference(self.cache)
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_CHUNKS:
-                self.older, self.cache, missing = self.cache, {}, set(chunks)
-            for c in missing:
-                self.cache[c] = self.older.get(c) or self.chunk(c.decode())
-        found = [self.cache[c] for c in chunks]
-        return sum(a for a, _ in found), sum(b for _, b in found)
+        total = sum(map(self.chunks.__getitem__, text.split()))
+        return total & (1 << 40) - 1, total >> 40
 
 
 _loaded: dict[str, UnigramCounter] = {}
