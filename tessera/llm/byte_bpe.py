@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.caching import GenerationCache
 
 #: Pieces kept per generation of a worker's cache; two generations are kept.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -31,7 +31,7 @@ from tessera.llm.caching import GenerationCache
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Chunks kept per generation of a worker's cache; two generations are kept.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 700_000
 
 _PARTS = regex.compile(f"{MARK}[^{MARK}]*").findall
 _WORDS = regex.compile(r"\P{White_Space}+").findall
