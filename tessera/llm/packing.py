@@ -111,11 +111,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_column
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).cast(pa.large_binary())):
-                ids = encode(text.as_py() or b"") + end
+            for i, ids in enumerate(encode(batch.column(1))):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append(i)

@@ -24,6 +24,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,9 +88,12 @@ class WaveletMatrix:
     @classmethod
     def build(cls, values: np.ndarray) -> "WaveletMatrix":
         values = np.asarray(values, np.uint32)
+        top = max(1, int(values.max(initial=0)).bit_length())
+        if top <= 16:
+            values = values.astype(np.uint16)
         planes = []
-        for level in range(max(1, int(values.max(initial=0)).bit_length()) - 1, -1, -1):
-            bits = (values >> np.uint32(level) & np.uint32(1)).astype(bool)
+        for level in range(top - 1, -1, -1):
+            bits = (values & values.dtype.type(1 << level)) != 0
             planes.append(Plane.build(bits))
             values = np.concatenate((values[~bits], values[bits]))
         return cls(len(values), planes)
@@ -135,23 +139,24 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All values: the planes are undone from the lowest bit upwards."""
-        values = np.zeros(self.n, np.uint32)
+        values = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level, (plane, zeros) in enumerate(reversed(list(zip(self.planes, self.zeros)))):
             bits = plane.bits()
             above = np.empty_like(values)
             above[~bits] = values[:zeros]
-            above[bits] = values[zeros:] | np.uint32(1 << level)
+            above[bits] = values[zeros:] | values.dtype.type(1 << level)
             values = above
-        return values
+        return values.astype(np.uint32)
 
 
 def write_shard(ids: list[int | None], lengths: list[int], values: np.ndarray) -> bytes:
     """The file of a shard: document ids, their lengths, and all token ids in turn."""
     matrix = WaveletMatrix.build(values)
     table = np.array([0 if i is None else i for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], "u1").tobytes() + np.array(lengths, "<u4").tobytes()
-    parts = [zlib.compress(table, 1)]
+    compress = zstandard.ZstdCompressor(level=1).compress
+    parts = [compress(table)]
     for plane in matrix.planes:
-        parts += [zlib.compress(plane.packed.tobytes(), 1), zlib.compress(plane.directory.tobytes(), 1)]
+        parts += [compress(plane.packed.tobytes()), compress(plane.directory.tobytes())]
     return MAGIC + struct.pack("<QII", len(values), len(ids), len(parts)) + struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
 
 
@@ -162,7 +167,8 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     n, docs, count = struct.unpack_from("<QII", data, 4)
     sizes = struct.unpack_from(f"<{count}I", data, 20)
     ends = np.cumsum((20 + 4 * count, *sizes))
-    parts = [zlib.decompress(data[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+    decompress = zstandard.ZstdDecompressor().decompress
+    parts = [decompress(data[a:b]) for a, b in zip(ends[:-1], ends[1:])]
     ids = np.frombuffer(parts[0], "<i8", docs).tolist()
     absent = np.frombuffer(parts[0], "u1", docs, 8 * docs)
     lengths = np.frombuffer(parts[0], "<u4", docs, 9 * docs)
@@ -175,7 +181,7 @@ def write_corpus(docs: DataFrame, tokenizer: str, work: Workspace, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer).encode_column, TaskContext.get().partitionId()
         ids, lengths, held, total, serial = [], [], [], 0, 0
 
         def close():
@@ -184,8 +190,8 @@ def write_corpus(docs: DataFrame, tokenizer: str, work: Workspace, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([serial], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "n_tokens", "data"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
-                got = encode(text.as_py() or b"") + end
+            for doc_id, got in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                got += end
                 ids.append(doc_id)
                 lengths.append(len(got) // 4)
                 held.append(got)

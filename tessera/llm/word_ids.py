@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 #: Chunks kept per generation of a worker's cache; two generations are kept.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 700_000
 
 #: No white space, controls or combining marks: composed already, one case rule.
 _PLAIN = regex.compile(r"[!-~¡-ʯ]+").fullmatch
@@ -29,8 +31,11 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class ChunkEncoder:
+class ChunkEncoder(dict):
+    """Chunk -> ids; a chunk that is missing is encoded and kept."""
+
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,48 +45,50 @@ class ChunkEncoder:
         self.special = tuple(t["content"] for t in spec["added_tokens"])
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
         self.letters = _byte_letters()
-        self.cache: dict[bytes, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.older: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _plain(self, chunk: str) -> bytes:
-        out = []
-        for word in self.split(chunk.lower()):
-            ids = self.words.get(word)
-            if ids is None:
-                letters = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
-                if len(self.words) >= CACHE_CHUNKS:
-                    self.words.clear()
-                self.words[word] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _fill(self, missing: list[bytes]) -> None:
-        others = []
-        for chunk in missing:
-            ids = self.older.get(chunk)
-            if ids is None:
-                text = chunk.decode()
-                if not _PLAIN(text) or any(s in text for s in self.special):
-                    others.append((chunk, text))
-                    continue
-                ids = self._plain(text)
-            self.cache[chunk] = ids
-        if others:
-            found = self.tokenizer.encode_batch([t for _, t in others], add_special_tokens=False)
-            for (chunk, _), got in zip(others, found):
-                self.cache[chunk] = np.array(got.ids, "<u4").tobytes()
+        self.words: dict[bytes, bytes] = {}
+
+    def _word(self, word: bytes) -> bytes:
+        """Ids of one lower-cased word, digit or run of marks."""
+        ids = self.words.get(word)
+        if ids is None:
+            letters = word.decode() if word.isascii() else "".join([self.letters[b] for b in word])
+            packed = self.packed
+            ids = b"".join([packed[t.id] for t in self.tokenizer.model.tokenize(letters)])
+            if len(self.words) >= CACHE_CHUNKS:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
+
+    def _encode(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters
+            return self._word(chunk.lower())
+        if chunk[-1] in b".,;:!?" and chunk[:-1].isalpha():
+            return self._word(chunk[:-1].lower()) + self._word(chunk[-1:])
+        text = chunk.decode()
+        if _PLAIN(text) and not any(s in text for s in self.special):
+            return b"".join([self._word(w.encode()) for w in self.split(text.lower())])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self._encode(chunk)
+        if len(self) >= CACHE_CHUNKS:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
 
     def encode(self, text: bytes) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
-        chunks = text.split()
-        missing = set(chunks).difference(self.cache)
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_CHUNKS:
-                self.older, self.cache, missing = self.cache, {}, set(chunks)
-            self._fill(list(missing))
-        return b"".join(map(self.cache.__getitem__, chunks))
+        return b"".join(map(self.__getitem__, text.split()))
+
+    def encode_column(self, column) -> Iterator[bytes]:
+        """``encode`` of every text of an Arrow string column (null: empty)."""
+        for text in column.cast(pa.large_binary()):
+            yield self.encode(text.as_py() or b"")
 
 
 _loaded: dict[str, ChunkEncoder] = {}
