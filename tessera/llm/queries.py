@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, and SQL for those that SQL can express.
+"""The registered queries of this subpackage; ``oracles`` has their SQL.
 
 Each query applies one operator with production parameters to its whole table.
 """
@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import byte_bpe, exact_dedup, mil_quality, near_dedup, packing, sharding, unigram_count, url_filter, wavelet, weak_rules
+from tessera.llm.oracles import ORACLE_SQL  # noqa: F401  (registered with the queries)
 from tessera.llm.store import Workspace
 
 
@@ -81,5 +82,3 @@ QUERIES = {
         op10_wavelet_output,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
