@@ -15,7 +15,7 @@ def _hex_number(digest: Column, digits: int) -> Column:
 
 def md5_fraction(key: Column, seed: str) -> Column:
     """A number in [0, 1) from the first 32 bits of md5(seed:key)."""
-    return (_hex_number(F.md5(F.concat(F.lit(f"{seed}:"), key)), 8) / F.lit(4294967296).cast("decimal(20,0)")).cast("double")
+    return _hex_number(F.md5(F.concat(F.lit(f"{seed}:"), key)), 8).cast("double") / 4294967296.0
 
 
 def split_label(key: Column, seed: str, fraction: float = 0.1) -> Column:

@@ -35,7 +35,7 @@ def read_truth_tsv(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).filter(~F.col("value").startswith("source1_entity_id\t"))
     parts = F.split("value", "\t", 2)
     line = lines.select(F.when(F.assert_true(F.size(parts) == 2, F.concat(F.lit("no tab in: "), "value")).isNull(), parts).alias("p"))
-    ids = F.filter(F.transform(F.split(F.col("p")[1], ","), F.trim), lambda x: F.length(x) > 0)
+    ids = F.filter(F.transform(F.split(F.col("p")[1], ","), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     return line.select(F.col("p")[0].alias("s1"), F.explode_outer(ids).alias("mid"))
 
 
