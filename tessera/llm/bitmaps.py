@@ -19,37 +19,39 @@ def _position(key: Column) -> Column:
 
 
 def key_bitmap(keys: DataFrame, column: str) -> DataFrame:
-    """(bitmap_bucket, bitmap_bits): one row per bucket of 32,768 bits in use."""
+    """(bitmap_bucket_, bitmap_bits_): one row per bucket of 32,768 bits in use."""
     at = keys.select(_position(F.col(column)).alias("at"))
-    return at.groupBy(F.bitmap_bucket_number("at").alias("bitmap_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap_bits"))
+    return at.groupBy(F.bitmap_bucket_number("at").alias("bitmap_bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap_bits_"))
 
 
 def with_hit(rows: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
-    """``rows`` with a boolean column ``bitmap_hit``: the key may be among the keys."""
+    """``rows`` with a boolean column ``bitmap_hit_``: the key may be among the keys."""
     at = _position(key)
     bit = F.bitmap_bit_position(at)
-    byte = F.hex(F.substring("bitmap_bits", F.call_function("shiftright", bit, F.lit(3)).cast("int") + 1, F.lit(1)))
+    byte = F.hex(F.substring("bitmap_bits_", F.call_function("shiftright", bit, F.lit(3)).cast("int") + 1, F.lit(1)))
     hit = F.coalesce(F.getbit(F.conv(byte, 16, 10).cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
     return (
-        rows.withColumn("bitmap_bucket", F.bitmap_bucket_number(at))
-        .join(F.broadcast(bitmap), "bitmap_bucket", "left")
-        .withColumn("bitmap_hit", hit)
-        .drop("bitmap_bucket", "bitmap_bits")
+        rows.withColumn("bitmap_bucket_", F.bitmap_bucket_number(at))
+        .join(F.broadcast(bitmap), "bitmap_bucket_", "left")
+        .withColumn("bitmap_hit_", hit)
+        .select(*rows.columns, "bitmap_hit_")
     )
 
 
-def anti_by_id(rows: DataFrame, dropped: DataFrame, id_column: str) -> DataFrame:
-    """Rows whose id is not in ``dropped``; only possible hits are shuffled.
+def anti_by_key(rows: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
+    """Rows whose key is not in ``dropped`` (one column); only possible hits are shuffled.
 
-    Rows with a null id stay.
+    A null key is not in any table.
     """
-    marked = with_hit(rows, F.col(id_column), key_bitmap(dropped, id_column))
-    sure = marked.filter(~F.col("bitmap_hit"))
-    maybe = marked.filter("bitmap_hit").join(dropped.select(id_column).distinct(), id_column, "left_anti").select(*marked.columns)
-    return sure.unionByName(maybe).select(*rows.columns)
+    (name,) = dropped.columns
+    marked = with_hit(rows, key, key_bitmap(dropped, name))
+    sure = marked.filter(~F.col("bitmap_hit_")).select(*rows.columns)
+    gone = dropped.select(F.col(name).alias("dropped_key_")).distinct()
+    maybe = marked.filter("bitmap_hit_").withColumn("row_key_", key).join(gone, F.col("row_key_") == F.col("dropped_key_"), "left_anti")
+    return sure.unionByName(maybe.select(*rows.columns))
 
 
 def semi_by_id(rows: DataFrame, wanted: DataFrame, id_column: str) -> DataFrame:
     """Rows whose id is in ``wanted``; only possible hits are shuffled."""
-    marked = with_hit(rows, F.col(id_column), key_bitmap(wanted, id_column)).filter("bitmap_hit")
+    marked = with_hit(rows, F.col(id_column), key_bitmap(wanted, id_column)).filter("bitmap_hit_")
     return marked.join(wanted.select(id_column), id_column, "left_semi").select(*rows.columns)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bitmaps import anti_by_id, key_bitmap, with_hit
+from tessera.llm.bitmaps import anti_by_key, key_bitmap, with_hit
 from tessera.llm.store import Workspace
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,7 +38,7 @@ def _exact_groups(docs, work, id_column, text_column, keep, content) -> tuple[Da
     hashed = _hashed(docs, id_column, text_column, content)
     narrow = work.keep(hashed.select("doc_id", "content", F.sha2("folded", 256).alias("text_sha256")), "hashes")
     repeated = work.keep(narrow.groupBy("content").count().filter("count > 1").select("content"), "repeated")
-    copies = with_hit(hashed, F.col("content"), key_bitmap(repeated, "content")).filter("bitmap_hit").drop("bitmap_hit")
+    copies = with_hit(hashed, F.col("content"), key_bitmap(repeated, "content")).filter("bitmap_hit_").drop("bitmap_hit_")
     by_bytes = copies.groupBy("content", "folded").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = work.keep(by_bytes.drop("folded"), "classes")
     clash = work.keep(classes.groupBy("content").count().filter("count > 1").select("content"), "clash")
@@ -64,14 +64,21 @@ def exact_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", te
     return _exact_groups(docs, work, id_column, text_column, keep, content)[0]
 
 
+def _row_key(id_column: str, sha256: Column) -> Column:
+    """What tells rows apart: the id (null as a value of its own) and the text."""
+    return F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.lit(":"), sha256)
+
+
 def deduplicate(docs: DataFrame, work: Workspace, id_column: str = "doc_id", text_column: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     groups, narrow = _exact_groups(docs, work, id_column, text_column, keep, F.md5)
-    dropped = work.keep(groups.filter("NOT kept").select(F.col("doc_id").alias(id_column)), "dropped")
-    kept = anti_by_id(docs, dropped, id_column)
-    again = work.keep(narrow.groupBy("doc_id", "content").count().filter("count > 1").select(F.col("doc_id").alias(id_column)), "again")
+    key = _row_key("doc_id", F.col("text_sha256"))
+    dropped = work.keep(groups.filter("NOT kept").select(key.alias("row_key")).distinct(), "dropped")
+    again = work.keep(narrow.groupBy(key.alias("row_key")).count().filter("count > 1").select("row_key"), "again")
+    own = _row_key(id_column, F.sha2(fold_ascii(F.col(text_column)), 256))
+    kept = anti_by_key(docs, own, dropped)
     if again.isEmpty():
         return kept
-    marked = with_hit(kept, F.coalesce(F.col(id_column).cast("string"), F.lit("")), key_bitmap(again.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("k")), "k"))
-    once = marked.filter("bitmap_hit").withColumn("folded", fold_ascii(F.col(text_column))).dropDuplicates([id_column, "folded"])
-    return marked.filter("NOT bitmap_hit").select(*docs.columns).unionByName(once.select(*docs.columns))
+    marked = with_hit(kept, own, key_bitmap(again, "row_key"))
+    once = marked.filter("bitmap_hit_").withColumn("row_key_", own).dropDuplicates(["row_key_"])
+    return marked.filter("NOT bitmap_hit_").select(*docs.columns).unionByName(once.select(*docs.columns))

@@ -23,8 +23,9 @@ no task holds a whole bucket.
 
 Defined results: null and empty texts and texts without a word have an empty set, no
 class and no link; a text of less than five words is one shingle; texts of any length
-are read whole; repeated rows are one class; null ids get no component but count as
-copies; an empty table gives an empty result; other columns are ignored.
+are read whole; repeated rows are one class (``deduplicate`` leaves them to exact
+dedup); rows with a null id belong to no class, have a null component and stay; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bitmaps import anti_by_id, semi_by_id
+from tessera.llm.bitmaps import anti_by_key, semi_by_id
 from tessera.llm.components import connected_components
 from tessera.llm.store import Workspace
 from tessera.llm.textscan import Words, blocks, mix64, shingle_sets
@@ -229,8 +230,8 @@ def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", tex
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     signed = work.keep(signatures(docs), "signatures")
-    classes = work.keep(signed.filter("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    leading = classes.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id"))
+    classes = work.keep(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    leading = classes.select(F.col("rep").alias("doc_id"))
     reps = work.keep(signed.filter("n_shingles > 0").join(leading, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch", "bands"), "representatives")
     sketches = reps.select("doc_id", "n_shingles", "sketch")
 
@@ -278,7 +279,7 @@ def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", tex
         grouped = classes.withColumn("component", F.lit(None).cast("long"))
     grouped = work.keep(grouped.filter("copies > 1 OR component IS NOT NULL").select("hi", "lo", F.coalesce("component", "rep").alias("component")), "groups")
     out = signed.select("doc_id", "n_shingles", "hi", "lo").join(grouped, ["hi", "lo"], "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
@@ -286,4 +287,4 @@ def deduplicate(docs: DataFrame, work: Workspace, id_column: str = "doc_id", tex
     """The rows of ``docs`` that stay, one document of each group, with all columns."""
     groups = near_groups(docs, work, id_column, text_column)
     dropped = work.keep(groups.filter("NOT kept").select(F.col("doc_id").cast(docs.schema[id_column].dataType).alias(id_column)), "dropped")
-    return anti_by_id(docs, dropped, id_column)
+    return anti_by_key(docs, F.col(id_column), dropped)
