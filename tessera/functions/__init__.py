@@ -1 +1 @@
-"""Entity resolution and record linkage as Spark DataFrames."""
+"""Column builders and Arrow UDFs."""

@@ -1 +1 @@
-"""Entity resolution and record linkage as Spark DataFrames."""
+"""DataFrame-to-DataFrame operators."""

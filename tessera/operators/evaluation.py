@@ -99,6 +99,12 @@ def bootstrap_interval(counts: DataFrame, value: Column, reps: int = 1000, seed:
     return counts.agg(F.avg(value).alias("mean")).crossJoin(interval)  # one row beside one row
 
 
+def paired_interval(a: DataFrame, b: DataFrame, value: Column, reps: int = 1000, seed: int = 42) -> DataFrame:
+    """mean, low, high of the difference b - a of an entity value, entity by entity."""
+    both = a.select("s1", value.alias("va")).join(b.select("s1", value.alias("vb")), "s1")
+    return bootstrap_interval(both, F.col("vb") - F.col("va"), reps, seed)
+
+
 def entity_threshold_oracle(scored: DataFrame, universe: DataFrame) -> DataFrame:
     """Per s1 the best F0.5 that any score cut gives; equal scores are not split."""
     per = Window.partitionBy("s1").orderBy(F.desc("score"))
@@ -158,6 +164,33 @@ def output_audit(sets: DataFrame, accepted: DataFrame) -> DataFrame:
     )
 
 
+def feature_audit(features: DataFrame, candidates: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows, null and NaN values, duplicate pairs, and pairs added to or missing from the candidates."""
+    doubles = [c for c, kind in features.dtypes if c in columns and kind in ("double", "float")]
+    nulls = sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0))
+    nans = sum((F.count_if(F.isnan(c)) for c in doubles), F.lit(0))
+    side = features.select("s1", "mid").distinct().withColumn("f", F.lit(1)).join(candidates.select("s1", "mid").distinct().withColumn("c", F.lit(1)), ["s1", "mid"], "full")
+    sizes = features.agg(F.count("*").alias("rows"), nulls.cast("long").alias("nulls"), nans.cast("long").alias("nans"), (F.count("*") - F.count_distinct("s1", "mid")).alias("duplicates"))
+    return sizes.crossJoin(side.agg(F.count_if(F.col("c").isNull()).alias("added"), F.count_if(F.col("f").isNull()).alias("missing")))  # one row beside one row
+
+
+def submission_check(sets: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
+    """Violations of the rules for submitted sets (s1, matched): one row, all 0 if valid."""
+    lists = sets.withColumn("ids", F.filter(F.split("matched", ","), lambda x: F.length(x) > 0))
+    rows = lists.join(s1.select("s1", F.lit(1).alias("known")), "s1", "left")
+    whole = rows.agg(
+        F.count("*").alias("rows"),
+        (F.count("*") - F.count_distinct("s1")).alias("repeated_s1"),
+        F.count_if(F.col("known").isNull()).alias("unknown_s1"),
+        F.count_if(F.size("ids") != F.size(F.array_distinct("ids"))).alias("repeated_ids"),
+        F.count_if(F.col("ids") != F.array_sort("ids")).alias("unsorted"),
+        F.count_if(F.exists("ids", lambda x: ~x.rlike("^S[23]-"))).alias("bad_prefix"),
+    )
+    ids = lists.select(F.explode("ids").alias("mid")).join(targets.select("mid"), "mid", "left_anti").agg(F.count("*").alias("unknown_ids"))
+    absent = s1.select("s1").join(sets.select("s1"), "s1", "left_anti").agg(F.count("*").alias("absent_s1"))
+    return whole.crossJoin(ids).crossJoin(absent)  # one row each
+
+
 def feature_parity(a: DataFrame, b: DataFrame, columns: list[str], tolerance: float = 1e-9) -> DataFrame:
     """feature, differing: rows of two feature tables that differ, null-safe."""
     both = a.select("s1", "mid", *(F.col(c).alias(f"x_{c}") for c in columns)).join(b.select("s1", "mid", *(F.col(c).alias(f"y_{c}") for c in columns)), ["s1", "mid"], "full")

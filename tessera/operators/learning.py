@@ -84,3 +84,20 @@ def chosen_threshold(models: list, summaries: DataFrame, columns: list[str], thr
     for name, t in reversed(list(zip(names, thresholds))):
         pick = F.when(F.col(name) == best, t).otherwise(pick)
     return rows.select("s1", pick.alias("threshold"))
+
+
+def simplest_within(results: list[tuple[str, float, float]], margin: float = 0.001) -> str:
+    """Of (name, quality, cost) the cheapest that is within ``margin`` of the best quality."""
+    best = max(quality for _, quality, _ in results)
+    return min((r for r in results if r[1] >= best - margin), key=lambda r: (r[2], -r[1], r[0]))[0]
+
+
+def early_stop(qualities: list[float], patience: int = 3) -> int:
+    """The round to keep when quality (macro F0.5 of a round) no longer rises."""
+    best = 0
+    for i, quality in enumerate(qualities):
+        if quality > qualities[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best

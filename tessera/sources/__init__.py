@@ -1 +1 @@
-"""Entity resolution and record linkage as Spark DataFrames."""
+"""Readers and writers of record, truth and set files."""
