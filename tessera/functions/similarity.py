@@ -7,24 +7,32 @@ longest common subsequence is bit-parallel, so a pair costs one pass over one st
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def lcs_length(a: str, b: str) -> int:
-    if len(a) > len(b):
-        a, b = b, a
+def _masks(text: str) -> dict[str, int]:
+    """Of each character the bits of its places."""
     masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
+    for i, ch in enumerate(text):
         masks[ch] = masks.get(ch, 0) | 1 << i
-    every = (1 << len(a)) - 1
-    row = every
-    for ch in b:
+    return masks
+
+
+def _lcs(masks: dict[str, int], length: int, other: str) -> int:
+    every = row = (1 << length) - 1
+    for ch in other:
         hit = row & masks.get(ch, 0)
         row = (row + hit | row - hit) & every
-    return len(a) - row.bit_count()
+    return length - row.bit_count()
+
+
+def lcs_length(a: str, b: str) -> int:
+    return _lcs(_masks(a), len(a), b)
 
 
 def indel(a: str, b: str) -> float:
@@ -38,10 +46,14 @@ def partial(a: str, b: str) -> float:
     n, best = len(short), 0.0
     if not n:
         return 1.0 if not long else 0.0
+    if short in long:
+        return 1.0
+    masks = _masks(short)
     for end in range(1, len(long) + n):
         window = long[max(0, end - n) : end]
-        if window and 2 * min(n, len(window)) / (n + len(window)) > best:
-            best = max(best, indel(short, window))
+        # a window that starts and ends with strangers is no better than its core
+        if window and (window[-1] in masks or window[0] in masks) and 2 * min(n, len(window)) / (n + len(window)) > best:
+            best = max(best, 2 * _lcs(masks, n, window) / (n + len(window)))
     return best
 
 
@@ -98,10 +110,25 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+#: Distinct pairs of strings whose result a worker keeps, per measure.
+KEPT_PAIRS = 50_000
+
+
+_remembered: dict = {}
+
+
+def _remember(measure):
+    """The measure with a bounded cache, one per process."""
+    if measure not in _remembered:
+        _remembered[measure] = lru_cache(maxsize=KEPT_PAIRS)(measure)
+    return _remembered[measure]
+
+
 def _pairwise(measure, empty: float | None = 0.0):
     @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([empty if empty is not None and not (x and y) else measure(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+        of = _remember(measure)
+        return pd.Series([empty if empty is not None and not (x and y) else of(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
 
     return run
 

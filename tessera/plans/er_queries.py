@@ -23,6 +23,7 @@ from tessera.operators import sampling as smp
 from tessera.operators import stats
 from tessera.operators.blocking import PASSES_SQL, SMALL
 from tessera.sources.records import RECORDS_SQL, derived_records
+from tessera.sources.scratch import kept
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,7 +84,7 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    k = keys(spark, sf_dir)
+    k = kept(keys(spark, sf_dir), "keys")  # every pass reads them
     return blk.queries_of(k), blk.targets_of(k)
 
 

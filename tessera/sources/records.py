@@ -63,7 +63,7 @@ def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     (words 1-8) is shared by records of one entity within a country.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ", 13)  # 12 words and the rest
     src = F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"))
     base = docs.select("doc_id", "lang", src.alias("src"), words.alias("w"))
     return base.select(

@@ -5,10 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder of ``spark.checkpoint.dir``; local if that is unset."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.gettempdir()
     return f"{shared.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet and read back: for tables that several passes read."""
+    path = scratch_path(df.sparkSession, name)
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
