@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 
 #: Chunks kept per generation of a worker's cache; two generations are kept.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 1_000_000
 
 #: No white space, controls or combining marks: composed already, one case rule.
 _PLAIN = regex.compile(r"[!-~¡-ʯ]+").fullmatch
@@ -40,6 +40,7 @@ class ChunkEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         with open(path) as lines:
             spec = json.load(lines)
         self.special = tuple(t["content"] for t in spec["added_tokens"])
@@ -55,15 +56,13 @@ class ChunkEncoder(dict):
         if ids is None:
             letters = word.decode() if word.isascii() else "".join([self.letters[b] for b in word])
             packed = self.packed
-            ids = b"".join([packed[t.id] for t in self.tokenizer.model.tokenize(letters)])
+            ids = b"".join([packed[t.id] for t in self.merge(letters)])
             if len(self.words) >= CACHE_CHUNKS:
                 self.words.clear()
             self.words[word] = ids
         return ids
 
     def _encode(self, chunk: bytes) -> bytes:
-        if chunk.isalpha():  # ASCII letters
-            return self._word(chunk.lower())
         if chunk[-1] in b".,;:!?" and chunk[:-1].isalpha():
             return self._word(chunk[:-1].lower()) + self._word(chunk[-1:])
         text = chunk.decode()
@@ -74,7 +73,8 @@ class ChunkEncoder(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
-            ids = self._encode(chunk)
+            # most chunks that are met for the first time are ASCII letters
+            ids = self._word(chunk.lower()) if chunk.isalpha() else self._encode(chunk)
         if len(self) >= CACHE_CHUNKS:
             self.older = dict(self)
             self.clear()
