@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.caching import GenerationCache
+from tessera.llm.caching import GenerationCache, owned
 
 #: Pieces kept per generation of a worker's cache; two generations are kept.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -125,14 +125,12 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_loaded: dict[tuple[str, str], ByteBpe] = {}
-
-
 def codec(path: str, pattern: str) -> ByteBpe:
     """The codec of a rank file, loaded once per process."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = ByteBpe(load_ranks(path), pattern)
-    return _loaded[path, pattern]
+    table = owned("bytes")
+    if (path, pattern) not in table:
+        table[path, pattern] = ByteBpe(load_ranks(path), pattern)
+    return table[path, pattern]
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 
 class GenerationCache(dict):
     """``cache[key]`` makes and keeps what is missing.
@@ -25,3 +29,24 @@ class GenerationCache(dict):
             self.clear()
         self[key] = value
         return value
+
+
+_tables: dict[str, dict] = {}
+
+
+def owned(name: str) -> dict:
+    """The process-wide table of one operator (codecs with their caches).
+
+    Python workers are reused from stage to stage; taking one operator's table drops
+    the others', so a worker holds the caches of one operator only.
+    """
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:  # hand what the operator before has freed back to the system
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+    return _tables[name]

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bitmaps import anti_by_key, semi_by_id
+from tessera.llm.caching import owned
 from tessera.llm.components import connected_components
 from tessera.llm.store import Workspace
 from tessera.llm.textscan import Words, blocks, mix64, shingle_sets
@@ -127,6 +128,7 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """doc_id, n_shingles, and for sets that are not empty digest (hi, lo), sketch and bands."""
 
     def run(batches):
+        owned("none")
         for batch in batches:
             for first, raw, offs in blocks(batch.column(1)):
                 words = Words(raw, offs)
@@ -159,6 +161,7 @@ def _pass_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) whose odd sketches allow a link."""
 
     def run(batches):
+        owned("none")
         for batch in batches:
             sizes = [batch.column(k).to_numpy() for k in (2, 4)]
             packed = [_unpacked(batch.column(k).to_pylist()) for k in (3, 5)]
@@ -184,6 +187,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
             yield from shingle_sets(words.hashes(fold_case=True), words.first, SHINGLE)
 
     def run(batches):
+        owned("none")
         pivots: dict[int, np.ndarray] = {}
         for batch in batches:
             links = []
@@ -209,6 +213,7 @@ def _block_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     labels whose sketches allow a link, compared in pairs of blocks."""
 
     def compare(group):
+        owned("none")
         sketch = _unpacked(group["sketch"])
         ids, labels, block, weight, size = (group[name].to_numpy() for name in ("doc_id", "label", "block", "weight", "n_shingles"))
         one, two = (np.flatnonzero(block == group[side].iloc[0]) for side in ("left", "right"))

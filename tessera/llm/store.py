@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera import ship
 
 _LOCAL: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,9 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        # Rows of documents are wide: a tenth of the usual number makes a batch.
+        if spark.conf.get(_BATCH) == "10000":
+            spark.conf.set(_BATCH, "1000")
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
         self._serial = 0
@@ -52,3 +56,8 @@ class Workspace:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._tessera_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def clear(self) -> None:
+        """Delete the folder, once the operator's result has been consumed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.caching import GenerationCache
+from tessera.llm.caching import GenerationCache, owned
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Chunks kept per generation of a worker's cache; two generations are kept.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 500_000
 
 _PARTS = regex.compile(f"{MARK}[^{MARK}]*").findall
 _WORDS = regex.compile(r"\P{White_Space}+").findall
@@ -103,14 +103,12 @@ class UnigramCounter:
         return total & (1 << 40) - 1, total >> 40
 
 
-_loaded: dict[str, UnigramCounter] = {}
-
-
 def counter(path: str) -> UnigramCounter:
     """The counter of a vocabulary file, loaded once per process."""
-    if path not in _loaded:
-        _loaded[path] = UnigramCounter(load_vocabulary(path))
-    return _loaded[path]
+    table = owned("unigrams")
+    if path not in table:
+        table[path] = UnigramCounter(load_vocabulary(path))
+    return table[path]
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.caching import owned
 from tessera.llm.store import Workspace
 from tessera.llm.textstats import STATS, text_stats
 
@@ -113,6 +114,7 @@ class VoteModel:
 
 def _stat_rows(id_column: str, text_column: str):
     def run(batches):
+        owned("none")
         for batch in batches:
             stats = text_stats(batch.column(1))
             yield pa.RecordBatch.from_arrays(
@@ -158,6 +160,7 @@ def keep_good(docs: DataFrame, work: Workspace, id_column: str = "doc_id", text_
     at = docs.columns.index(text_column)
 
     def run(batches):
+        owned("none")
         for batch in batches:
             stats = text_stats(batch.column(at))
             yield batch.filter(pa.array(~base_failed(stats) & stays[vote_pattern(stats)]))

@@ -117,9 +117,8 @@ def test_pack_awkward_rows(spark, tokenizer):
     assert packing.pack(documents(spark, []), WORDS, workspace(spark)).count() == 0
 
 
-def test_chunk_encoder_like_the_library(tokenizer, monkeypatch):
-    monkeypatch.setattr("tessera.llm.word_ids.CACHE_CHUNKS", 20)  # generations turn over
-    own = ChunkEncoder(WORDS)
+def test_chunk_encoder_like_the_library(tokenizer):
+    own = ChunkEncoder(WORDS, 20)  # generations turn over
     texts = [r[1] or "" for r in ROWS] + ["don't 'S it's x'll", "a\x0bb\x0cc", "é ́ é", "ǅ ß ẞ ΐ", "a.,b;c!!! ...", "１２ ½ x²", "<|startoftext|>", "İİ ı"]
     for text in texts * 2:
         assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
