@@ -26,28 +26,29 @@ def key_bitmap(keys: DataFrame, column: str) -> DataFrame:
 
 def with_hit(rows: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
     """``rows`` with a boolean column ``bitmap_hit_``: the key may be among the keys."""
-    at = _position(key)
+    at = F.col("bitmap_at_")
     bit = F.bitmap_bit_position(at)
     byte = F.hex(F.substring("bitmap_bits_", F.call_function("shiftright", bit, F.lit(3)).cast("int") + 1, F.lit(1)))
     hit = F.coalesce(F.getbit(F.conv(byte, 16, 10).cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
     return (
-        rows.withColumn("bitmap_bucket_", F.bitmap_bucket_number(at))
+        rows.withColumn("bitmap_at_", _position(key))
+        .withColumn("bitmap_bucket_", F.bitmap_bucket_number(at))
         .join(F.broadcast(bitmap), "bitmap_bucket_", "left")
         .withColumn("bitmap_hit_", hit)
         .select(*rows.columns, "bitmap_hit_")
     )
 
 
-def anti_by_key(rows: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
-    """Rows whose key is not in ``dropped`` (one column); only possible hits are shuffled.
+def anti_by_key(rows: DataFrame, probe: Column, key: Column, dropped: DataFrame) -> DataFrame:
+    """Rows whose key is not among those of ``dropped`` (columns ``probe_`` and ``key_``).
 
-    A null key is not in any table.
+    The bitmap is asked about the cheap probe, and only its hits are shuffled by the
+    key; rows with equal keys have equal probes.  Null keys and probes stay.
     """
-    (name,) = dropped.columns
-    marked = with_hit(rows, key, key_bitmap(dropped, name))
+    marked = with_hit(rows, probe, key_bitmap(dropped, "probe_"))
     sure = marked.filter(~F.col("bitmap_hit_")).select(*rows.columns)
-    gone = dropped.select(F.col(name).alias("dropped_key_")).distinct()
-    maybe = marked.filter("bitmap_hit_").withColumn("row_key_", key).join(gone, F.col("row_key_") == F.col("dropped_key_"), "left_anti")
+    gone = dropped.select("key_").distinct()
+    maybe = marked.filter("bitmap_hit_").withColumn("row_key_", key).join(gone, F.col("row_key_") == F.col("key_"), "left_anti")
     return sure.unionByName(maybe.select(*rows.columns))
 
 

@@ -64,21 +64,27 @@ def exact_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", te
     return _exact_groups(docs, work, id_column, text_column, keep, content)[0]
 
 
-def _row_key(id_column: str, sha256: Column) -> Column:
-    """What tells rows apart: the id (null as a value of its own) and the text."""
-    return F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.lit(":"), sha256)
-
-
 def deduplicate(docs: DataFrame, work: Workspace, id_column: str = "doc_id", text_column: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    A row is known by its id (null as a value of its own) and its text; only rows
+    whose id is among those to drop or repeated are looked at by text.
+    """
     groups, narrow = _exact_groups(docs, work, id_column, text_column, keep, F.md5)
-    key = _row_key("doc_id", F.col("text_sha256"))
-    dropped = work.keep(groups.filter("NOT kept").select(key.alias("row_key")).distinct(), "dropped")
-    again = work.keep(narrow.groupBy(key.alias("row_key")).count().filter("count > 1").select("row_key"), "again")
-    own = _row_key(id_column, F.sha2(fold_ascii(F.col(text_column)), 256))
-    kept = anti_by_key(docs, own, dropped)
+
+    def probe(column: str) -> Column:
+        return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+
+    def key(column: str, sha256: Column) -> Column:
+        return F.concat(probe(column), F.lit(":"), sha256)
+
+    own = key(id_column, F.sha2(fold_ascii(F.col(text_column)), 256))
+    rows = [probe("doc_id").alias("probe_"), key("doc_id", F.col("text_sha256")).alias("key_")]
+    dropped = work.keep(groups.filter("NOT kept").select(*rows), "dropped")
+    again = work.keep(narrow.groupBy(*rows).count().filter("count > 1").select("probe_", "key_"), "again")
+    kept = anti_by_key(docs, probe(id_column), own, dropped)
     if again.isEmpty():
         return kept
-    marked = with_hit(kept, own, key_bitmap(again, "row_key"))
+    marked = with_hit(kept, probe(id_column), key_bitmap(again, "probe_"))
     once = marked.filter("bitmap_hit_").withColumn("row_key_", own).dropDuplicates(["row_key_"])
     return marked.filter("NOT bitmap_hit_").select(*docs.columns).unionByName(once.select(*docs.columns))

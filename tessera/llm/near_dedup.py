@@ -291,5 +291,6 @@ def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", tex
 def deduplicate(docs: DataFrame, work: Workspace, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all columns."""
     groups = near_groups(docs, work, id_column, text_column)
-    dropped = work.keep(groups.filter("NOT kept").select(F.col("doc_id").cast(docs.schema[id_column].dataType).alias(id_column)), "dropped")
-    return anti_by_key(docs, F.col(id_column), dropped)
+    own = F.col("doc_id").cast(docs.schema[id_column].dataType)
+    dropped = work.keep(groups.filter("NOT kept").select(own.alias("probe_"), own.alias("key_")), "dropped")
+    return anti_by_key(docs, F.col(id_column), F.col(id_column), dropped)

@@ -163,7 +163,7 @@ def test_bitmap_has_no_false_negatives(spark):
     assert hit.join(wanted, "k", "left_semi").count() == wanted.count()
     assert hit.count() < 1.2 * wanted.count()
     assert semi_by_id(rows, wanted, "k").count() == wanted.count()
-    assert anti_by_key(rows, F.col("k"), wanted).count() == 5000 - wanted.count()
+    assert anti_by_key(rows, F.col("k"), F.col("k"), wanted.selectExpr("k AS probe_", "k AS key_")).count() == 5000 - wanted.count()
 
 
 @pytest.mark.parametrize("seed", [1, 2])
