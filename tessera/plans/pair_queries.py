@@ -379,11 +379,11 @@ def calibration_bins(spark, sf_dir):
 @query(
     FEATURES
     + """ SELECT s1, mid, round(1 / (1 + exp(-greatest(-40.0, least(40.0, 1.2 * ln(greatest(1e-6, least(score, 1 - 1e-6)) / (1 - greatest(1e-6, least(score, 1 - 1e-6)))) - 0.3)))), 6) AS platt,
-    round(CASE WHEN score < 0.1 THEN 0.05 WHEN score < 0.5 THEN 0.05 + (score - 0.1) * 0.25 / 0.4 WHEN score < 0.9 THEN 0.3 + (score - 0.5) * 0.6 / 0.4 ELSE 0.9 END, 6) AS monotone FROM sc"""
+    round(CASE WHEN score < 0.1 THEN 0.05 WHEN score < 0.5 THEN 0.05 + (score - 0.1) * 0.2623457 / 0.4 WHEN score < 0.9 THEN 0.3123457 + (score - 0.5) * 0.5876543 / 0.4 ELSE 0.9 END::DOUBLE, 6) AS monotone FROM sc"""
 )
 def calibrated_scores(spark, sf_dir):
     scored = scored_pairs(spark, sf_dir)[2]
-    return scored.select("s1", "mid", r6(dec.platt(F.col("score"), 1.2, -0.3), "platt"), r6(dec.interpolate(F.col("score"), [0.1, 0.5, 0.9], [0.05, 0.3, 0.9]), "monotone"))
+    return scored.select("s1", "mid", r6(dec.platt(F.col("score"), 1.2, -0.3), "platt"), r6(dec.interpolate(F.col("score"), [0.1, 0.5, 0.9], [0.05, 0.3123457, 0.9]), "monotone"))
 
 
 _SETS = FEATURES + ", acc AS (SELECT s1, mid, score FROM sc WHERE score >= 0.61)"
