@@ -32,8 +32,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    return near_dedup.deduplicate(docs, Workspace(spark, "stage-near"))
+    """Of each group of near duplicates (similarity 0.8) the document with the smallest id."""
+    return near_dedup.deduplicate(docs, Workspace(spark, "stage-near"), percent=80)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

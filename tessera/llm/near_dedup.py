@@ -1,7 +1,9 @@
 """MinHash near-duplicate detection with odd sketches.
 
-Documents are sets of distinct 5-word shingles.  240 MinHash samples give 40 bands
-of 6 rows: two sets at the threshold of 0.85 share no band once in 10**8 pairs.
+Documents are sets of distinct 5-word shingles; two are linked when their Jaccard
+similarity is at least a threshold in per cent.  240 MinHash samples give as many rows a
+band as let two sets at the threshold miss each other once in 10**8 pairs at most: 40
+bands of 6 rows at 85, 48 of 5 at 80.
 
 Candidates are checked on odd sketches: the shingles of smallest hash (bottom MinHash
 samples, all below a threshold that leaves 512 to 1,024 of them, or the whole set if it
@@ -43,10 +45,12 @@ from tessera.llm.store import Workspace
 from tessera.llm.textscan import Words, blocks, mix64, shingle_sets
 
 SHINGLE = 5
-#: Links have PERCENT * union <= 100 * intersection.
-PERCENT = 85
-BANDS, ROWS = 40, 6
-SAMPLES = BANDS * ROWS
+#: Links have percent * union <= 100 * intersection.  ``near_groups`` has op1's threshold
+#: unless told otherwise, ``deduplicate`` that of near duplicates in a corpus.
+GROUPS_PERCENT, DEDUP_PERCENT = 85, 80
+SAMPLES = 240
+#: Odds at which two sets at the threshold may share no band.
+MISSES = 1e-8
 SKETCH_BITS = 1024
 SKETCH_WORDS = SKETCH_BITS // 64
 #: Samples a sketch holds at most, in expectation.
@@ -91,16 +95,27 @@ def odd_sketch(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def may_link(size_a, sketch_a, size_b, sketch_b) -> np.ndarray:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows a band: the most rows that keep to MISSES at the threshold.
+
+    Below 50 per cent, linked sets could be two sketch levels apart.
+    """
+    if not 50 <= percent <= 100:
+        raise ValueError(f"a threshold of {percent} per cent is not within 50 to 100")
+    rows = max(r for r in range(1, 13) if (1 - (percent / 100) ** r) ** (SAMPLES // r) <= MISSES)
+    return SAMPLES // rows, rows
+
+
+def may_link(size_a, sketch_a, size_b, sketch_b, percent: int = DEDUP_PERCENT) -> np.ndarray:
     """Whether sketches (rows of two levels) of sets of such sizes allow a link.
 
-    PERCENT * union <= 100 * intersection means that the sets differ in at most
-    (100 - PERCENT) * (sum of sizes) / (100 + PERCENT) shingles; of samples, at
+    percent * union <= 100 * intersection means that the sets differ in at most
+    (100 - percent) * (sum of sizes) / (100 + percent) shingles; of samples, at
     most seven standard deviations more than their share of these.
     """
     level_a, level_b = sketch_level(size_a), sketch_level(size_b)
     level = np.maximum(level_a, level_b)
-    most = (100 - PERCENT) * (size_a + size_b) // (100 + PERCENT)
+    most = (100 - percent) * (size_a + size_b) // (100 + percent)
     share = most / 2.0**level
     most = np.where(level == 0, most, share + 7 * np.sqrt(share) + 10)
     rows = np.arange(len(sketch_a))
@@ -108,12 +123,12 @@ def may_link(size_a, sketch_a, size_b, sketch_b) -> np.ndarray:
     return (np.bitwise_count(one ^ two).sum(axis=1) <= most) & (np.abs(level_a - level_b) <= 1)
 
 
-def band_keys(sampled: np.ndarray) -> np.ndarray:
+def band_keys(sampled: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key of each band."""
-    rows = sampled.reshape(BANDS, ROWS).astype(_U)
-    keys = np.arange(BANDS, dtype=_U)
-    for k in range(ROWS):
-        keys = mix64(keys * _U(0x9E3779B97F4A7C15) + rows[:, k])
+    banded = sampled[: bands * rows].reshape(bands, rows).astype(_U)
+    keys = np.arange(bands, dtype=_U)
+    for k in range(rows):
+        keys = mix64(keys * _U(0x9E3779B97F4A7C15) + banded[:, k])
     return keys
 
 
@@ -124,8 +139,9 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return int((a.sum(dtype=_U) + n).view(np.int64)), int((b.sum(dtype=_U) ^ n).view(np.int64))
 
 
-def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, percent: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, and for sets that are not empty digest (hi, lo), sketch and bands."""
+    n_bands, n_rows = banding(percent)
 
     def run(batches):
         owned("none")
@@ -144,7 +160,7 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                     hi.append(a)
                     lo.append(b)
                     sketch.append(odd_sketch(s).tobytes())
-                    bands.append(band_keys(sampled).view(np.int64))
+                    bands.append(band_keys(sampled, n_bands, n_rows).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "hi", "lo", "sketch", "bands"],
@@ -157,7 +173,7 @@ def _unpacked(sketches) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint64).reshape(-1, 2, SKETCH_WORDS)
 
 
-def _pass_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _pass_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose odd sketches allow a link."""
 
     def run(batches):
@@ -165,7 +181,7 @@ def _pass_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         for batch in batches:
             sizes = [batch.column(k).to_numpy() for k in (2, 4)]
             packed = [_unpacked(batch.column(k).to_pylist()) for k in (3, 5)]
-            near = may_link(sizes[0], packed[0], sizes[1], packed[1])
+            near = may_link(sizes[0], packed[0], sizes[1], packed[1], percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
     one = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
@@ -174,7 +190,7 @@ def _pass_sketch(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
+def _confirm(pairs: DataFrame, docs: DataFrame, work: Workspace, percent: int) -> DataFrame:
     """The pairs (a, b) that are links on the full sets.
 
     Only texts of documents in a pair are shuffled.  A sort-merge join hands the
@@ -198,7 +214,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
                     pivots[b] = next(sets_of(batch.column(3).slice(i, 1)))
                 two = pivots[b]
                 common = len(np.intersect1d(one, two, assume_unique=True))
-                links.append(100 * common >= PERCENT * (len(one) + len(two) - common))
+                links.append(100 * common >= percent * (len(one) + len(two) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(links, pa.bool_()))
 
     ids = work.keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
@@ -208,7 +224,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+def _block_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of rows (key, doc_id, weight, label) of one key with different
     labels whose sketches allow a link, compared in pairs of blocks."""
 
@@ -220,7 +236,7 @@ def _block_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         out = []
         for i in one:
             other = two[labels[two] != labels[i]]
-            near = other[may_link(np.full(len(other), size[i]), np.broadcast_to(sketch[i], (len(other), *sketch[i].shape)), size[other], sketch[other])]
+            near = other[may_link(np.full(len(other), size[i]), np.broadcast_to(sketch[i], (len(other), *sketch[i].shape)), size[other], sketch[other], percent)]
             out += [(ids[i], ids[j]) if (weight[i], -ids[i]) < (weight[j], -ids[j]) else (ids[j], ids[i]) for j in near]
         return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype="int64")
 
@@ -231,10 +247,10 @@ def _block_pairs(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     return spread.join(sketches, "doc_id").groupBy("key", "left", "right").applyInPandas(compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", text_column: str = "text", percent: int = GROUPS_PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    signed = work.keep(signatures(docs), "signatures")
+    signed = work.keep(signatures(docs, percent), "signatures")
     classes = work.keep(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     leading = classes.select(F.col("rep").alias("doc_id"))
     reps = work.keep(signed.filter("n_shingles > 0").join(leading, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch", "bands"), "representatives")
@@ -255,8 +271,8 @@ def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", tex
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = work.keep(pairs, "pairs")
         tested.append(pairs)
-        near = work.keep(_pass_sketch(pairs, sketches), "near")
-        links.append(work.keep(_confirm(near, docs, work), "links"))
+        near = work.keep(_pass_sketch(pairs, sketches, percent), "near")
+        links.append(work.keep(_confirm(near, docs, work, percent), "links"))
         every = links[0]
         for more in links[1:]:
             every = every.unionByName(more)
@@ -275,7 +291,7 @@ def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", tex
         open_rows = work.keep(relabelled.join(unsettled, "key", "left_semi").select("key", "doc_id", "weight", "label"), "open")
     else:
         if not open_rows.isEmpty():
-            labels = test(_block_pairs(open_rows, sketches).distinct())
+            labels = test(_block_pairs(open_rows, sketches, percent).distinct())
 
     grouped = classes
     if labels is not None:
@@ -288,9 +304,9 @@ def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", tex
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, work: Workspace, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, work: Workspace, id_column: str = "doc_id", text_column: str = "text", percent: int = DEDUP_PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all columns."""
-    groups = near_groups(docs, work, id_column, text_column)
+    groups = near_groups(docs, work, id_column, text_column, percent)
     own = F.col("doc_id").cast(docs.schema[id_column].dataType)
     dropped = work.keep(groups.filter("NOT kept").select(own.alias("probe_"), own.alias("key_")), "dropped")
     return anti_by_key(docs, F.col(id_column), F.col(id_column), dropped)

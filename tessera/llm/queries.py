@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), Workspace(spark, "op1"))
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), Workspace(spark, "op1"), percent=85)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,43 @@ def test_near_deduplicate_keeps_columns(spark):
     assert {r["doc_id"] for r in kept.collect()} == {0, 1, 2, 3, 4, 5, 7, 8, 10, 12, 13, None} - ({7} if brute_components([(5, PROSE), (7, PROSE + "and then some")])[7][1] == 5 else set())
 
 
+def planted_near(seed, n, words, changed):
+    """Rows (id, text) and copies (1000 + id, text) with so many words changed; similarities of the pairs."""
+    rng = random.Random(seed)
+    rows, alike = [], []
+    for i in range(n):
+        one = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        two = list(one)
+        for at in rng.sample(range(0, words, 10), changed):
+            two[at] = f"c{rng.randrange(10**6)}"
+        rows += [(i, " ".join(one)), (1000 + i, " ".join(two))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        alike.append(len(a & b) / len(a | b))
+    return rows, alike
+
+
+def test_near_threshold_is_a_parameter(spark):
+    rows, alike = planted_near(6, 40, 240, 5)
+    assert all(0.80 <= x < 0.85 for x in alike)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = lambda out: {r["doc_id"] for r in out.collect()}
+    assert ids(near_dedup.deduplicate(df, workspace(spark))) == set(range(40))
+    assert ids(near_dedup.deduplicate(df, workspace(spark), percent=85)) == {r[0] for r in rows}
+    assert ids(near_dedup.near_groups(df, workspace(spark), percent=80).filter("kept")) == set(range(40))
+    below, alike = planted_near(7, 20, 240, 7)
+    assert all(0.70 < x < 0.80 for x in alike)
+    assert near_dedup.deduplicate(spark.createDataFrame(below, "doc_id long, text string"), workspace(spark)).count() == 40
+
+
+def test_bands_miss_no_more_at_a_lower_threshold():
+    assert near_dedup.banding(85) == (40, 6) and near_dedup.banding(80) == (48, 5)
+    for percent in (50, 70, 80, 85, 90, 100):
+        bands, rows = near_dedup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1e-8
+    with pytest.raises(ValueError):
+        near_dedup.banding(49)
+
+
 def brute_exact(rows):
     groups = defaultdict(list)
     for d, t in rows:

@@ -4,6 +4,7 @@ import __spark_entry__
 import corpus_pipeline
 from tessera.llm.oracles import ORACLE_SQL
 from tests.llm.cases import SCHEMA, cluttered, documents
+from tests.llm.test_dedup import planted_near
 from tests.llm.test_quality import junk, prose
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +56,14 @@ def test_stages(spark, tmp_path):
     assert set(kept["pack_sequences"]) == set(kept["near_duplicates"])
 
 
+def test_near_stage_drops_copies_between_080_and_085(spark, tmp_path):
+    rows, alike = planted_near(8, 30, 240, 5)
+    assert all(0.80 <= x < 0.85 for x in alike)
+    docs = documents(spark, [(i, text, "en", "s", 1) for i, text in rows])
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
+
+
 def test_stages_take_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = documents(spark, [])
