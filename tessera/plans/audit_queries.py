@@ -110,7 +110,7 @@ def paired_bootstrap(spark, sf_dir):
     """Interval of the gain in F0.5 of one threshold over another, S1 by S1."""
     s1, _, scored, truth = scored_pairs(spark, sf_dir)
     one, two = (ev.entity_counts(s1.select("s1", "cc"), truth, dec.accept(scored, t)) for t in (0.61, 0.5))
-    out = ev.paired_interval(one, two, ev.f05(), reps=200)
+    out = ev.paired_interval(one, two, ev.f05())
     return out.withColumns({c: F.round(c, 6) for c in out.columns})
 
 

@@ -503,7 +503,7 @@ def dist_quantiles(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    out = ev.bootstrap_interval(accepted_counts(spark, sf_dir)[4], ev.f05(), reps=200)
+    out = ev.bootstrap_interval(accepted_counts(spark, sf_dir)[4], ev.f05())
     return out.withColumns({c: F.round(c, 6) for c in out.columns})
 
 
