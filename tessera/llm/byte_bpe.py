@@ -4,7 +4,7 @@ A leaf holds the rank of the pair that starts at its position, and each node the
 leftmost minimum below it, so the next merge is read at the root and a merge
 updates the leaves of its two live neighbours in logarithmic time.  A piece of
 n bytes takes O(n log n) whatever its length; pieces are encoded once and kept
-in a bounded cache.
+in a cache bounded in bytes.
 
 Defined results: a null text is empty and has no ids; texts of any length are
 encoded whole; repeated rows encode alike; strings of special tokens are ordinary
@@ -22,10 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.caching import GenerationCache, owned
-
-#: Pieces kept per generation of a worker's cache; two generations are kept.
-CACHE_PIECES = 300_000
+from tessera.llm.caching import CACHE_BYTES, GenerationCache, owned
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -70,13 +67,13 @@ class PairTree:
 class ByteBpe:
     """Encoder and decoder for one table of ranks and one splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = CACHE_BYTES):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.longest = max(map(len, ranks), default=0)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         #: piece -> its ids, and the ids as decimal text
-        self.pieces = GenerationCache(self._piece, CACHE_PIECES)
+        self.pieces = GenerationCache(self._piece, limit, lambda piece, value: 200 + 4 * len(piece) + 36 * len(value[0]) + len(value[1]))
 
     def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
         ids = tuple(self.merge(piece.encode()))

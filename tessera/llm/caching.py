@@ -1,4 +1,4 @@
-"""A bounded cache of results per distinct key."""
+"""Caches of results per distinct key, bounded in bytes."""
 
 from __future__ import annotations
 
@@ -8,25 +8,39 @@ from collections.abc import Callable
 
 import pyarrow as pa
 
+#: Bytes that the caches of one Python worker may hold together, by default.
+CACHE_BYTES = 96 << 20
+#: Bytes of a dictionary's slot for one entry, growth included.
+SLOT_BYTES = 100
+
 
 class GenerationCache(dict):
-    """``cache[key]`` makes and keeps what is missing.
+    """``cache[key]`` makes and keeps what is missing, in at most ``limit`` bytes.
 
-    When ``limit`` keys are held they become the older generation, from which keys
-    still in use move back; so at most twice ``limit`` are held and rare ones go.
+    ``size`` tells the bytes of a key and its value.  When half the limit is held, what
+    is held becomes the older generation, from which keys still in use move back and
+    rare ones go.  An entry of more than a 64th of the limit is made anew every time.
     """
 
-    def __init__(self, make: Callable, limit: int):
+    def __init__(self, make: Callable, limit: int, size: Callable[[object, object], int]):
         super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
+        self.make, self.size, self.half, self.largest = make, size, limit // 2, limit // 64
+        self.older: dict = {}
+        self.held = 0
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.limit:
+        size = SLOT_BYTES + self.size(key, value)
+        if size > self.largest:
+            return value
+        if self.held + size > self.half:
+            self.older = {}
             self.older = dict(self)
             self.clear()
+            self.held = 0
+        self.held += size
         self[key] = value
         return value
 

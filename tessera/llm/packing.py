@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.caching import CACHE_BYTES
 from tessera.llm.sharding import BUCKET_ROWS, _ranked
 from tessera.llm.store import Workspace
-from tessera.llm.word_ids import CACHE_CHUNKS, encoder
+from tessera.llm.word_ids import encoder
 
 CAPACITY = 2048
 END_ID = 0
@@ -106,12 +107,12 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tup
     return runs, bins
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(tokenizer, cache_chunks).encode_column
+        encode = encoder(tokenizer, cache_bytes).encode_column
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encode(batch.column(1))):
@@ -132,9 +133,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer: str, work: Workspace, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, work: Workspace, capacity: int = CAPACITY, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = work.keep(token_pieces(docs, tokenizer, capacity, end_id, id_column, text_column, cache_chunks), "pieces")
+    pieces = work.keep(token_pieces(docs, tokenizer, capacity, end_id, id_column, text_column, cache_bytes), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs, _ = best_fit_decreasing(counts, capacity)
     runs.sort()

@@ -10,7 +10,7 @@ space and a word mark before each word:
 * a character that no single-character piece covers may be unknown, at the least
   score of the vocabulary less 10, and counts one piece per UTF-8 byte.
 
-Distinct chunks are counted once and kept in a bounded cache.
+Distinct chunks are counted once and kept in a cache bounded in bytes.
 
 Defined results: null, empty and blank texts have no pieces; texts are counted
 whole; repeated rows count alike; an empty table gives an empty result; other
@@ -26,13 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.caching import GenerationCache, owned
+from tessera.llm.caching import CACHE_BYTES, GenerationCache, owned
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Chunks kept per generation of a worker's cache; two generations are kept.
-CACHE_CHUNKS = 500_000
-
 _PARTS = regex.compile(f"{MARK}[^{MARK}]*").findall
 _WORDS = regex.compile(r"\P{White_Space}+").findall
 
@@ -46,7 +43,7 @@ def load_vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class UnigramCounter:
-    def __init__(self, vocabulary: list[tuple[str, float]]):
+    def __init__(self, vocabulary: list[tuple[str, float]], limit: int = CACHE_BYTES):
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
             if piece:
@@ -54,7 +51,7 @@ class UnigramCounter:
         self.automaton.make_automaton()
         self.unknown = min((score for _, score in vocabulary), default=0.0) - UNKNOWN_PENALTY
         #: chunk -> pieces, and unknown characters above bit 40
-        self.chunks = GenerationCache(lambda c: (n := self.chunk(c.decode()))[0] | n[1] << 40, CACHE_CHUNKS)
+        self.chunks = GenerationCache(lambda c: (n := self.chunk(c.decode()))[0] | n[1] << 40, limit, lambda chunk, _: 72 + len(chunk))
 
     def word(self, word: str) -> tuple[int, int, float]:
         """(pieces, unknown characters, score) of the best path of a marked word."""

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from tessera.llm import byte_bpe, unigram_count
+from tessera.llm.caching import GenerationCache
 from tests.llm.cases import ROWS, cluttered, documents
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -96,9 +97,8 @@ def test_encode_and_decode_columns(spark):
     assert all(bytes(r["data"]) == texts[r["doc_id"]].encode() for r in back) and len(back) == len(ROWS)
 
 
-def test_small_caches_change_nothing(reference, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 3)
-    own = byte_bpe.ByteBpe(byte_bpe.load_ranks(RANKS), PATTERN)
+def test_small_caches_change_nothing(reference):
+    own = byte_bpe.ByteBpe(byte_bpe.load_ranks(RANKS), PATTERN, 1 << 16)
     for text in ODD[:6] * 2:
         assert own.encode(text) == reference.encode_ordinary(text)
 
@@ -137,7 +137,23 @@ def test_unigram_query(spark):
     assert unigram_count.count_tokens(documents(spark, []), PIECES).count() == 0
 
 
-def test_unigram_text_of_arrow_column():
-    own = unigram_count.UnigramCounter([("<unk>", 0.0), ("▁a", -1.0), ("b", -2.0)])
-    assert own.text(b"a ab zz") == (1 + 2 + 4 + len("▁".encode()) - 1, 3) or own.text(b"") == (0, 0)
-    assert pa.array([None], pa.string()).null_count == 1
+def test_unigram_unknown_characters():
+    """Unknown characters count one piece per byte: the mark has three, z has one."""
+    own = unigram_count.UnigramCounter([("<unk>", 0.0), ("▁a", -1.0), ("b", -2.0)], 1 << 16)
+    assert own.text(b"a") == (1, 0) and own.text(b"ab") == (2, 0)
+    assert own.text(b"zz") == (3 + 1 + 1, 3)
+    assert own.text(b"a ab zz") == (1 + 2 + 5, 3)
+    assert own.text(b"") == own.text(b" \n") == (0, 0)
+
+
+def test_caches_keep_to_their_bytes():
+    made = []
+    cache = GenerationCache(lambda key: made.append(key) or key * 2, 100_000, lambda key, value: len(key) + len(value))
+    for i in range(5000):
+        assert cache[f"key {i}"] == f"key {i}" * 2
+        assert cache.held <= 50_000 and len(cache) + len(cache.older) <= 100_000 // 100
+    made.clear()
+    assert cache["key 4999"] and not made
+    assert cache["x" * 9000] == "x" * 18000 and "x" * 9000 not in cache
+    before = made.copy()
+    assert cache["x" * 9000] and made == before + ["x" * 9000]
