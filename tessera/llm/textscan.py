@@ -6,8 +6,6 @@ functions work on whole texts; null texts count as empty.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -19,6 +17,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Of each byte its number in a word, from 1; white space counts for nothing.
+_WORD_CODES = np.where(_SPACE, 0, np.arange(1, 257)).astype(np.uint16)
+_FOLDED_CODES = _WORD_CODES[LOWER]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,30 +32,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
-def _byte_codes() -> np.ndarray:
-    codes = mix64(np.arange(1, 257, dtype=_U) * _U(0xA0761D6478BD642F))
-    codes[_SPACE] = 0
-    return codes
-
-
-_BASE = 0x5851F42D4C957F2D
-_powers: dict[str, np.ndarray] = {}
+#: Primes and bases of the two fingerprints of ``run_hashes``.
+_FIELDS = (((1 << 31) - 1, 1_103_515_245), ((1 << 31) - 19, 1_812_433_253 % ((1 << 31) - 19)))
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
+def _power_tables(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo a prime."""
+    if prime not in _powers or len(_powers[prime][0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            table = np.ones(size, _U)
-            filled = 1
+        tables = []
+        for root in (base, pow(base, -1, prime)):
+            table, filled = np.ones(size, _U), 1
             while filled < size:
                 step = min(filled, size - filled)
-                table[filled : filled + step] = table[:step] * _U(pow(base, filled, 1 << 64))
+                table[filled : filled + step] = table[:step] * _U(pow(root, filled, prime)) % _U(prime)
                 filled += step
-            _powers[key] = table
-    return _powers["up"][:n], _powers["down"][:n]
+            tables.append(table)
+        _powers[prime] = tables[0], tables[1]
+    up, down = _powers[prime]
+    return up[:n], down[:n]
+
+
+def run_hashes(codes: np.ndarray, starts: np.ndarray, limit: int = BLOCK_BYTES) -> np.ndarray:
+    """A 64-bit hash of each run of ``codes`` from one of ``starts`` to the next.
+
+    Codes are numbers below 512, and 0 counts for nothing.  Two polynomial fingerprints modulo
+    primes are mixed: unlike those modulo a power of two, no pattern of letters makes
+    them meet for any base.  Long input is hashed in pieces of about ``limit`` codes.
+    """
+    out = np.zeros(len(starts), _U)
+    ends = np.append(starts[1:], len(codes))
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + limit, "right")))
+        begin, at = int(starts[first]), starts[first:last] - starts[first]
+        part = codes[begin : int(ends[last - 1])].astype(_U)
+        found = []
+        for prime, base in _FIELDS:
+            up, down = _power_tables(prime, base, len(part))
+            # a sum of less than 2**24 products of 9 and 31 bits cannot overflow
+            terms = part * up if len(part) < 1 << 24 else part * up % _U(prime)
+            found.append(np.add.reduceat(terms, at) % _U(prime) * down[at] % _U(prime))
+        out[first:last] = mix64(found[0] << _U(31) | found[1])
+        first = last
+    return out
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +120,7 @@ class Words:
 
     def hashes(self, fold_case: bool) -> np.ndarray:
         """A 64-bit hash of each word, equal for equal words everywhere."""
-        if not len(self.starts):
-            return np.zeros(0, _U)
-        codes = _byte_codes()
-        values = codes[LOWER[self.raw]] if fold_case else codes[self.raw]
-        up, down = _power_tables(len(self.raw))
-        values *= up
-        return mix64(np.add.reduceat(values, self.starts) * down[self.starts])
+        return run_hashes((_FOLDED_CODES if fold_case else _WORD_CODES)[self.raw], self.starts)
 
 
 def windows(words: np.ndarray, width: int) -> np.ndarray:

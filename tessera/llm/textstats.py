@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.textscan import Words, _byte_codes, _power_tables, blocks, mix64, windows
+from tessera.llm.textscan import Words, blocks, mix64, run_hashes, windows
 
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
@@ -13,6 +13,10 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\"'"]] = True
 
+#: Of each byte its number in a line; the line's end counts for nothing.
+_LINE_CODES = np.arange(1, 257, dtype=np.uint16)
+_LINE_CODES[10] = 0
+
 #: Names of the columns of ``text_stats``.
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_loud_words", "n_bang", "n_closed_lines", "n_distinct_words", "n_echo_words")
 
@@ -34,12 +38,7 @@ def _line_counts(w: Words, doc_of_byte_start: np.ndarray) -> tuple[np.ndarray, n
     starts = starts[starts < len(raw)]
     ends = np.append(starts[1:], len(raw))
     solid = np.concatenate(([0], np.cumsum(w.solid)))
-    codes = _byte_codes().copy()
-    codes[[9, 11, 12, 13, 32]] = mix64(np.array([301, 302, 303, 304, 305], _U))
-    values = codes[raw]
-    up, down = _power_tables(len(raw))
-    values *= up
-    hashes = mix64(np.add.reduceat(values, starts) * down[starts])
+    hashes = run_hashes(_LINE_CODES[raw], starts)
     doc = np.searchsorted(offs, starts, "right") - 1
     worded = solid[ends] > solid[starts]
     doc, hashes, starts, ends = doc[worded], hashes[worded], starts[worded], ends[worded]
