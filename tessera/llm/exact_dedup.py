@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bitmaps import anti_by_key, key_bitmap, with_hit
+from tessera.llm.bitmaps import KeyBitmap, anti_by_key, columns_of, fresh, named, possible
 from tessera.llm.store import Workspace
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,17 +29,18 @@ def fold_ascii(text: Column) -> Column:
 
 
 def _hashed(docs: DataFrame, id_column: str, text_column: str, content) -> DataFrame:
-    folded = docs.select(F.col(id_column).alias("doc_id"), fold_ascii(F.col(text_column)).alias("folded"))
+    folded = docs.select(named(id_column).alias("doc_id"), fold_ascii(named(text_column)).alias("folded"))
     return folded.withColumn("content", content(F.col("folded")))
 
 
 def _exact_groups(docs, work, id_column, text_column, keep, content) -> tuple[DataFrame, DataFrame]:
-    best = {"largest": F.max, "smallest": F.min}[keep]
+    # a null id is below every id
+    best = {"largest": F.max("doc_id"), "smallest": F.when(~F.max(F.col("doc_id").isNull()), F.min("doc_id"))}[keep]
     hashed = _hashed(docs, id_column, text_column, content)
     narrow = work.keep(hashed.select("doc_id", "content", F.sha2("folded", 256).alias("text_sha256")), "hashes")
     repeated = work.keep(narrow.groupBy("content").count().filter("count > 1").select("content"), "repeated")
-    copies = with_hit(hashed, F.col("content"), key_bitmap(repeated, "content")).filter("bitmap_hit_").drop("bitmap_hit_")
-    by_bytes = copies.groupBy("content", "folded").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    copies = possible(hashed, F.col("content"), KeyBitmap(repeated, "content"))
+    by_bytes = copies.groupBy("content", "folded").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
     classes = work.keep(by_bytes.drop("folded"), "classes")
     clash = work.keep(classes.groupBy("content").count().filter("count > 1").select("content"), "clash")
 
@@ -73,18 +74,19 @@ def deduplicate(docs: DataFrame, work: Workspace, id_column: str = "doc_id", tex
     groups, narrow = _exact_groups(docs, work, id_column, text_column, keep, F.md5)
 
     def probe(column: str) -> Column:
-        return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+        return F.coalesce(F.concat(F.lit("="), named(column).cast("string")), F.lit(""))
 
     def key(column: str, sha256: Column) -> Column:
         return F.concat(probe(column), F.lit(":"), sha256)
 
-    own = key(id_column, F.sha2(fold_ascii(F.col(text_column)), 256))
-    rows = [probe("doc_id").alias("probe_"), key("doc_id", F.col("text_sha256")).alias("key_")]
+    own = key(id_column, F.sha2(fold_ascii(named(text_column)), 256))
+    rows = [probe("doc_id").alias("probe"), key("doc_id", F.col("text_sha256")).alias("key")]
     dropped = work.keep(groups.filter("NOT kept").select(*rows), "dropped")
-    again = work.keep(narrow.groupBy(*rows).count().filter("count > 1").select("probe_", "key_"), "again")
+    again = work.keep(narrow.groupBy(*rows).count().filter("count > 1").select("probe", "key"), "again")
     kept = anti_by_key(docs, probe(id_column), own, dropped)
     if again.isEmpty():
         return kept
-    marked = with_hit(kept, probe(id_column), key_bitmap(again, "probe_"))
-    once = marked.filter("bitmap_hit_").withColumn("row_key_", own).dropDuplicates(["row_key_"])
-    return marked.filter("NOT bitmap_hit_").select(*docs.columns).unionByName(once.select(*docs.columns))
+    marked, hit = KeyBitmap(again, "probe").mark(kept, probe(id_column))
+    (row_key,) = fresh(marked.columns, "row_key")
+    once = marked.filter(hit).withColumn(row_key, own).dropDuplicates([row_key])
+    return marked.filter(~hit).select(*columns_of(docs)).unionByName(once.select(*columns_of(docs)))

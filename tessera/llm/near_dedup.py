@@ -14,6 +14,9 @@ it as long as the sets are similar - so it tells similarities of 0.8 from 0.85,
 link allows: exactly for whole sets, at odds of 10**-9 for samples.  All other candidate
 pairs are confirmed on the full sets.
 
+Hashes only find candidates.  Links are confirmed on the words themselves, and texts
+that differ are one class only after their shingles, written out, have the same SHA-256.
+
 No bucket is turned into all its pairs.  Equal sets are one class.  In each bucket a
 pivot (the member that shares most buckets, which is the original rather than an
 edit of it) is compared with all others; components then show which buckets are
@@ -26,19 +29,23 @@ no task holds a whole bucket.
 Defined results: null and empty texts and texts without a word have an empty set, no
 class and no link; a text of less than five words is one shingle; texts of any length
 are read whole; repeated rows are one class (``deduplicate`` leaves them to exact
-dedup); rows with a null id belong to no class, have a null component and stay; an empty
-table gives an empty result; other columns are ignored.
+dedup); an id with several texts belongs to the class of each, row by row; rows with
+a null id belong to no class, have a null component and stay; an empty table gives an
+empty result; other columns are ignored, and ``deduplicate`` returns them untouched
+whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bitmaps import anti_by_key, semi_by_id
+from tessera.llm.bitmaps import anti_by_key, named, semi_by_id
 from tessera.llm.caching import owned
 from tessera.llm.components import connected_components
 from tessera.llm.store import Workspace
@@ -140,7 +147,7 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, percent: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, and for sets that are not empty digest (hi, lo), sketch and bands."""
+    """doc_id, n_shingles, and for sets that are not empty the text's SHA-256, digest (hi, lo), sketch and bands."""
     n_bands, n_rows = banding(percent)
 
     def run(batches):
@@ -149,12 +156,13 @@ def signatures(docs: DataFrame, percent: int, id_column: str = "doc_id", text_co
             for first, raw, offs in blocks(batch.column(1)):
                 words = Words(raw, offs)
                 sets = shingle_sets(words.hashes(fold_case=True), words.first, SHINGLE)
-                hi, lo, sketch, bands = [], [], [], []
-                for s in sets:
+                sha, hi, lo, sketch, bands = [], [], [], [], []
+                for i, s in enumerate(sets):
                     if not len(s):
-                        for column in (hi, lo, sketch, bands):
+                        for column in (sha, hi, lo, sketch, bands):
                             column.append(None)
                         continue
+                    sha.append(hashlib.sha256(raw[offs[i] : offs[i + 1]]).digest())
                     a, b = _digest(s)
                     sampled = samples(s)
                     hi.append(a)
@@ -162,11 +170,24 @@ def signatures(docs: DataFrame, percent: int, id_column: str = "doc_id", text_co
                     sketch.append(odd_sketch(s).tobytes())
                     bands.append(band_keys(sampled, n_bands, n_rows).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "hi", "lo", "sketch", "bands"],
+                    [batch.column(0).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sha, pa.binary()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "sha", "hi", "lo", "sketch", "bands"],
                 )
 
-    return docs.select(F.col(id_column).cast("long"), F.col(text_column)).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, sketch binary, bands array<long>")
+    return docs.select(named(id_column).cast("long"), named(text_column)).mapInArrow(run, "doc_id long, n_shingles long, sha binary, hi long, lo long, sketch binary, bands array<long>")
+
+
+def written_out(text: bytes) -> frozenset[tuple[bytes, ...]]:
+    """The shingles of a text as tuples of its words, about 150 bytes a word."""
+    words = text.lower().split()  # of bytes: A-Z and the same white space only
+    if len(words) < SHINGLE:
+        return frozenset([tuple(words)]) if words else frozenset()
+    return frozenset(zip(*(words[k:] for k in range(SHINGLE))))
+
+
+def _set_digest(shingles: frozenset[tuple[bytes, ...]]) -> bytes:
+    """SHA-256 of a set, written in order: no word holds a space or a line's end."""
+    return hashlib.sha256(b"\n".join(sorted(map(b" ".join, shingles)))).digest()
 
 
 def _unpacked(sketches) -> np.ndarray:
@@ -184,54 +205,69 @@ def _pass_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFra
             near = may_link(sizes[0], packed[0], sizes[1], packed[1], percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
-    one = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    two = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    one = sketches.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    two = sketches.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
     return both.mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, work: Workspace, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links on the full sets.
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (doc_id, sha, ...) with their texts; repeated rows of docs give one."""
+    hits = semi_by_id(docs, wanted, "doc_id").withColumn("sha", F.unhex(F.sha2("text", 256)))
+    return wanted.join(hits.dropDuplicates(["doc_id", "sha"]), ["doc_id", "sha"])
+
+
+def _exact_classes(variants: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
+    """(hi, lo, sha, exact): of different texts with one digest the SHA-256 of the set."""
+
+    def run(batches):
+        owned("none")
+        for batch in batches:
+            exact = [_set_digest(written_out(t.as_py())) for t in batch.column(3).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(exact, pa.binary())], ["hi", "lo", "sha", "exact"])
+
+    mixed = work.keep(variants.groupBy("hi", "lo").agg(F.count("*").alias("texts")).filter("texts > 1"), "mixed")
+    wanted = work.keep(variants.join(mixed, ["hi", "lo"], "left_semi").select("doc_id", "sha", "hi", "lo"), "mixed-texts")
+    return work.keep(_texts(docs, wanted).select("hi", "lo", "sha", "text").mapInArrow(run, "hi long, lo long, sha binary, exact binary"), "exact")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, work: Workspace, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links on the full sets, word by word.
 
     Only texts of documents in a pair are shuffled.  A sort-merge join hands the
     rows over sorted by the pivot b, so the set of a pivot is built once per task.
     """
 
-    def sets_of(column):
-        for _, raw, offs in blocks(column):
-            words = Words(raw, offs)
-            yield from shingle_sets(words.hashes(fold_case=True), words.first, SHINGLE)
-
     def run(batches):
         owned("none")
-        pivots: dict[int, np.ndarray] = {}
+        last, pivot = None, frozenset()
         for batch in batches:
+            one, two = (batch.column(k).cast(pa.large_binary()) for k in (2, 3))
             links = []
-            for i, (b, one) in enumerate(zip(batch.column(1).to_pylist(), sets_of(batch.column(2)))):
-                if b not in pivots:
-                    if len(pivots) >= 16:
-                        pivots.clear()
-                    pivots[b] = next(sets_of(batch.column(3).slice(i, 1)))
-                two = pivots[b]
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                links.append(100 * common >= percent * (len(one) + len(two) - common))
+            for i, b in enumerate(batch.column(1).to_pylist()):
+                if b != last:
+                    last, pivot = b, written_out(two[i].as_py())
+                other = written_out(one[i].as_py())
+                common = len(other & pivot)
+                links.append(100 * common >= percent * (len(other) + len(pivot) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(links, pa.bool_()))
 
-    ids = work.keep(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
-    texts = work.keep(semi_by_id(docs, ids, "doc_id").dropDuplicates(["doc_id"]), "pair-texts")
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = work.keep(nodes.join(ids, "node", "left_semi").select("node", "doc_id", "sha"), "pair-ids")
+    texts = work.keep(_texts(docs, wanted).select("node", "text"), "pair-texts")
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _block_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, doc_id, weight, label) of one key with different
+    """Pairs (a, b) of rows (key, node, weight, label) of one key with different
     labels whose sketches allow a link, compared in pairs of blocks."""
 
     def compare(group):
         owned("none")
         sketch = _unpacked(group["sketch"])
-        ids, labels, block, weight, size = (group[name].to_numpy() for name in ("doc_id", "label", "block", "weight", "n_shingles"))
+        ids, labels, block, weight, size = (group[name].to_numpy() for name in ("node", "label", "block", "weight", "n_shingles"))
         one, two = (np.flatnonzero(block == group[side].iloc[0]) for side in ("left", "right"))
         out = []
         for i in one:
@@ -241,26 +277,37 @@ def _block_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFram
         return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype="int64")
 
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n_blocks"))
-    placed = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
+    placed = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    spread = placed.withColumn("other", other).select("key", "doc_id", "weight", "label", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    return spread.join(sketches, "doc_id").groupBy("key", "left", "right").applyInPandas(compare, "a long, b long")
+    spread = placed.withColumn("other", other).select("key", "node", "weight", "label", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    return spread.join(sketches, "node").groupBy("key", "left", "right").applyInPandas(compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", text_column: str = "text", percent: int = GROUPS_PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    signed = work.keep(signatures(docs, percent), "signatures")
-    classes = work.keep(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    leading = classes.select(F.col("rep").alias("doc_id"))
-    reps = work.keep(signed.filter("n_shingles > 0").join(leading, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch", "bands"), "representatives")
-    sketches = reps.select("doc_id", "n_shingles", "sketch")
-
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
+def _grouped(docs: DataFrame, work: Workspace, id_column: str, text_column: str, percent: int) -> DataFrame:
+    """doc_id, sha, n_shingles, component_id and kept of every row.
+
+    A node is a class of equal sets, named by the first of its rows; documents come in
+    again at the end, as the least id of a component's classes.
+    """
+    docs = docs.select(named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text"))
+    signed = work.keep(signatures(docs, percent).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    variants = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo", "sha").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"))
+    variants = work.keep(variants, "variants")
+    exact = _exact_classes(variants, docs, work)
+    none = F.lit(b"")
+    variants = work.keep(variants.join(exact, ["hi", "lo", "sha"], "left").withColumn("exact", F.coalesce("exact", none)), "classed")
+    first = F.min(F.struct("row", "doc_id", "sha"))
+    classes = variants.groupBy("hi", "lo", "exact").agg(first.alias("first"), F.min("doc_id").alias("least"))
+    classes = work.keep(classes.select("hi", "lo", "exact", "least", F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.sha").alias("sha")), "classes")
+    nodes = classes.select("node", "doc_id", "sha")
+    reps = work.keep(signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "sketch", "bands"), "representatives")
+    sketches = reps.select("node", "n_shingles", "sketch")
+
+    rows = reps.select("node", F.explode("bands").alias("key"))
     shared = work.keep(rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
     member = work.keep(rows.join(shared, "key"), "members")
-    weight = work.keep(member.groupBy("doc_id").agg(F.sum("members").alias("weight")), "weights")
-    open_rows = work.keep(member.join(weight, "doc_id").select("key", "doc_id", "weight", F.col("doc_id").alias("label")), "open")
+    weight = work.keep(member.groupBy("node").agg(F.sum("members").alias("weight")), "weights")
+    open_rows = work.keep(member.join(weight, "node").select("key", "node", "weight", F.col("node").alias("label")), "open")
 
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
@@ -272,7 +319,7 @@ def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", tex
         pairs = work.keep(pairs, "pairs")
         tested.append(pairs)
         near = work.keep(_pass_sketch(pairs, sketches, percent), "near")
-        links.append(work.keep(_confirm(near, docs, work, percent), "links"))
+        links.append(work.keep(_confirm(near, docs, nodes, work, percent), "links"))
         every = links[0]
         for more in links[1:]:
             every = every.unionByName(more)
@@ -281,32 +328,45 @@ def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", tex
     for turn in range(PIVOT_ROUNDS):
         if open_rows.isEmpty():
             break
-        pivots = open_rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("order"), "label")).alias("top"))
+        pivots = open_rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("order"), "label")).alias("top"))
         pivots = work.keep(pivots.select("key", (-F.col("top.order")).alias("pivot"), F.col("top.label").alias("pivot_label")), "pivots")
-        against = work.keep(open_rows.join(pivots, "key").filter("doc_id <> pivot"), "against")
-        labels = test(against.filter("label <> pivot_label").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
-        relabelled = against.select("key", "doc_id", "weight").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+        against = work.keep(open_rows.join(pivots, "key").filter("node <> pivot"), "against")
+        labels = test(against.filter("label <> pivot_label").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+        relabelled = against.select("key", "node", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         relabelled = work.keep(relabelled, "relabelled")
         unsettled = work.keep(relabelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key"), "unsettled")
-        open_rows = work.keep(relabelled.join(unsettled, "key", "left_semi").select("key", "doc_id", "weight", "label"), "open")
+        open_rows = work.keep(relabelled.join(unsettled, "key", "left_semi").select("key", "node", "weight", "label"), "open")
     else:
         if not open_rows.isEmpty():
             labels = test(_block_pairs(open_rows, sketches, percent).distinct())
 
-    grouped = classes
-    if labels is not None:
-        grouped = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    if labels is None:
+        grouped = classes.withColumn("component", F.col("node"))
     else:
-        grouped = classes.withColumn("component", F.lit(None).cast("long"))
-    grouped = work.keep(grouped.filter("copies > 1 OR component IS NOT NULL").select("hi", "lo", F.coalesce("component", "rep").alias("component")), "groups")
-    out = signed.select("doc_id", "n_shingles", "hi", "lo").join(grouped, ["hi", "lo"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        grouped = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = work.keep(grouped.select("hi", "lo", "exact", "least", "component"), "grouped")
+    lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    # sets that one document alone has need no component
+    own = work.keep(grouped.join(lowest, "component").select("hi", "lo", "exact", "component_id"), "groups")
+    out = signed.select("doc_id", "sha", "n_shingles", "hi", "lo").join(variants.filter(F.col("exact") != none).select("hi", "lo", "sha", "exact"), ["hi", "lo", "sha"], "left").withColumn("exact", F.coalesce("exact", none))
+    out = out.join(own, ["hi", "lo", "exact"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "sha", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", text_column: str = "text", percent: int = GROUPS_PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    return _grouped(docs, work, id_column, text_column, percent).drop("sha")
 
 
 def deduplicate(docs: DataFrame, work: Workspace, id_column: str = "doc_id", text_column: str = "text", percent: int = DEDUP_PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, with all columns."""
-    groups = near_groups(docs, work, id_column, text_column, percent)
-    own = F.col("doc_id").cast(docs.schema[id_column].dataType)
-    dropped = work.keep(groups.filter("NOT kept").select(own.alias("probe_"), own.alias("key_")), "dropped")
-    return anti_by_key(docs, F.col(id_column), F.col(id_column), dropped)
+    """The rows of ``docs`` that stay, one document of each group, with all columns.
+
+    A row is known by its id and its text; only rows whose id is among those to drop
+    are looked at by text.
+    """
+    groups = _grouped(docs, work, id_column, text_column, percent)
+    probe = F.col("doc_id")
+    dropped = work.keep(groups.filter("NOT kept").select(probe.alias("probe"), F.concat(probe.cast("string"), F.lit(":"), F.lower(F.hex("sha"))).alias("key")), "dropped")
+    own = named(id_column).cast("long")
+    return anti_by_key(docs, own, F.concat(own.cast("string"), F.lit(":"), F.sha2(named(text_column), 256)), dropped)

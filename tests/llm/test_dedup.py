@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, near_dedup
-from tessera.llm.bitmaps import anti_by_key, key_bitmap, semi_by_id, with_hit
+from tessera.llm.bitmaps import KeyBitmap, anti_by_key, possible, semi_by_id
 from tessera.llm.components import connected_components
 from tests.llm.cases import PROSE, ROWS, as_set, cluttered, documents, workspace
 
@@ -106,6 +106,46 @@ def test_near_awkward_rows(spark):
     assert lonely[0]["component_id"] is None and lonely[0]["kept"]
 
 
+def twins(letters, doublings):
+    """Two words for which polynomial hashes modulo a power of two are equal."""
+    one = letters[0]
+    for _ in range(doublings):
+        one += one.translate(str.maketrans(letters, letters[::-1]))
+    return one, one.translate(str.maketrans(letters, letters[::-1]))
+
+
+def test_words_that_linear_hashes_confuse(spark):
+    rows = []
+    for k, doublings in enumerate((10, 11, 12)):
+        one, two = twins("ab", doublings)
+        rows += [(10 * k, one), (10 * k + 1, two), (10 * k + 2, f"p q r {one} s t"), (10 * k + 3, f"p q r {two} s t")]
+    check_near(spark, rows)
+
+
+def test_equal_digests_of_unlike_sets_are_no_class(spark, monkeypatch):
+    rows = [(i, f"one two three four {i % 3}") for i in range(6)] + [(9, "ONE two  three four 0")]
+    monkeypatch.setattr(near_dedup, "_digest", lambda shingles: (1, 2))
+    check_near(spark, rows)
+
+
+def test_confirmation_reads_words_not_hashes(spark, monkeypatch):
+    """With sketches that let all pairs pass, unlike texts of one bucket are still no link."""
+    monkeypatch.setattr(near_dedup, "may_link", lambda size_a, *rest: np.ones(len(size_a), bool))
+    check_near(spark, [(i, t) for i, t in enumerate(family(11, 40))])
+
+
+def test_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(200)) for x in "ab")
+    rows = [(10, a), (10, b), (11, a + " t"), (12, b + " t"), (13, "alone in the wide world")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = as_set(near_dedup.near_groups(df, workspace(spark)), "doc_id", "component_id", "kept")
+    assert got == [(10, 10, True), (10, 10, True), (11, 10, False), (12, 10, False), (13, 13, True)]
+    # a row goes by its own text, whatever else bears its id
+    rows = [(10, a), (12, a + " t"), (12, b)]
+    kept = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), workspace(spark))
+    assert as_set(kept, "doc_id", "text") == [(10, a), (12, b)]
+
+
 def test_near_empty_table(spark):
     assert near_dedup.near_groups(documents(spark, []), workspace(spark)).count() == 0
     assert near_dedup.deduplicate(documents(spark, []), workspace(spark)).count() == 0
@@ -168,6 +208,10 @@ def test_exact_groups(spark):
 
 def test_exact_groups_smallest(spark):
     rows = exact_dedup.exact_groups(documents(spark), workspace(spark), keep="smallest").collect()
+    # a null id is below every id
+    assert {r["keep_id"] for r in rows if r["doc_id"] in (5, 6, 11)} == {None}
+    assert [r["kept"] for r in rows if r["doc_id"] is None] == [True]
+    rows = exact_dedup.exact_groups(documents(spark, [r for r in ROWS if r[0] is not None]), workspace(spark), keep="smallest").collect()
     assert {r["keep_id"] for r in rows if r["doc_id"] in (5, 6, 11)} == {5}
 
 
@@ -196,11 +240,28 @@ def test_bitmap_has_no_false_negatives(spark):
     work = workspace(spark)
     rows = spark.range(5000).withColumnRenamed("id", "k")
     wanted = work.keep(rows.filter("k % 7 = 0"), "wanted")
-    hit = with_hit(rows, F.col("k"), key_bitmap(wanted, "k")).filter("bitmap_hit_")
+    hit = possible(rows, F.col("k"), KeyBitmap(wanted, "k"))
     assert hit.join(wanted, "k", "left_semi").count() == wanted.count()
     assert hit.count() < 1.2 * wanted.count()
+    full = possible(rows, F.col("k"), KeyBitmap(wanted, "k", bits=1 << 15))  # full bitmaps let more rows pass
+    assert full.join(wanted, "k", "left_semi").count() == wanted.count()
     assert semi_by_id(rows, wanted, "k").count() == wanted.count()
-    assert anti_by_key(rows, F.col("k"), F.col("k"), wanted.selectExpr("k AS probe_", "k AS key_")).count() == 5000 - wanted.count()
+    assert anti_by_key(rows, F.col("k"), F.col("k"), wanted.selectExpr("k AS probe", "k AS key")).count() == 5000 - wanted.count()
+
+
+#: Names that the helpers use for their own columns, and names that need quotes.
+INTERNAL = ("bitmap_at", "Bitmap_Bucket", "bitmap_bits", "BITMAP_HIT", "bitmap_hit_", "row_key", "gone_key", "key", "probe", "content", "sha", "a.b", "c`d")
+
+
+@pytest.mark.parametrize("operator", [exact_dedup.deduplicate, near_dedup.deduplicate])
+def test_columns_named_like_internal_ones_stay(spark, operator):
+    docs = documents(spark, [*ROWS, (5, "other " + PROSE, "en", "x", 1), (5, "other " + PROSE, "en", "x", 1)])
+    for name in INTERNAL:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    kept = operator(docs, workspace(spark))
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert rows and all(r[name] == f"{name}:{'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for name in INTERNAL)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
