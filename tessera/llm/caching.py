@@ -8,10 +8,11 @@ from collections.abc import Callable
 
 import pyarrow as pa
 
-#: Bytes that the caches of one Python worker may hold together, by default.
-CACHE_BYTES = 96 << 20
+#: Bytes that the caches of one Python worker may hold together, by default; entries are
+#: reckoned with some reserve, so about three quarters of it are used.
+CACHE_BYTES = 256 << 20
 #: Bytes of a dictionary's slot for one entry, growth included.
-SLOT_BYTES = 100
+SLOT_BYTES = 60
 
 
 class GenerationCache(dict):

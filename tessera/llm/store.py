@@ -1,12 +1,15 @@
 """Intermediate tables in the folder that driver and executors share.
 
 ``spark.checkpoint.dir`` names that folder on a cluster; a temporary folder is
-used only where the setting is empty (local tests).  A table written here cuts
-lineage and survives the loss of any executor.
+used only where the setting is empty and the master is local (tests), for on a
+cluster the executors could not see it.  A table written here cuts lineage and
+survives the loss of any executor.  Workspaces are removed by ``clear``, by ``clear_since``
+once a later table holds what they led to, and else when the driver's Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,10 +22,13 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or a temporary one if unset."""
+    """The folder of ``spark.checkpoint.dir``; if unset a temporary one, on a local master only."""
     configured = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return _LOCAL["dir"]
@@ -39,13 +45,14 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
         self._serial = 0
+        _OPEN.append(self)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, **options) -> DataFrame:
         """Write ``df`` as Parquet and read it back with its own schema."""
         self._serial += 1
         path = f"{self.root}/{self._serial:03d}-{name}"
         schema = df.schema
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").options(**{"compression": "zstd"} | options).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._tessera_path = path
         return out
@@ -61,3 +68,27 @@ class Workspace:
         """Delete the folder, once the operator's result has been consumed."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        if self in _OPEN:
+            _OPEN.remove(self)
+
+
+_OPEN: list[Workspace] = []
+
+
+def opened() -> list[Workspace]:
+    """The workspaces that have not been cleared."""
+    return list(_OPEN)
+
+
+def clear_since(before: list[Workspace]) -> None:
+    """Clear all workspaces but those of an earlier ``opened``."""
+    for work in opened():
+        if work not in before:
+            work.clear()
+
+
+@atexit.register
+def _clear_rest() -> None:
+    for work in opened():
+        if work.spark.sparkContext._jsc is not None:  # else the session has been stopped
+            work.clear()

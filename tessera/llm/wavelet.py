@@ -1,14 +1,16 @@
 """Token output as one wavelet matrix per shard.
 
 A shard file holds the ids of a run of documents as succinct bit planes (one per
-bit of the largest id), each with a rank directory, and the table of its documents.
-From the compressed bytes alone it gives the id at a place, counts and ranks of an
-id, the place of its k-th occurrence, and all ids of a document.
+bit of the largest id) and the table of its documents.  A plane is cut into blocks, each
+compressed with a rank directory of its own; the ones before every block stand in the
+file's head.  So the id at a place, counts and ranks of an id, the place of its k-th
+occurrence and the ids of a document inflate only the blocks that they touch.
 
-Documents are range-partitioned and sorted by id, so shards follow one another in
-ascending id order and the place of a document in the corpus is the sum of what
-stands before it.  Shards are written by Spark's own writer, one row a shard, which
-commits a task's files once however often the task is tried.
+Texts are encoded where they are read; only ids, packed, are range-partitioned and
+sorted by document, so shards follow one another in ascending id order and the place
+of a document in the corpus is the sum of what stands before it.  Each shard is one
+file of its own, written by Spark's writer, which commits a task's files once however
+often the task is tried.
 
 Defined results: a null or empty text is its end id alone; equal ids (repeated rows)
 follow one another in the order of their texts' hashes; null ids come first; very
@@ -29,54 +31,93 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.caching import CACHE_BYTES
 from tessera.llm.store import Workspace
 from tessera.llm.word_ids import encoder
 
-MAGIC = b"TWM1"
+MAGIC = b"TWM2"
 #: A shard is closed when it holds at least so many ids.
 SHARD_TOKENS = 1 << 20
-#: Bits per entry of the rank directory.
-RANK_BITS = 512
+#: Bits of a compressed block, and per entry of its rank directory.
+BLOCK_BITS, RANK_BITS = 1 << 16, 1 << 9
+CELLS = BLOCK_BITS // RANK_BITS
+#: Inflated blocks that a plane keeps for lookups.
+HELD_BLOCKS = 8
 END_ID = 2
 
-_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.uint8)
+_ONES = np.bitwise_count(np.arange(256, dtype=np.uint8))
 
 
 class Plane:
-    """A bit vector with constant-time rank and logarithmic select."""
+    """A bit vector in compressed blocks, with rank and select.
 
-    def __init__(self, n: int, packed: np.ndarray, directory: np.ndarray):
-        self.n, self.packed, self.directory = n, packed, directory
+    ``ones`` holds the ones before each block and, last, all ones.
+    """
+
+    def __init__(self, n: int, ones: np.ndarray, blocks: list):
+        self.n, self.ones, self.blocks = n, ones, blocks
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.inflated = 0
 
     @classmethod
     def build(cls, bits: np.ndarray) -> "Plane":
-        packed = np.packbits(bits)
-        step = RANK_BITS // 8
-        ones = np.add.reduceat(_ONES[packed], np.arange(0, len(packed), step), dtype=np.uint32) if len(packed) else np.zeros(0, np.uint32)
-        return cls(len(bits), packed, np.concatenate(([0], np.cumsum(ones))).astype("<u4"))
+        n, count = len(bits), -(-len(bits) // BLOCK_BITS)
+        packed = np.zeros(count * BLOCK_BITS // 8, np.uint8)
+        packed[: -(-n // 8)] = np.packbits(bits)
+        cells = np.bitwise_count(packed.view(np.uint64)).reshape(count, CELLS, -1).sum(axis=2, dtype=np.int64)
+        before = np.cumsum(cells, axis=1)
+        ones = np.concatenate(([0], np.cumsum(before[:, -1]))) if count else np.zeros(1, np.int64)
+        directory = np.concatenate((np.zeros((count, 1), np.int64), before[:, :-1]), axis=1).astype("<u2") if count else before
+        compress = zstandard.ZstdCompressor(level=1).compress
+        body = packed.reshape(count, -1)
+        return cls(n, ones.astype("<u4"), [compress(body[i].tobytes() + directory[i].tobytes()) for i in range(count)])
+
+    def _inflate(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """Packed bits and rank directory of a block."""
+        self.inflated += 1
+        data = zstandard.ZstdDecompressor().decompress(self.blocks[block])
+        return np.frombuffer(data, np.uint8, BLOCK_BITS // 8), np.frombuffer(data, "<u2", CELLS, BLOCK_BITS // 8)
+
+    def _block(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        found = self.held.get(block)
+        if found is None:
+            if len(self.held) >= HELD_BLOCKS:
+                self.held.pop(next(iter(self.held)))
+            found = self.held[block] = self._inflate(block)
+        return found
 
     def bits(self) -> np.ndarray:
-        return np.unpackbits(self.packed, count=self.n).view(bool)
+        if not self.blocks:
+            return np.zeros(0, bool)
+        return np.unpackbits(np.concatenate([self._inflate(i)[0] for i in range(len(self.blocks))]), count=self.n).view(bool)
 
     def get(self, i: int) -> int:
-        return int(self.packed[i >> 3]) >> (7 - (i & 7)) & 1
+        return int(self._block(i // BLOCK_BITS)[0][i % BLOCK_BITS >> 3]) >> (7 - (i & 7)) & 1
 
     def rank1(self, i: int) -> int:
         """Ones before place i."""
-        block = i // RANK_BITS
-        out = int(self.directory[block]) + int(_ONES[self.packed[block * RANK_BITS // 8 : i >> 3]].sum())
-        return out + (int(self.packed[i >> 3]) >> (8 - (i & 7))).bit_count() if i & 7 else out
+        block, inside = divmod(i, BLOCK_BITS)
+        if not inside:
+            return int(self.ones[block])
+        packed, directory = self._block(block)
+        cell = inside // RANK_BITS
+        out = int(self.ones[block]) + int(directory[cell]) + int(_ONES[packed[cell * RANK_BITS // 8 : inside >> 3]].sum())
+        return out + (int(packed[inside >> 3]) >> (8 - (inside & 7))).bit_count() if inside & 7 else out
 
     def rank(self, bit: int, i: int) -> int:
         return self.rank1(i) if bit else i - self.rank1(i)
 
     def select(self, bit: int, k: int) -> int:
         """Place of the k-th (from 0) such bit."""
-        at = np.arange(len(self.directory), dtype=np.int64) * RANK_BITS
-        before = self.directory.astype(np.int64) if bit else np.minimum(at, self.n) - self.directory
+        at = np.minimum(np.arange(len(self.ones), dtype=np.int64) * BLOCK_BITS, self.n)
+        before = self.ones.astype(np.int64) if bit else at - self.ones
         block = int(np.searchsorted(before, k, "right")) - 1
-        part = np.unpackbits(self.packed[block * RANK_BITS // 8 : (block + 1) * RANK_BITS // 8])[: self.n - block * RANK_BITS]
-        return block * RANK_BITS + int(np.flatnonzero(part == bit)[k - int(before[block])])
+        packed, directory = self._block(block)
+        k -= int(before[block])
+        ahead = directory.astype(np.int64) if bit else np.arange(CELLS) * RANK_BITS - directory
+        cell = int(np.searchsorted(ahead, k, "right")) - 1
+        part = np.unpackbits(packed[cell * RANK_BITS // 8 : (cell + 1) * RANK_BITS // 8])
+        return block * BLOCK_BITS + cell * RANK_BITS + int(np.flatnonzero(part == bit)[k - int(ahead[cell])])
 
 
 class WaveletMatrix:
@@ -87,20 +128,19 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, values: np.ndarray) -> "WaveletMatrix":
-        values = np.asarray(values, np.uint32)
+        values = np.asarray(values)
         top = max(1, int(values.max(initial=0)).bit_length())
-        if top <= 16:
-            values = values.astype(np.uint16)
+        values = values.astype(np.uint16 if top <= 16 else np.uint32, copy=False)
         planes = []
         for level in range(top - 1, -1, -1):
             bits = (values & values.dtype.type(1 << level)) != 0
             planes.append(Plane.build(bits))
-            values = np.concatenate((values[~bits], values[bits]))
+            values = np.concatenate((np.compress(~bits, values), np.compress(bits, values)))
         return cls(len(values), planes)
 
     @cached_property
     def zeros(self) -> list[int]:
-        return [p.n - int(p.directory[-1]) for p in self.planes]
+        return [p.n - int(p.ones[-1]) for p in self.planes]
 
     def access(self, i: int) -> int:
         out = 0
@@ -143,69 +183,92 @@ class WaveletMatrix:
         for level, (plane, zeros) in enumerate(reversed(list(zip(self.planes, self.zeros)))):
             bits = plane.bits()
             above = np.empty_like(values)
-            above[~bits] = values[:zeros]
-            above[bits] = values[zeros:] | values.dtype.type(1 << level)
+            above[np.flatnonzero(~bits)], above[np.flatnonzero(bits)] = values[:zeros], values[zeros:]
+            above |= bits.astype(values.dtype) << values.dtype.type(level)
             values = above
-        return values.astype(np.uint32)
+        return values.astype(np.uint32, copy=False)
 
 
 def write_shard(ids: list[int | None], lengths: list[int], values: np.ndarray) -> bytes:
-    """The file of a shard: document ids, their lengths, and all token ids in turn."""
-    matrix = WaveletMatrix.build(values)
+    """The file of a shard: document ids, their lengths, and all token ids in turn.
+
+    A head of four numbers (ids, documents, planes, bytes of the index), the
+    compressed index (document table, ones before each block, bytes of each block),
+    and the blocks of all planes from the highest bit down.
+    """
+    planes = WaveletMatrix.build(values).planes
     table = np.array([0 if i is None else i for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], "u1").tobytes() + np.array(lengths, "<u4").tobytes()
-    compress = zstandard.ZstdCompressor(level=1).compress
-    parts = [compress(table)]
-    for plane in matrix.planes:
-        parts += [compress(plane.packed.tobytes()), compress(plane.directory.tobytes())]
-    return MAGIC + struct.pack("<QII", len(values), len(ids), len(parts)) + struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
+    ones = b"".join(p.ones.tobytes() for p in planes)
+    sizes = np.array([len(b) for p in planes for b in p.blocks], "<u4").tobytes()
+    index = zstandard.ZstdCompressor(level=1).compress(table + ones + sizes)
+    return MAGIC + struct.pack("<QIII", len(values), len(ids), len(planes), len(index)) + index + b"".join(b for p in planes for b in p.blocks)
 
 
 def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """Document ids, their lengths and the matrix of a shard file."""
+    """Document ids, their lengths and the matrix of a shard file; no block is inflated."""
     if data[:4] != MAGIC:
         raise ValueError("not a shard file")
-    n, docs, count = struct.unpack_from("<QII", data, 4)
-    sizes = struct.unpack_from(f"<{count}I", data, 20)
-    ends = np.cumsum((20 + 4 * count, *sizes))
-    decompress = zstandard.ZstdDecompressor().decompress
-    parts = [decompress(data[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-    ids = np.frombuffer(parts[0], "<i8", docs).tolist()
-    absent = np.frombuffer(parts[0], "u1", docs, 8 * docs)
-    lengths = np.frombuffer(parts[0], "<u4", docs, 9 * docs)
-    planes = [Plane(n, np.frombuffer(a, np.uint8), np.frombuffer(b, "<u4")) for a, b in zip(parts[1::2], parts[2::2])]
+    n, docs, count, size = struct.unpack_from("<QIII", data, 4)
+    index = zstandard.ZstdDecompressor().decompress(data[24 : 24 + size])
+    ids = np.frombuffer(index, "<i8", docs).tolist()
+    absent = np.frombuffer(index, "u1", docs, 8 * docs)
+    lengths = np.frombuffer(index, "<u4", docs, 9 * docs)
+    per = -(-n // BLOCK_BITS)
+    ones = np.frombuffer(index, "<u4", count * (per + 1), 13 * docs).reshape(count, per + 1)
+    sizes = np.frombuffer(index, "<u4", count * per, 13 * docs + 4 * count * (per + 1))
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))) + 24 + size
+    body = memoryview(data)
+    blocks = [body[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    planes = [Plane(n, ones[k], blocks[k * per : (k + 1) * per]) for k in range(count)]
     return [None if a else i for i, a in zip(ids, absent)], lengths, WaveletMatrix(n, planes)
 
 
+def encoded_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """doc_id, tie (the text's hash) and ids, packed, of every row, each with its end id."""
+
+    def run(batches):
+        words = encoder(tokenizer, cache_bytes)
+        end = np.array([end_id], words.code).tobytes()
+        for batch in batches:
+            packed = [ids + end for ids in words.pack_column(batch.column(2))]
+            width = pa.array([int(words.code[2])] * len(packed), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), width, pa.array(packed, pa.binary())], ["doc_id", "tie", "width", "ids"])
+
+    text = F.col(text_column)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, "doc_id long, tie long, width int, ids binary")
+
+
 def write_corpus(docs: DataFrame, tokenizer: str, work: Workspace, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Write the shards; returns their table (part, shard, n_tokens, data) as reread."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, part = encoder(tokenizer).encode_column, TaskContext.get().partitionId()
-        ids, lengths, held, total, serial = [], [], [], 0, 0
+        part = TaskContext.get().partitionId()
+        ids, lengths, held, total, serial, width = [], [], [], 0, 0, 2
 
         def close():
-            values = np.frombuffer(b"".join(held), "<u4")
-            data = write_shard(ids, lengths, values)
+            data = write_shard(ids, lengths, np.frombuffer(b"".join(held), f"<u{width}"))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([serial], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "n_tokens", "data"])
 
         for batch in batches:
-            for doc_id, got in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
-                got += end
+            for doc_id, width, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 ids.append(doc_id)
-                lengths.append(len(got) // 4)
-                held.append(got)
-                total += len(got) // 4
+                lengths.append(len(own) // width)
+                held.append(own)
+                total += len(own) // width
                 if total >= shard_tokens:
                     yield close()
                     ids, lengths, held, total, serial = [], [], [], 0, serial + 1
         if ids:
             yield close()
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    tie = F.xxhash64("text")
-    ordered = rows.withColumn("tie", tie).repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
-    return work.keep(ordered.mapInArrow(run, "part int, shard int, n_tokens long, data binary"), "shards")
+    # Written first: the range partitioning reads its input twice, and no text is encoded twice.
+    encoded = work.keep(encoded_ids(docs, tokenizer, end_id, id_column, text_column), "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ordered = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "width", "ids")
+    # A record per file, not compressed again: the file is the shard.
+    shards = work.keep(ordered.mapInArrow(run, "part int, shard int, n_tokens long, data binary"), "shards", maxRecordsPerFile=1, compression="uncompressed")
+    work.drop(encoded)
+    return shards
 
 
 def read_corpus(shards: DataFrame) -> DataFrame:
@@ -215,7 +278,7 @@ def read_corpus(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 ids, lengths, matrix = read_shard(data.as_py())
-                raw = matrix.decode().astype("<u4").tobytes()
+                raw = matrix.decode().astype("<u4", copy=False).tobytes()
                 ends = np.cumsum(lengths, dtype=np.int64)
                 at = ends - lengths
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), ends.tolist())]

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import packing, sharding, wavelet
+from tessera.llm import packing, sharding, wavelet, word_ids
 from tessera.llm.word_ids import ChunkEncoder
 from tests.llm.cases import ROWS, cluttered, documents, workspace
 
@@ -118,12 +118,25 @@ def test_pack_awkward_rows(spark, tokenizer):
 
 
 def test_chunk_encoder_like_the_library(tokenizer):
-    own = ChunkEncoder(WORDS, 20)  # generations turn over
-    texts = [r[1] or "" for r in ROWS] + ["don't 'S it's x'll", "a\x0bb\x0cc", "é ́ é", "ǅ ß ẞ ΐ", "a.,b;c!!! ...", "１２ ½ x²", "<|startoftext|>", "İİ ı"]
+    own = ChunkEncoder(WORDS, 30_000)  # generations turn over
+    texts = [r[1] or "" for r in ROWS] + ["don't 'S it's x'll", "a\x0bb\x0cc", "é ́ é", "ǅ ß ẞ ΐ", "a.,b;c!!! ...", "１２ ½ x²", "<|startoftext|>", "İİ ı", "Ñandú, ÉTÉ. naïve× ª º ǰa ŉ ſs"]
     for text in texts * 2:
         assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts_are_encoded_in_blocks(tokenizer, monkeypatch):
+    own, text = ChunkEncoder(WORDS), " ".join(f"Wort{i}," for i in range(400)) + "x" * 300 + "\t\nz"
+    whole = tokenizer.encode(text, add_special_tokens=False).ids
+    for size in (1, 7, 100, 3000, 1 << 18):
+        monkeypatch.setattr(word_ids, "BLOCK_BYTES", size)
+        assert np.frombuffer(own.encode(text.encode()), "<u4").tolist() == whole
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n, high in ((0, 1), (1, 1), (9, 3), (700, 40), (3000, 50000), (1500, 1 << 20)):
@@ -144,6 +157,28 @@ def test_wavelet_matrix():
         wavelet.read_shard(b"none")
 
 
+def test_lookups_inflate_only_the_blocks_they_touch():
+    rng = np.random.default_rng(2)
+    n = 10 * wavelet.BLOCK_BITS + 77
+    values = rng.integers(0, 1 << 10, n).astype(np.uint16)
+    matrix = wavelet.read_shard(wavelet.write_shard([1], [n], values))[2]
+    assert not any(p.inflated for p in matrix.planes) and len(matrix.planes[0].blocks) == 11
+    assert matrix.access(n // 2) == values[n // 2]
+    assert all(p.inflated <= 2 for p in matrix.planes)
+    token = int(values[5])
+    places = np.flatnonzero(values == token)
+    assert matrix.count(token) == len(places)
+    assert [matrix.select(token, k) for k in (0, 7, len(places) - 1)] == [places[0], places[7], places[-1]]
+    assert all(p.inflated <= 9 for p in matrix.planes)
+
+
+def test_a_shard_is_a_file(spark):
+    df = spark.createDataFrame([(i, f"river {i} stone") for i in range(200)], "doc_id long, text string")
+    shards = wavelet.write_corpus(df, WORDS, workspace(spark), shard_tokens=100)
+    files = shards.selectExpr("_metadata.file_path AS file", "part", "shard").collect()
+    assert len(files) > 5 and len({r["file"] for r in files}) == len(files)
+
+
 def test_corpus_round_trip(spark, tokenizer):
     rng = random.Random(2)
     texts = {i * 3: " ".join(rng.choice(["river", "stone", "x9!"]) for _ in range(rng.randint(0, 80))) for i in range(120)}
