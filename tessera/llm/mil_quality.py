@@ -53,7 +53,13 @@ def encode_passages(column: pa.Array):
             byte_bag = np.repeat(bag, lengths)
             body = raw[w.starts[0] :]
             pair = _PAIR_SLOT[body[:-1].astype(np.int64) * 256 + body[1:]]
-            inside = byte_bag[:-1] == byte_bag[1:]
+            # white space ahead of a text's first word belongs to no passage
+            ahead = np.zeros(len(raw) + 1, np.int8)
+            till = np.where(w.counts > 0, w.starts[np.minimum(w.first[:-1], n_words - 1)], offs[1:])
+            np.add.at(ahead, offs[:-1], 1)
+            np.add.at(ahead, till, -1)
+            own = np.cumsum(ahead[:-1], dtype=np.int8)[w.starts[0] :] == 0
+            inside = (byte_bag[:-1] == byte_bag[1:]) & own[:-1] & own[1:]
             counts = np.bincount(byte_bag[:-1][inside] * PAIRS + pair[inside], minlength=len(x) * PAIRS).reshape(-1, PAIRS)
             x[:, :PAIRS] = np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
             hashes = w.hashes(fold_case=False)

@@ -43,7 +43,8 @@ def shard(docs: DataFrame, work: Workspace, shards: int = 24, seed: str = "tesse
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, source per row."""
     data = F.encode(F.coalesce(F.col(text_column), F.lit("")), "UTF-8")
     stratum = F.coalesce(F.concat(F.lit("="), F.col(source_column)), F.lit(""))
-    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))))
+    # the checksum spreads rows whose ids are null or repeated
+    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.lit(":"), F.crc32(data).cast("string")))
     narrow = work.keep(
         docs.select(F.col(id_column).alias("doc_id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.col(source_column).alias("source"), stratum.alias("stratum"), shuffled.alias("draw")),
         "rows",

@@ -10,6 +10,8 @@ from tessera.llm.textscan import Words, blocks, mix64, run_hashes, windows
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\"'"]] = True
 
@@ -18,7 +20,7 @@ _LINE_CODES = np.arange(1, 257, dtype=np.uint16)
 _LINE_CODES[10] = 0
 
 #: Names of the columns of ``text_stats``.
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_loud_words", "n_bang", "n_closed_lines", "n_distinct_words", "n_echo_words")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_loud_words", "n_bang", "n_closed_lines", "n_distinct_words", "n_echo_words", "n_symbol_words", "n_marks")
 
 
 def _sums(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -106,8 +108,11 @@ def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
             ups = np.add.reduceat(upper, w.starts, dtype=np.int64)
             lows = np.add.reduceat(lower, w.starts, dtype=np.int64)
             parts["n_loud_words"].append(_sums((ups >= 2) & (lows == 0), w.first))
+            parts["n_symbol_words"].append(_sums(np.logical_or.reduceat(_SYMBOL[raw], w.starts), w.first))
         else:
             parts["n_loud_words"].append(np.zeros(len(w.counts), np.int64))
+            parts["n_symbol_words"].append(np.zeros(len(w.counts), np.int64))
+        parts["n_marks"].append(_sums(_MARK[raw], offs))
         parts["n_bang"].append(_sums((raw == 33) | (raw == 63), offs))
         doc = np.repeat(np.arange(len(w.counts), dtype=np.int64), w.counts)
         keys = np.unique(hashes ^ mix64(doc.astype(_U) + _U(1)), return_index=True)[1]

@@ -87,13 +87,23 @@ def _resolved(base: Column, link: Column) -> Column:
     )
 
 
+#: Entities that stand for marks of urls in attributes; the ampersand comes last.
+ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&"))
+
+
+def _unescaped(link: Column) -> Column:
+    for entity, mark in ENTITIES:
+        link = F.replace(link, F.lit(entity), F.lit(mark))
+    return link
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(url, target): canonical links and meta refreshes in the pages."""
     tags = F.regexp_extract_all("html", F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
     tag = pages.filter("instr(url, '://') > 0").select("url", F.explode(tags).alias("tag"))
     canonical = F.when(F.col("tag").rlike(r"(?i)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.when(F.col("tag").rlike(r"(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    found = tag.withColumn("link", F.coalesce(canonical, refresh)).filter("link <> ''")
+    found = tag.withColumn("link", _unescaped(F.coalesce(canonical, refresh))).filter("link <> ''")
     return found.select("url", _resolved(F.col("url"), F.col("link")).alias("target"))
 
 

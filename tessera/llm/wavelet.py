@@ -62,12 +62,14 @@ class Plane:
     @classmethod
     def build(cls, bits: np.ndarray) -> "Plane":
         n, count = len(bits), -(-len(bits) // BLOCK_BITS)
+        if not n:
+            return cls(0, np.zeros(1, "<u4"), [])
         packed = np.zeros(count * BLOCK_BITS // 8, np.uint8)
         packed[: -(-n // 8)] = np.packbits(bits)
         cells = np.bitwise_count(packed.view(np.uint64)).reshape(count, CELLS, -1).sum(axis=2, dtype=np.int64)
         before = np.cumsum(cells, axis=1)
-        ones = np.concatenate(([0], np.cumsum(before[:, -1]))) if count else np.zeros(1, np.int64)
-        directory = np.concatenate((np.zeros((count, 1), np.int64), before[:, :-1]), axis=1).astype("<u2") if count else before
+        ones = np.concatenate(([0], np.cumsum(before[:, -1])))
+        directory = np.concatenate((np.zeros((count, 1), np.int64), before[:, :-1]), axis=1).astype("<u2")
         compress = zstandard.ZstdCompressor(level=1).compress
         body = packed.reshape(count, -1)
         return cls(n, ones.astype("<u4"), [compress(body[i].tobytes() + directory[i].tobytes()) for i in range(count)])

@@ -1,10 +1,13 @@
 """Quality rules by weak supervision.
 
-Each rule votes good or bad, or abstains.  How often good texts and texts of each
-kind of defect get each rule's bad vote is estimated without labels by expectation-maximisation
-over the counts of vote patterns (at most 3 ** rules of them, whatever the
-input), and a text is judged by its posterior probability of being good rather
-than by having to pass every rule.
+Each rule votes good or bad, or abstains.  Several rules look at each kind of defect
+from different sides.  How often good texts and texts of each kind get each rule's
+bad vote is estimated without labels by expectation-maximisation over the counts of
+vote patterns (at most 3 ** rules of them, whatever the input), and a text is judged
+by its posterior probability of being good rather than by having to pass every rule:
+a single weak vote is outweighed by the other rules for the same defect.
+
+Priors stand for a share of the rows, so the estimates are alike at every size.
 
 Defined results: null and empty texts have zero counts and fail the base rules;
 very long texts are read whole; repeated rows get equal verdicts; an empty table
@@ -19,30 +22,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bitmaps import named
 from tessera.llm.caching import owned
 from tessera.llm.store import Workspace
 from tessera.llm.textstats import STATS, text_stats
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-#: rule: (counts above and below the line of a ratio, good up to, bad from);
-#: between the two the rule abstains, and where the lower count is under its minimum.
-RULES = {
-    "symbols": ("n_symbols", "n_words", 1, 0.02, 0.15),
-    "repeated lines": ("n_dup_lines", "n_lines", 3, 0.05, 0.40),
-    "repeated phrases": ("n_repeat_words", "n_words", 20, 0.10, 0.40),
-    "echoed words": ("n_echo_words", "n_words", 10, 0.03, 0.25),
-    "shouted words": ("n_loud_words", "n_words", 5, 0.05, 0.40),
-    "exclamations": ("n_bang", "n_words", 5, 0.05, 0.30),
-    "open lines": (("n_lines", "n_closed_lines"), "n_lines", 3, 0.30, 0.80),
-    "few distinct words": (("n_words", "n_distinct_words"), "n_words", 20, 0.45, 0.75),
+#: Kinds of defect, each with its rules - name: (counts above and below the line of a
+#: ratio, least lower count, good up to, bad from); between the two ratios the rule
+#: abstains, and so it does where the lower count is under its least.
+DEFECTS = {
+    "marks": {
+        "symbols": ("n_symbols", "n_words", 20, 0.02, 0.10),
+        "words with symbols": ("n_symbol_words", "n_words", 20, 0.02, 0.10),
+        "marks in words": ("n_marks", "word_chars", 100, 0.06, 0.10),
+    },
+    "repetition": {
+        "repeated lines": ("n_dup_lines", "n_lines", 3, 0.05, 0.20),
+        "repeated phrases": ("n_repeat_words", "n_words", 20, 0.10, 0.25),
+        "echoed words": ("n_echo_words", "n_words", 10, 0.03, 0.10),
+        "few distinct words": (("n_words", "n_distinct_words"), "n_words", 20, 0.40, 0.50),
+    },
+    "shouting": {
+        "shouted words": ("n_loud_words", "n_words", 5, 0.05, 0.20),
+        "exclamations": ("n_bang", "n_words", 5, 0.05, 0.15),
+    },
+    "layout": {
+        "open lines": (("n_lines", "n_closed_lines"), "n_lines", 3, 0.30, 0.60),
+        "short lines": ("n_lines", "n_words", 20, 0.20, 0.34),
+    },
 }
+RULES = {name: rule for rules in DEFECTS.values() for name, rule in rules.items()}
 GOOD, ABSTAIN, BAD = 0, 1, 2
 #: A text stays if its posterior probability of being good is at least this.
 KEEP_FROM = 0.5
 ROUNDS = 50
-#: Bound on how often a rule votes bad on a good text.
-MAX_FALSE_ALARM = 0.02
+#: What is believed beforehand: how often rules vote bad on good texts, on texts with
+#: the defect that they look for, and on others; and the share of good texts.
+FALSE_ALARM, HIT, OTHER, GOOD_SHARE = 0.02, 0.8, 0.1, 0.9
+#: The weight of these beliefs, for each kind, as a share of all rows.
+BELIEF = 0.05
 
 
 def base_failed(stats: dict[str, np.ndarray]) -> np.ndarray:
@@ -71,9 +91,9 @@ def decode(patterns: np.ndarray) -> np.ndarray:
 class VoteModel:
     """P(bad vote | voted, kind) of each rule, and the share of each kind of text.
 
-    Kind 0 is good; kind j has the defect that rule j looks for.  Junk of one kind
-    passes the rules for the others, so one class for all junk would let seven
-    good votes outweigh the one rule that sees it.
+    Kind 0 is good, the others have one defect each.  Junk of one kind passes the rules
+    for the others, so one class for all junk would let many good votes outweigh the
+    few rules that see it.
     """
 
     def __init__(self, bad_vote: np.ndarray, share: np.ndarray):
@@ -81,8 +101,9 @@ class VoteModel:
 
     @classmethod
     def prior(cls) -> "VoteModel":
-        m = len(RULES)
-        return cls(np.vstack([np.full(m, 0.005), np.full((m, m), 0.1) + 0.85 * np.eye(m)]), np.array([0.8] + [0.2 / m] * m))
+        bad_vote = [[FALSE_ALARM] * len(RULES)] + [[HIT if rule in own else OTHER for rule in RULES] for own in DEFECTS.values()]
+        rest = (1 - GOOD_SHARE) / len(DEFECTS)
+        return cls(np.array(bad_vote), np.array([GOOD_SHARE] + [rest] * len(DEFECTS)))
 
     def kinds(self, patterns: np.ndarray) -> np.ndarray:
         """Posterior probability of each kind for each pattern."""
@@ -97,17 +118,15 @@ class VoteModel:
 
     @classmethod
     def fit(cls, patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> "VoteModel":
-        """Expectation-maximisation from the prior, which counts as 20 texts of each kind."""
+        """Expectation-maximisation from the prior, which counts as ``BELIEF`` of the rows."""
         start = model = cls.prior()
         votes, counts = decode(patterns), np.asarray(counts, float)
-        for _ in range(rounds if len(patterns) else 0):
+        belief = BELIEF * counts.sum()
+        for _ in range(rounds if belief else 0):
             weight = model.kinds(patterns) * counts[:, None]
             bad, voted = weight.T @ (votes == BAD), weight.T @ (votes != ABSTAIN)
-            rates = (bad + 20 * start.bad_vote) / (voted + 20)
-            # the rules are built to spare good texts, and a defect to be seen by its rule
-            rates[0] = np.clip(rates[0], 1e-4, MAX_FALSE_ALARM)
-            rates[1:] = np.clip(np.maximum(rates[1:], 0.5 * np.eye(len(RULES))), 1e-3, 0.999)
-            share = weight.sum(axis=0) + 100 * start.share
+            rates = (bad + belief * start.bad_vote) / (voted + belief)
+            share = weight.sum(axis=0) + belief * start.share
             model = cls(rates, share / share.sum())
         return model
 
@@ -132,7 +151,7 @@ def _id_type(docs: DataFrame, id_column: str) -> str:
 def rule_stats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, the base counts, base_failed and the vote pattern of each row."""
     schema = f"doc_id {_id_type(docs, id_column)}, {', '.join(f'{k} long' for k in BASE)}, base_failed boolean, pattern long"
-    return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(_stat_rows(id_column, text_column), schema)
+    return docs.select(named(id_column).alias("doc_id"), named(text_column).alias("text")).mapInArrow(_stat_rows(id_column, text_column), schema)
 
 
 def fit_votes(stats: DataFrame) -> VoteModel:

@@ -22,13 +22,13 @@ def shingles(text):
     return frozenset([tuple(words)] if words else [])
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     """doc_id -> (set size, least reachable id) by comparing all pairs."""
     sets = {d: shingles(t) for d, t in rows}
     least = {d: d for d in sets}
     changed = True
     ids = sorted(sets)
-    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     while changed:
         changed = False
         for a, b in links:

@@ -1,11 +1,19 @@
+import random
+from collections import Counter
+
 import duckdb
+import pyarrow as pa
+from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
+from tessera.llm import mil_quality, weak_rules
 from tessera.llm.oracles import ORACLE_SQL
+from tessera.llm.textstats import text_stats
 from tests.llm.cases import SCHEMA, cluttered, documents
-from tests.llm.test_dedup import planted_near
-from tests.llm.test_quality import junk, prose
+from tests.llm.test_dedup import LOWER, brute_components, planted_near
+from tests.llm.test_quality import brute_em, brute_score, brute_stats, junk, prose
+from tests.llm.test_sharding_packing import WORDS, check_packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,8 +37,6 @@ def test_oracles(spark):
 
 
 def test_stages(spark, tmp_path):
-    import random
-
     rng = random.Random(9)
     rows = []
     for i in range(300):
@@ -72,6 +78,38 @@ def test_stages_take_an_empty_table(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).count() == 0
 
 
+def test_run_like_brute_force(spark, tmp_path):
+    """All stages in turn against loops over rows."""
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.randint(40, 160)) if i % 6 else junk(rng, 90), "en", "s", 1) for i in range(260)]
+    rows += [(500 + i, rows[i][1].upper() if i % 2 else rows[i][1], "en", "s", 1) for i in range(1, 30)]
+    rows += [(700 + i, rows[i][1] + " one tail", "en", "s", 1) for i in range(31, 60)]
+    rows += [(900, None, "en", None, None), (901, "", "en", None, 0), (902, rows[1][1] + " " + prose(rng, 4000), "en", "s", 1)]
+    labels = [(r[0], int(r[0] % 6 != 0)) for r in rows[:260]]
+    docs = documents(spark, rows).coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    table.write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    model = mil_quality.fit_quality(docs, table)
+    stay = [(i, t or "") for i, t, *_ in rows if brute_score(model, t) >= mil_quality.PREDICT_FROM]
+    stats = {i: brute_stats(t) for i, t in stay}
+    number = {i: int(weak_rules.vote_pattern(text_stats(pa.array([t], pa.string())))[0]) for i, t in stay}
+    counts = Counter(number.values())
+    good = dict(zip(sorted(counts), brute_em(sorted(counts), [counts[p] for p in sorted(counts)])))
+    stay = [(i, t) for i, t in stay if stats[i][0] >= 50 and 100 * stats[i][4] <= 50 * stats[i][0] and good[number[i]] >= weak_rules.KEEP_FROM]
+    largest = {}
+    for i, t in stay:
+        largest[t.translate(LOWER)] = max(i, largest.get(t.translate(LOWER), i))
+    stay = [(i, t) for i, t in stay if largest[t.translate(LOWER)] == i]
+    least = brute_components(stay, 80)
+    stay = {i: t for i, t in stay if least[i][1] == i}
+    assert 150 < len(stay) < len(rows) - 90
+    assert {r["doc_id"] for r in got} == set(stay)
+    check_packing(got, stay, Tokenizer.from_file(WORDS), 2048)
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(got.columns)

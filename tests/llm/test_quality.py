@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import mil_quality, weak_rules
+from tessera.llm.textscan import run_hashes
 from tessera.llm.textstats import STATS, text_stats
 from tests.llm.cases import ROWS, cluttered, documents, workspace
 
@@ -57,6 +58,30 @@ def test_text_stats_like_brute_force(corpus):
     assert set(got) == set(STATS)
     for i, text in enumerate(texts):
         assert tuple(int(got[k][i]) for k in weak_rules.BASE) == brute_stats(text), text
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        assert got["n_symbol_words"][i] == sum(bool(set(w) & set("#*$%&|<>")) for w in words)
+        assert got["n_marks"][i] == sum(c.isascii() and not c.isalnum() and c > " " and c != "\x7f" for w in words for c in w)
+
+
+def test_counts_where_linear_hashes_collide():
+    """Words that are unlike but have equal polynomials modulo a power of two."""
+    one, two = "ab", "ba"
+    for _ in range(11):
+        one, two = one + two, two + one
+    texts = [f"{one}\n{two}\n{one}", f"{one} p q r {two} p q r", f"{one[:1024]} p q r {two[:1024]} p q r"]
+    got = text_stats(pa.array(texts, pa.string()))
+    for i, text in enumerate(texts):
+        assert tuple(int(got[k][i]) for k in weak_rules.BASE) == brute_stats(text)
+    assert got["n_dup_lines"].tolist() == [1, 0, 0] and got["n_repeat_words"].tolist() == [0, 6, 6]
+
+
+def test_counts_of_long_texts():
+    """Texts longer than the hashing block give the same counts."""
+    text = "\n".join(f"one two three w{i % 50}" for i in range(400)) + " " + "z" * 900
+    whole = run_hashes(np.arange(5000) % 7 + 1, np.arange(0, 5000, 11))
+    for limit in (1, 40, 4999):
+        assert np.array_equal(run_hashes(np.arange(5000) % 7 + 1, np.arange(0, 5000, 11), limit), whole)
+    assert tuple(int(v[0]) for k, v in text_stats(pa.array([text], pa.string())).items() if k in weak_rules.BASE) == brute_stats(text)
 
 
 def test_vote_model_learns_without_labels(spark, corpus):
@@ -65,15 +90,26 @@ def test_vote_model_learns_without_labels(spark, corpus):
     assert all(got[i]["kept"] == bool(y) for i, y in labels)
 
 
+def pattern(**votes):
+    """The number of a pattern: all rules vote good but for those named."""
+    out = 0
+    for rule in weak_rules.RULES:
+        out = out * 3 + votes.get(rule.replace(" ", "_"), weak_rules.GOOD)
+    return out
+
+
 def brute_em(patterns, counts):
     """The same model, one pattern and one rule at a time."""
-    prior = weak_rules.VoteModel.prior()
-    rate, share, m = prior.bad_vote.tolist(), prior.share.tolist(), len(weak_rules.RULES)
+    names, defects = list(weak_rules.RULES), list(weak_rules.DEFECTS.values())
+    m, kinds = len(names), len(defects) + 1
+    first = [[weak_rules.FALSE_ALARM] * m] + [[weak_rules.HIT if r in own else weak_rules.OTHER for r in names] for own in defects]
+    start = [weak_rules.GOOD_SHARE] + [(1 - weak_rules.GOOD_SHARE) / len(defects)] * len(defects)
+    rate, share, belief = first, start, weak_rules.BELIEF * sum(counts)
 
-    def kinds(p):
+    def posterior(p):
         votes = [p // 3 ** (m - 1 - j) % 3 for j in range(m)]
         out = []
-        for k in range(m + 1):
+        for k in range(kinds):
             like = share[k]
             for j, v in enumerate(votes):
                 like *= rate[k][j] if v == 2 else 1 - rate[k][j] if v == 0 else 1
@@ -81,21 +117,18 @@ def brute_em(patterns, counts):
         return votes, [x / sum(out) for x in out]
 
     for _ in range(weak_rules.ROUNDS):
-        bad, voted, mass = [[0.0] * m for _ in range(m + 1)], [[0.0] * m for _ in range(m + 1)], [0.0] * (m + 1)
+        bad, voted, mass = [[0.0] * m for _ in range(kinds)], [[0.0] * m for _ in range(kinds)], [0.0] * kinds
         for p, c in zip(patterns, counts):
-            votes, post = kinds(p)
-            for k in range(m + 1):
+            votes, post = posterior(p)
+            for k in range(kinds):
                 mass[k] += c * post[k]
                 for j, v in enumerate(votes):
                     bad[k][j] += c * post[k] * (v == 2)
                     voted[k][j] += c * post[k] * (v != 1)
-        rate = [[(bad[k][j] + 20 * prior.bad_vote[k][j]) / (voted[k][j] + 20) for j in range(m)] for k in range(m + 1)]
-        rate[0] = [min(max(x, 1e-4), weak_rules.MAX_FALSE_ALARM) for x in rate[0]]
-        for k in range(1, m + 1):
-            rate[k] = [min(max(x, 0.5 if j == k - 1 else 0.0, 1e-3), 0.999) for j, x in enumerate(rate[k])]
-        weight = [mass[k] + 100 * prior.share[k] for k in range(m + 1)]
+        rate = [[(bad[k][j] + belief * first[k][j]) / (voted[k][j] + belief) for j in range(m)] for k in range(kinds)]
+        weight = [mass[k] + belief * start[k] for k in range(kinds)]
         share = [w / sum(weight) for w in weight]
-    return [kinds(p)[1][0] for p in patterns]
+    return [posterior(p)[1][0] for p in patterns]
 
 
 def test_vote_model_like_brute_force():
@@ -106,6 +139,51 @@ def test_vote_model_like_brute_force():
     assert np.allclose(model.posterior(np.array(patterns)), brute_em(patterns, counts), atol=1e-9)
 
 
+#: Mostly good texts, some with a lone weak vote, and junk that several rules see.
+VOTES = {
+    pattern(): 9000,
+    pattern(repeated_lines=2): 150,
+    pattern(open_lines=2): 60,
+    pattern(symbols=2, words_with_symbols=2, marks_in_words=2): 500,
+    pattern(echoed_words=2, few_distinct_words=2, repeated_phrases=1): 200,
+    pattern(shouted_words=2, exclamations=2): 90,
+}
+
+
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_lone_votes_are_outweighed_and_joint_ones_are_not(scale):
+    patterns = np.array(sorted(VOTES))
+    model = weak_rules.VoteModel.fit(patterns, np.array([scale * VOTES[p] for p in patterns.tolist()]))
+    good = lambda **votes: float(model.posterior(np.array([pattern(**votes)]))[0])
+    assert good() > 0.99
+    # one weak bad vote, with the other rules for that defect voting good
+    assert good(repeated_lines=2) > 0.9 and good(open_lines=2) > 0.5 and good(symbols=2) > 0.5
+    # the same vote where the rules that could outweigh it agree or abstain
+    assert good(symbols=2, words_with_symbols=2, marks_in_words=2) < 0.01
+    assert good(symbols=2, words_with_symbols=1, marks_in_words=2) < 0.1
+    assert good(echoed_words=2, few_distinct_words=2) < 0.1
+    assert good(shouted_words=2, exclamations=2) < 0.1
+
+
+def test_verdicts_differ_from_all_must_pass(spark):
+    """A text with some repeated lines and nothing else wrong stays."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        text = prose(rng, 150).replace(". ", ".\n")
+        if i % 8 == 0:
+            text += "\nRead more." * 6
+        elif i % 8 == 1:
+            text = junk(rng, 150)
+        rows.append((i, text, "en", "s", 1))
+    table = pa.array([r[1] for r in rows], pa.string())
+    votes = weak_rules.decode(weak_rules.vote_pattern(text_stats(table)))
+    failing = {i for i in range(400) if (votes[i] == weak_rules.BAD).any()}
+    kept = {r["doc_id"] for r in weak_rules.judge(documents(spark, rows), workspace(spark)).filter("kept").collect()}
+    assert {i for i in range(400) if i % 8 == 0} <= failing & kept
+    assert not {i for i in range(400) if i % 8 == 1} & kept
+
+
 def test_judge_awkward_rows(spark):
     got = weak_rules.judge(cluttered(spark), workspace(spark)).collect()
     assert len(got) == len(ROWS)
@@ -131,8 +209,67 @@ def test_passages_cover_whole_texts():
     assert np.isfinite(x).all() and not x[:2].any() and x[2:].any(axis=1).all()
 
 
+def brute_passages(text):
+    """The features of each passage of a text, one passage, word and pair at a time."""
+    raw = (text or "").encode()
+    found = [(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    out = []
+    for at in range(0, max(1, len(found)), mil_quality.PASSAGE_WORDS):
+        own = found[at : at + mil_quality.PASSAGE_WORDS]
+        x = np.zeros(mil_quality.WIDTH)
+        if own:
+            follows = found[at + len(own)][0] if at + len(own) < len(found) else len(raw)
+            span, words, n = raw[own[0][0] : follows], [w for _, w in own], len(own)
+            for a, b in zip(span, span[1:]):
+                x[mil_quality._PAIR_SLOT[256 * a + b]] += 1
+            x[: mil_quality.PAIRS] = np.sqrt(x[: mil_quality.PAIRS] / max(1, len(span) - 1))
+            upper = lambda w: sum(65 <= c <= 90 for c in w)
+            lower = lambda w: sum(97 <= c <= 122 for c in w)
+            x[mil_quality.PAIRS :] = [
+                len(set(words)) / n,
+                sum(a == b for a, b in zip(words, words[1:])) / n,
+                sum(len(w.decode()) for w in words) / n / 8,
+                sum(upper(w) >= 2 and not lower(w) for w in words) / n,
+                sum(any(c in b"#*$%&|<>" for c in w) for w in words) / n,
+                n / mil_quality.PASSAGE_WORDS,
+                sum(w[0] < 65 for w in words) / n,
+            ]
+        out.append(x)
+    return out
+
+
+def brute_score(model, text):
+    """The attention model's score, passage by passage."""
+    w = {k: np.asarray(v, np.float64) for k, v in model.weights.items()}
+    if "share" in w:
+        return float(w["share"])
+    hidden, energy = [], []
+    for x in brute_passages(text):
+        h = np.tanh(((x - w["mean"]) / w["scale"]) @ w["W"] + w["b"])
+        gate = [1 / (1 + np.exp(-float(h @ u))) for u in w["U"].T]
+        hidden.append(h)
+        energy.append(sum(a * np.tanh(float(h @ v)) * g for a, v, g in zip(w["a"], w["V"].T, gate)))
+    weight = np.exp(np.array(energy) - max(energy))
+    z = sum(e * h for e, h in zip(weight / weight.sum(), hidden))
+    return 1 / (1 + np.exp(-float(z @ w["c"] + w["d"])))
+
+
+def test_encoding_and_scores_like_brute_force(spark, corpus):
+    rows = ROWS + [(9000, "  \n lead and more\t" * 30, "en", "a", 1), (9001, "\n\n after white space " + "x " * 130, "en", "a", 1), *((5000 + r[0], *r[1:]) for r in corpus[0][:40])]
+    texts = [r[1] for r in rows]
+    got = np.concatenate([x for _, x in mil_quality.encode_passages(pa.array(texts, pa.string()))])
+    assert np.allclose(got, np.concatenate([brute_passages(t) for t in texts]), atol=1e-5)
+    model = mil_quality.fit_quality(documents(spark, corpus[0]), spark.createDataFrame(corpus[1], "doc_id long, quality int"))
+    assert "share" not in model.weights
+    scores = {}
+    for r in mil_quality.score_quality(documents(spark, rows), model).collect():
+        scores.setdefault(r["doc_id"], []).append(r["score"])
+    for doc_id, text in {r[0]: r[1] for r in rows}.items():
+        assert np.allclose(scores[doc_id], brute_score(model, text), atol=1e-3)
+
+
 def test_encoding_does_not_depend_on_blocks():
-    texts = pa.array([r[1] for r in ROWS], pa.string())
+    texts = pa.array([r[1] for r in ROWS] + ["  lead", "\n", " and more"], pa.string())
     whole = np.concatenate([x for _, x in mil_quality.encode_passages(texts)])
     one = np.concatenate([x for t in texts for _, x in mil_quality.encode_passages(pa.array([t.as_py()], pa.string()))])
     assert np.allclose(whole, one)

@@ -65,6 +65,11 @@ def test_aliases_carry_decisions(spark):
     assert [got[i]["verdict"] for i in range(1, 8)] == ["block", "block", "allow", "allow", "allow", "allow", "block"]
 
 
+def test_entities_in_links_are_read(spark):
+    rows = spark.createDataFrame([("http://h.io/a", "<link rel=canonical href='http://k.io/?a=1&amp;b=2&#38;c=3'>")], "url string, html string")
+    assert as_set(url_filter.page_links(rows), "target") == [("http://k.io/?a=1&b=2&c=3",)]
+
+
 def test_redirect_table_and_hub(spark):
     hub = [(i, f"http://site{i}.io/{i}") for i in range(300)] + [(999, "http://hub.net/")]
     redirects = spark.createDataFrame([(f"http://site{i}.io/{i}", "http://hub.net/") for i in range(0, 300, 2)] + [(None, "x")], "url string, target string")
