@@ -4,6 +4,15 @@
 the documents that stay, with the columns of ``documents`` - the last one returns the
 packed pieces.  ``run`` applies them in turn, each on the written result of the one
 before.
+
+Defined results: a null text counts as empty.  The classifier scores empty texts like any
+other, and the rules drop them, as they have no 50 words.  Very long texts are read whole.
+Of repeated rows (same id and text) one stays after ``exact_duplicates``.  Rows with a null
+id are judged by their texts, lose to any copy with an id, and are never near
+duplicates.  Extra columns pass all stages but the last untouched, whatever their
+names.  Ties go to the larger id among equal texts and to the smaller id among near ones.
+An empty table gives an empty result; without labels of both kinds every document has
+one score, and all stay or all go.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact_dedup, mil_quality, near_dedup, packing, weak_rules
 from tessera.llm.queries import tokenizer_file
-from tessera.llm.store import Workspace
+from tessera.llm.store import Workspace, clear_since, opened
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +47,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), Workspace(spark, "stage-pack"))
+    # executors that ran four stages have less room for a cache than fresh ones
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), Workspace(spark, "stage-pack"), cache_bytes=96 << 20)
 
 
 STAGES = [
@@ -58,5 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = opened()
         docs = work.keep(stage(spark, docs, sf_dir), name)
+        clear_since(before)  # the stage's own tables have served
     return STAGES[-1][1](spark, docs, sf_dir)
