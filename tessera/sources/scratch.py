@@ -9,8 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of ``spark.checkpoint.dir``; local if that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "file://" + tempfile.gettempdir()
+    """A fresh path in the folder of ``spark.checkpoint.dir``.
+
+    If that is unset, in a temporary one - on a local master only: executors of a cluster
+    could not see it.
+    """
+    master = spark.sparkContext.master
+    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not shared and master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
+    shared = shared or "file://" + tempfile.gettempdir()
     return f"{shared.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
 
 
