@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 BITS_PER_KEY = 32
+#: Keys to drop per task of the rows that may have one.
+HIT_ROWS = 5000
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:
@@ -36,11 +38,12 @@ def columns_of(rows: DataFrame) -> list[Column]:
 
 
 class KeyBitmap:
-    """The bitmap of the keys in one column of a (kept) table."""
+    """The bitmap of the keys in one column of a table, sized by its rows."""
 
     def __init__(self, keys: DataFrame, column: str, bits: int | None = None):
         if bits is None:
-            bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
+            count = getattr(keys, "_tessera_rows", None)  # known of kept tables
+            bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * (keys.count() if count is None else count)).bit_length()))
         self.bits = bits
         at = keys.select(self._position(named(column)).alias("at"))
         self.table = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
@@ -75,8 +78,11 @@ def anti_by_key(rows: DataFrame, probe: Column, key: Column, dropped: DataFrame)
     own, gone = fresh(marked.columns, "row_key", "gone_key")
     sure = marked.filter(~hit).select(*columns_of(rows))
     keys = dropped.select(F.col("key").alias(gone)).distinct()
-    maybe = marked.filter(hit).withColumn(own, key).join(keys, F.col(own) == F.col(gone), "left_anti")
-    return sure.unionByName(maybe.select(*columns_of(rows)))
+    maybe = marked.filter(hit).withColumn(own, key).join(keys, F.col(own) == F.col(gone), "left_anti").select(*columns_of(rows))
+    count = getattr(dropped, "_tessera_rows", None)
+    if count is not None:  # few wide rows are hit beside those to drop: no more tasks than they need
+        maybe = maybe.coalesce(max(4, -(-count // HIT_ROWS)))
+    return sure.unionByName(maybe)
 
 
 def semi_by_id(rows: DataFrame, wanted: DataFrame, id_column: str) -> DataFrame:

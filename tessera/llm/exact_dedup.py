@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bitmaps import KeyBitmap, anti_by_key, columns_of, fresh, named, possible
-from tessera.llm.store import Workspace
+from tessera.llm.store import Workspace, rows_of
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,17 +38,17 @@ def _exact_groups(docs, work, id_column, text_column, keep, content) -> tuple[Da
     best = {"largest": F.max("doc_id"), "smallest": F.when(~F.max(F.col("doc_id").isNull()), F.min("doc_id"))}[keep]
     hashed = _hashed(docs, id_column, text_column, content)
     narrow = work.keep(hashed.select("doc_id", "content", F.sha2("folded", 256).alias("text_sha256")), "hashes")
-    repeated = work.keep(narrow.groupBy("content").count().filter("count > 1").select("content"), "repeated")
+    repeated = work.keep(narrow.groupBy("content").count().filter("count > 1").select("content"), "repeated", rows_of(narrow) // 2)
     copies = possible(hashed, F.col("content"), KeyBitmap(repeated, "content"))
     by_bytes = copies.groupBy("content", "folded").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
     classes = work.keep(by_bytes.drop("folded"), "classes")
-    clash = work.keep(classes.groupBy("content").count().filter("count > 1").select("content"), "clash")
+    clash = work.keep(classes.groupBy("content").count().filter("count > 1").select("content"), "clash", rows_of(classes) // 2)
 
     size = F.coalesce("group_size", F.lit(1).cast("long"))
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     shape = ["doc_id", keep_id.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256"]
-    if clash.isEmpty():
-        return narrow.join(classes, "content", "left").select(*shape), narrow
+    if not rows_of(clash):
+        return work.sized(narrow.join(classes, "content", "left").select(*shape), rows_of(narrow)), narrow
     # One hash, several texts: those rows find their class by their bytes.
     clean = narrow.join(clash, "content", "left_anti").join(classes, "content", "left").select(*shape)
     texts = copies.join(clash, "content", "left_semi").withColumn("text_sha256", F.sha2("folded", 256))
@@ -81,10 +81,10 @@ def deduplicate(docs: DataFrame, work: Workspace, id_column: str = "doc_id", tex
 
     own = key(id_column, F.sha2(fold_ascii(named(text_column)), 256))
     rows = [probe("doc_id").alias("probe"), key("doc_id", F.col("text_sha256")).alias("key")]
-    dropped = work.keep(groups.filter("NOT kept").select(*rows), "dropped")
-    again = work.keep(narrow.groupBy(*rows).count().filter("count > 1").select("probe", "key"), "again")
+    dropped = work.keep(groups.filter("NOT kept").select(*rows), "dropped", rows_of(narrow))
+    again = work.keep(narrow.groupBy(*rows).count().filter("count > 1").select("probe", "key"), "again", rows_of(narrow) // 2)
     kept = anti_by_key(docs, probe(id_column), own, dropped)
-    if again.isEmpty():
+    if not rows_of(again):
         return kept
     marked, hit = KeyBitmap(again, "probe").mark(kept, probe(id_column))
     (row_key,) = fresh(marked.columns, "row_key")

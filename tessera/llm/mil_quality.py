@@ -175,7 +175,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = 4000, id_co
     picked = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("train_id"))
 
     def run(batches):
-        owned("none")
+        owned("quality")
         for batch in batches:
             bags, rows = [], []
             for b, x in encode_passages(batch.column(1)):
@@ -203,7 +203,7 @@ def score_quality(docs: DataFrame, model: AttentionModel, id_column: str = "doc_
     """One row per document: doc_id, held_out, score, predicted."""
 
     def run(batches):
-        owned("none")
+        owned("quality")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), model), pa.float64())], ["doc_id", "score"])
 
@@ -217,7 +217,7 @@ def keep_good(docs: DataFrame, model: AttentionModel, text_column: str = "text")
     at = docs.columns.index(text_column)
 
     def run(batches):
-        owned("none")
+        owned("quality")
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at), model) >= PREDICT_FROM))
 

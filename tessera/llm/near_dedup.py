@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bitmaps import anti_by_key, named, semi_by_id
 from tessera.llm.caching import owned
 from tessera.llm.components import connected_components
-from tessera.llm.store import Workspace
+from tessera.llm.store import Workspace, rows_of
 from tessera.llm.textscan import Words, blocks, mix64, shingle_sets
 
 SHINGLE = 5
@@ -63,6 +63,8 @@ SKETCH_WORDS = SKETCH_BITS // 64
 #: Samples a sketch holds at most, in expectation.
 SKETCH_SAMPLES = 1024
 PIVOT_ROUNDS = 2
+#: Pairs of texts that a task confirms.
+CONFIRM_ROWS = 4000
 #: Rows of a block when the rest of a bucket is compared in blocks.
 BLOCK_ROWS = 256
 
@@ -151,7 +153,7 @@ def signatures(docs: DataFrame, percent: int, id_column: str = "doc_id", text_co
     n_bands, n_rows = banding(percent)
 
     def run(batches):
-        owned("none")
+        owned("near")
         for batch in batches:
             for first, raw, offs in blocks(batch.column(1)):
                 words = Words(raw, offs)
@@ -198,7 +200,7 @@ def _pass_sketch(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFra
     """Pairs (a, b) whose odd sketches allow a link."""
 
     def run(batches):
-        owned("none")
+        owned("near")
         for batch in batches:
             sizes = [batch.column(k).to_numpy() for k in (2, 4)]
             packed = [_unpacked(batch.column(k).to_pylist()) for k in (3, 5)]
@@ -221,14 +223,14 @@ def _exact_classes(variants: DataFrame, docs: DataFrame, work: Workspace) -> Dat
     """(hi, lo, sha, exact): of different texts with one digest the SHA-256 of the set."""
 
     def run(batches):
-        owned("none")
+        owned("near")
         for batch in batches:
             exact = [_set_digest(written_out(t.as_py())) for t in batch.column(3).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(exact, pa.binary())], ["hi", "lo", "sha", "exact"])
 
-    mixed = work.keep(variants.groupBy("hi", "lo").agg(F.count("*").alias("texts")).filter("texts > 1"), "mixed")
-    wanted = work.keep(variants.join(mixed, ["hi", "lo"], "left_semi").select("doc_id", "sha", "hi", "lo"), "mixed-texts")
-    return work.keep(_texts(docs, wanted).select("hi", "lo", "sha", "text").mapInArrow(run, "hi long, lo long, sha binary, exact binary"), "exact")
+    mixed = variants.groupBy("hi", "lo").agg(F.count("*").alias("texts")).filter("texts > 1")
+    wanted = work.keep(variants.join(mixed, ["hi", "lo"], "left_semi").select("doc_id", "sha", "hi", "lo"), "mixed-texts", rows_of(variants))
+    return work.sized(_texts(docs, wanted).select("hi", "lo", "sha", "text"), rows_of(wanted), CONFIRM_ROWS).mapInArrow(run, "hi long, lo long, sha binary, exact binary")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, work: Workspace, percent: int) -> DataFrame:
@@ -239,7 +241,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, work: Workspac
     """
 
     def run(batches):
-        owned("none")
+        owned("near")
         last, pivot = None, frozenset()
         for batch in batches:
             one, two = (batch.column(k).cast(pa.large_binary()) for k in (2, 3))
@@ -253,8 +255,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, work: Workspac
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(links, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = work.keep(nodes.join(ids, "node", "left_semi").select("node", "doc_id", "sha"), "pair-ids")
-    texts = work.keep(_texts(docs, wanted).select("node", "text"), "pair-texts")
+    wanted = work.keep(nodes.join(ids, "node", "left_semi").select("node", "doc_id", "sha"), "pair-ids", 2 * rows_of(pairs))
+    texts = work.keep(_texts(docs, wanted).select("node", "text"), "pair-texts", rows_of(wanted), CONFIRM_ROWS)
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -265,7 +267,7 @@ def _block_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     labels whose sketches allow a link, compared in pairs of blocks."""
 
     def compare(group):
-        owned("none")
+        owned("near")
         sketch = _unpacked(group["sketch"])
         ids, labels, block, weight, size = (group[name].to_numpy() for name in ("node", "label", "block", "weight", "n_shingles"))
         one, two = (np.flatnonzero(block == group[side].iloc[0]) for side in ("left", "right"))
@@ -292,66 +294,67 @@ def _grouped(docs: DataFrame, work: Workspace, id_column: str, text_column: str,
     docs = docs.select(named(id_column).cast("long").alias("doc_id"), named(text_column).alias("text"))
     signed = work.keep(signatures(docs, percent).withColumn("row", F.monotonically_increasing_id()), "signatures")
     variants = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo", "sha").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"))
-    variants = work.keep(variants, "variants")
+    variants = work.keep(variants, "variants", rows_of(signed))
     exact = _exact_classes(variants, docs, work)
     none = F.lit(b"")
-    variants = work.keep(variants.join(exact, ["hi", "lo", "sha"], "left").withColumn("exact", F.coalesce("exact", none)), "classed")
+    variants = work.keep(variants.join(exact, ["hi", "lo", "sha"], "left").withColumn("exact", F.coalesce("exact", none)), "classed", rows_of(variants))
     first = F.min(F.struct("row", "doc_id", "sha"))
     classes = variants.groupBy("hi", "lo", "exact").agg(first.alias("first"), F.min("doc_id").alias("least"))
-    classes = work.keep(classes.select("hi", "lo", "exact", "least", F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.sha").alias("sha")), "classes")
+    classes = work.keep(classes.select("hi", "lo", "exact", "least", F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.sha").alias("sha")), "classes", rows_of(variants))
     nodes = classes.select("node", "doc_id", "sha")
-    reps = work.keep(signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "sketch", "bands"), "representatives")
+    reps = work.keep(signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "sketch", "bands"), "representatives", rows_of(classes))
     sketches = reps.select("node", "n_shingles", "sketch")
 
-    rows = reps.select("node", F.explode("bands").alias("key"))
-    shared = work.keep(rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
-    member = work.keep(rows.join(shared, "key"), "members")
-    weight = work.keep(member.groupBy("node").agg(F.sum("members").alias("weight")), "weights")
-    open_rows = work.keep(member.join(weight, "node").select("key", "node", "weight", F.col("node").alias("label")), "open")
+    rows, most = reps.select("node", F.explode("bands").alias("key")), rows_of(reps) * banding(percent)[0]
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    member = work.keep(rows.join(shared, "key"), "members", most)
+    weight = member.groupBy("node").agg(F.sum("members").alias("weight"))
+    open_rows = work.keep(member.join(weight, "node").select("key", "node", "weight", F.col("node").alias("label")), "open", rows_of(member))
 
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
     labels = None
 
-    def test(pairs: DataFrame) -> DataFrame:
+    def test(pairs: DataFrame, within: int | None) -> DataFrame:
         for done in tested:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = work.keep(pairs, "pairs")
+        pairs = work.keep(pairs, "pairs", within)
         tested.append(pairs)
-        near = work.keep(_pass_sketch(pairs, sketches, percent), "near")
-        links.append(work.keep(_confirm(near, docs, nodes, work, percent), "links"))
+        near = work.keep(_pass_sketch(pairs, sketches, percent), "near", rows_of(pairs))
+        links.append(work.keep(_confirm(near, docs, nodes, work, percent), "links", rows_of(near), CONFIRM_ROWS))
         every = links[0]
         for more in links[1:]:
             every = every.unionByName(more)
-        return connected_components(every, work)
+        return connected_components(every, work, within=rows_of(*links))
 
     for turn in range(PIVOT_ROUNDS):
-        if open_rows.isEmpty():
+        if not rows_of(open_rows):
             break
         pivots = open_rows.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("order"), "label")).alias("top"))
-        pivots = work.keep(pivots.select("key", (-F.col("top.order")).alias("pivot"), F.col("top.label").alias("pivot_label")), "pivots")
-        against = work.keep(open_rows.join(pivots, "key").filter("node <> pivot"), "against")
-        labels = test(against.filter("label <> pivot_label").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+        pivots = work.keep(pivots.select("key", (-F.col("top.order")).alias("pivot"), F.col("top.label").alias("pivot_label")), "pivots", rows_of(open_rows) // 2)
+        against = work.keep(open_rows.join(pivots, "key").filter("node <> pivot"), "against", rows_of(open_rows))
+        labels = test(against.filter("label <> pivot_label").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), rows_of(against))
         relabelled = against.select("key", "node", "weight").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        relabelled = work.keep(relabelled, "relabelled")
-        unsettled = work.keep(relabelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key"), "unsettled")
-        open_rows = work.keep(relabelled.join(unsettled, "key", "left_semi").select("key", "node", "weight", "label"), "open")
+        relabelled = work.keep(relabelled, "relabelled", rows_of(against))
+        unsettled = relabelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+        open_rows = work.keep(relabelled.join(unsettled, "key", "left_semi").select("key", "node", "weight", "label"), "open", rows_of(relabelled))
     else:
-        if not open_rows.isEmpty():
-            labels = test(_block_pairs(open_rows, sketches, percent).distinct())
+        if rows_of(open_rows):
+            labels = test(_block_pairs(open_rows, sketches, percent).distinct(), None)
 
     if labels is None:
         grouped = classes.withColumn("component", F.col("node"))
     else:
         grouped = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    grouped = work.keep(grouped.select("hi", "lo", "exact", "least", "component"), "grouped")
+    grouped = work.keep(grouped.select("hi", "lo", "exact", "least", "component"), "grouped", rows_of(classes))
     lowest = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     # sets that one document alone has need no component
-    own = work.keep(grouped.join(lowest, "component").select("hi", "lo", "exact", "component_id"), "groups")
+    own = grouped.join(lowest, "component").select("hi", "lo", "exact", "component_id")
     out = signed.select("doc_id", "sha", "n_shingles", "hi", "lo").join(variants.filter(F.col("exact") != none).select("hi", "lo", "sha", "exact"), ["hi", "lo", "sha"], "left").withColumn("exact", F.coalesce("exact", none))
     out = out.join(own, ["hi", "lo", "exact"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "sha", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = out.select("doc_id", "sha", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return work.sized(out, rows_of(signed))
 
 
 def near_groups(docs: DataFrame, work: Workspace, id_column: str = "doc_id", text_column: str = "text", percent: int = GROUPS_PERCENT) -> DataFrame:

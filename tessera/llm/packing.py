@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.caching import CACHE_BYTES
 from tessera.llm.sharding import BUCKET_ROWS, _ranked
-from tessera.llm.store import Workspace
+from tessera.llm.store import Workspace, rows_of
 from tessera.llm.word_ids import encoder
 
 CAPACITY = 2048
@@ -141,9 +141,9 @@ def pack(docs: DataFrame, tokenizer: str, work: Workspace, capacity: int = CAPAC
     runs.sort()
     table = np.array(runs, np.int64).reshape(-1, 6)
     # Items of one length can be any share of all rows: ranked by buckets of hashes.
-    buckets = max(8, math.ceil(sum(counts.values()) / BUCKET_ROWS))
+    buckets = max(8, math.ceil(rows_of(pieces) / BUCKET_ROWS))
     spread = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")
-    ranked = _ranked(pieces, ["length"], spread, ["doc_id", "piece", "ids_crc32"], "rank")
+    ranked = work.sized(_ranked(pieces, ["length"], spread, ["doc_id", "piece", "ids_crc32"], "rank"), rows_of(pieces))
 
     def place(batches):
         keys = table[:, 0] << 44 | table[:, 1]

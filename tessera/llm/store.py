@@ -13,11 +13,14 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tessera import ship
 
 _LOCAL: dict[str, str] = {}
+#: Rows of a file of a kept table whose size has a known bound.
+ROWS_PER_FILE = 200_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -47,16 +50,29 @@ class Workspace:
         self._serial = 0
         _OPEN.append(self)
 
-    def keep(self, df: DataFrame, name: str, **options) -> DataFrame:
-        """Write ``df`` as Parquet and read it back with its own schema."""
+    def keep(self, df: DataFrame, name: str, within: int | None = None, per_file: int = ROWS_PER_FILE, **options) -> DataFrame:
+        """Write ``df`` as Parquet and read it back with its own schema.
+
+        ``within`` is a bound of its rows, from tables kept before (``rows``): there are
+        then no more tasks and files than one per ``per_file`` rows, and 4 at least.
+        """
         self._serial += 1
         path = f"{self.root}/{self._serial:03d}-{name}"
         schema = df.schema
+        if within is not None:
+            df = self.sized(df, within, per_file)
+        counted = Observation()
+        df = df.observe(counted, F.count(F.lit(1)).alias("rows"))
         df.write.mode("overwrite").options(**{"compression": "zstd"} | options).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._tessera_path = path
+        out._tessera_rows = counted.get["rows"]
         return out
 
+    def sized(self, df: DataFrame, rows: int, per_file: int = ROWS_PER_FILE) -> DataFrame:
+        """``df`` of at most so many rows in no more tasks than one per ``per_file`` rows, and 4."""
+        return df.coalesce(max(4, -(-rows // per_file)))
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete kept tables whose rows no later step reads."""
         jvm = self.spark._jvm
@@ -72,6 +88,11 @@ class Workspace:
             _OPEN.remove(self)
 
 
+def rows_of(*tables: DataFrame) -> int:
+    """Rows of kept tables together, as counted when they were written."""
+    return sum(table._tessera_rows for table in tables)
+
+
 _OPEN: list[Workspace] = []
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 
 _U = np.uint64
 #: Bytes of text that are scanned at once; a longer text is scanned alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -54,7 +54,7 @@ def _power_tables(prime: int, base: int, n: int) -> tuple[np.ndarray, np.ndarray
     return up[:n], down[:n]
 
 
-def run_hashes(codes: np.ndarray, starts: np.ndarray, limit: int = BLOCK_BYTES) -> np.ndarray:
+def run_hashes(codes: np.ndarray, starts: np.ndarray, limit: int = 1 << 16) -> np.ndarray:
     """A 64-bit hash of each run of ``codes`` from one of ``starts`` to the next.
 
     Codes are numbers below 512, and 0 counts for nothing.  Two polynomial fingerprints modulo

@@ -133,7 +133,7 @@ class VoteModel:
 
 def _stat_rows(id_column: str, text_column: str):
     def run(batches):
-        owned("none")
+        owned("rules")
         for batch in batches:
             stats = text_stats(batch.column(1))
             yield pa.RecordBatch.from_arrays(
@@ -179,7 +179,7 @@ def keep_good(docs: DataFrame, work: Workspace, id_column: str = "doc_id", text_
     at = docs.columns.index(text_column)
 
     def run(batches):
-        owned("none")
+        owned("rules")
         for batch in batches:
             stats = text_stats(batch.column(at))
             yield batch.filter(pa.array(~base_failed(stats) & stays[vote_pattern(stats)]))
