@@ -48,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of 2048 tokens."""
     # executors that ran four stages have less room for a cache than fresh ones
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), Workspace(spark, "stage-pack"), cache_bytes=96 << 20)
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), Workspace(spark, "stage-pack"), cache_bytes=64 << 20)
 
 
 STAGES = [
