@@ -2,18 +2,20 @@
 
 ``ratio`` is the indel similarity 2 * LCS / (length + length); partial, sorted and set
 variants follow the public definitions of the usual fuzzy-matching libraries.  The
-longest common subsequence is bit-parallel, so a pair costs one pass over one string.
+functions of one pair define the measures; the UDFs compute them by ``vectors``, for all
+distinct pairs of a batch at once.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import vectors
+
 
 def _masks(text: str) -> dict[str, int]:
     """Of each character the bits of its places."""
@@ -110,35 +112,43 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
-#: Distinct pairs of strings whose result a worker keeps, per measure.
-KEPT_PAIRS = 50_000
-
-
-_remembered: dict = {}
-
-
-def _remember(measure):
-    """The measure with a bounded cache, one per process."""
-    if measure not in _remembered:
-        _remembered[measure] = lru_cache(maxsize=KEPT_PAIRS)(measure)
-    return _remembered[measure]
+def _texts(column: pd.Series) -> list[str]:
+    return column.fillna("").tolist()
 
 
 def _pairwise(measure, empty: float | None = 0.0):
     @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        of = _remember(measure)
-        return pd.Series([empty if empty is not None and not (x and y) else of(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+        return pd.Series(vectors.over_distinct(measure, _texts(a), _texts(b), empty))
 
     return run
 
 
-ratio = _pairwise(indel)
-partial_ratio = _pairwise(partial)
-token_sort_ratio = _pairwise(token_sort)
-token_set_ratio = _pairwise(token_set)
-weighted_ratio = _pairwise(weighted)
-jaro_winkler_similarity = _pairwise(jaro_winkler, None)
+def _sorted_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    return vectors.indels(vectors.sorted_words(a), vectors.sorted_words(b))
+
+
+#: The four ratios that pairs of texts are compared by.
+RATIOS = {"ratio": vectors.indels, "partial_ratio": vectors.partials, "token_sort_ratio": _sorted_ratios, "token_set_ratio": vectors.token_sets}
+
+ratio = _pairwise(vectors.indels)
+partial_ratio = _pairwise(vectors.partials)
+token_sort_ratio = _pairwise(_sorted_ratios)
+token_set_ratio = _pairwise(vectors.token_sets)
+weighted_ratio = _pairwise(vectors.weighted_ratios)
+jaro_winkler_similarity = _pairwise(lambda a, b: vectors.jaro_winklers(a, b, jaro_winkler), None)
+
+
+@F.pandas_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in RATIOS]))
+def fuzzy_ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """All ``RATIOS`` of a pair, as a struct."""
+    x, y = _texts(a), _texts(b)
+
+    def every(left: list[str], right: list[str]) -> np.ndarray:
+        found = np.column_stack([measure(left, right) for measure in RATIOS.values()]) if left else np.zeros((0, len(RATIOS)))
+        return np.where(np.array([not (s and t) for s, t in zip(left, right)], bool)[:, None], 0.0, found)
+
+    return pd.DataFrame(vectors.over_distinct(every, x, y, None), columns=list(RATIOS))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:

@@ -203,11 +203,17 @@ def best_threshold(scored: DataFrame, universe: DataFrame) -> float:
 
 
 def utility_summary(scored: DataFrame) -> DataFrame:
-    """Per s1: peaks, gap, counts and sums of scores by source - inputs of a utility model."""
+    """Per s1 the 20 inputs of a utility model.
+
+    Peaks, gap, counts and sums of scores, by source too; from the pairs' columns
+    cross_joint, name_similarity, address_similarity, address_missing and script_conflict
+    their means and the values of the best pair.
+    """
     w = Window.partitionBy("s1").orderBy(F.desc("score"), "mid")
     rows = scored.withColumn("n", F.row_number().over(w)).withColumn("is_s2", source_of() == "S2")
     peak = lambda k: F.coalesce(F.max(F.when(F.col("n") == k, F.col("score"))), F.lit(0.0))
     part = lambda c, of: F.coalesce(F.max(F.when(c, of)), F.lit(0.0))
+    best = lambda c: F.max(F.when(F.col("n") == 1, F.col(c).cast("double")))
     return rows.groupBy("s1").agg(
         peak(1).alias("top"),
         peak(2).alias("second"),
@@ -220,6 +226,14 @@ def utility_summary(scored: DataFrame) -> DataFrame:
         part(~F.col("is_s2"), F.col("score")).alias("s3_top"),
         F.log1p(F.sum(F.col("is_s2").cast("long"))).alias("s2_log_count"),
         F.log1p(F.sum((~F.col("is_s2")).cast("long"))).alias("s3_log_count"),
+        F.avg(F.col("address_missing").cast("double")).alias("missing_fraction"),
+        F.max("cross_joint").alias("cross_max"),
+        F.avg("cross_joint").alias("cross_mean"),
+        best("name_similarity").alias("top_name"),
+        best("address_similarity").alias("top_address"),
+        best("cross_joint").alias("top_cross"),
+        best("address_missing").alias("top_missing"),
+        best("script_conflict").alias("top_script"),
         F.avg("score").alias("score_mean"),
     )
 

@@ -84,19 +84,24 @@ def bootstrap(values: np.ndarray, reps: int = 1000, seed: int = 42) -> tuple[flo
 
 
 def bootstrap_interval(counts: DataFrame, value: Column, reps: int = 1000, seed: int = 42) -> DataFrame:
-    """mean, low, high of an entity value without collecting the entities.
+    """mean, low, high of an entity value by a Poisson bootstrap, without the entities.
 
-    Each entity draws a Poisson(1) weight per replicate from a hash of its id, so the
-    bootstrap is one aggregation over (entity, replicate) and repeats exactly.
+    In a replicate every entity weighs Poisson(1), so the n entities of one value together
+    weigh Poisson(n): entities are grouped by their value first, and replicates are drawn
+    for the values only.  Values follow from counts of links (F0.5 and the like), so there
+    are few of them whatever the number of entities.
     """
-    u = F.pmod(F.xxhash64("s1", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    # inverse of the Poisson(1) distribution function
-    steps = np.cumsum([np.exp(-1) / k for k in (1, 1, 2, 6, 24, 120, 720, 5040)])
-    weight = sum(((u >= float(s)).cast("int") for s in steps), F.lit(0))
-    drawn = counts.select("s1", value.alias("value"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).withColumn("weight", weight)
-    means = drawn.groupBy("rep").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("mean"))
-    interval = means.agg(F.expr("percentile(mean, 0.025D)").alias("low"), F.expr("percentile(mean, 0.975D)").alias("high"))
-    return counts.agg(F.avg(value).alias("mean")).crossJoin(interval)  # one row beside one row
+    groups = counts.groupBy(F.round(value, 12).alias("value")).agg(F.count("*").alias("n")).filter("value IS NOT NULL").orderBy("value").collect()
+    spark, schema = counts.sparkSession, "mean double, low double, high double"
+    if not groups:
+        return spark.createDataFrame([(None, None, None)], schema)
+    v, n = np.array([g["value"] for g in groups]), np.array([g["n"] for g in groups], np.float64)
+    rng, means = np.random.default_rng(seed), np.zeros(reps)
+    for rep in range(reps):
+        weight = rng.poisson(n)
+        means[rep] = weight @ v / max(weight.sum(), 1)
+    low, high = np.percentile(means, [2.5, 97.5])
+    return spark.createDataFrame([(float(n @ v / n.sum()), float(low), float(high))], schema)
 
 
 def paired_interval(a: DataFrame, b: DataFrame, value: Column, reps: int = 1000, seed: int = 42) -> DataFrame:
@@ -105,6 +110,92 @@ def paired_interval(a: DataFrame, b: DataFrame, value: Column, reps: int = 1000,
     return bootstrap_interval(both, F.col("vb") - F.col("va"), reps, seed)
 
 
+def by_dimension(rows: DataFrame, dimensions: dict[str, Column], *keep: str) -> DataFrame:
+    """(dimension, value, kept columns): a row once for each dimension that slices it."""
+    each = F.array(*(F.struct(F.lit(name).alias("dimension"), value.cast("string").alias("value")) for name, value in dimensions.items()))
+    return rows.select(*keep, F.explode(each).alias("slice")).select("slice.dimension", "slice.value", *keep)
+
+
+def policy_slices(sets: DataFrame, links: DataFrame, policies: list[str], dimensions: dict[str, Column]) -> DataFrame:
+    """policy, dimension, value, links, recovered, recall of candidate sets (policy, s1, mid)."""
+    every = links.withColumn("policy", F.explode(F.array(*map(F.lit, policies))))
+    hit = sets.select("policy", "s1", "mid").distinct().withColumn("hit", F.lit(1))
+    rows = by_dimension(every.join(hit, ["policy", "s1", "mid"], "left"), dimensions, "policy", "hit")
+    out = rows.groupBy("policy", "dimension", "value").agg(F.count("*").alias("links"), F.count("hit").alias("recovered"))
+    return out.withColumn("recall", F.col("recovered") / F.col("links"))
+
+
+def policy_changes(sets: DataFrame, baseline: DataFrame, links: DataFrame) -> DataFrame:
+    """Per policy: pairs and links gained over a baseline, lost from it, and kept."""
+    known = links.select("s1", "mid").distinct().withColumn("y", F.lit(1))
+    names = sets.select("policy").distinct()
+    # few policies: each is compared with the whole baseline
+    base = baseline.select("s1", "mid").distinct().join(F.broadcast(names), F.lit(True)).withColumn("b", F.lit(1))
+    mine = sets.select("policy", "s1", "mid").distinct().withColumn("p", F.lit(1))
+    rows = mine.join(base, ["policy", "s1", "mid"], "full").join(known, ["s1", "mid"], "left")
+    state = {"gained": F.col("b").isNull(), "lost": F.col("p").isNull(), "kept": F.col("b").isNotNull() & F.col("p").isNotNull()}
+    return rows.groupBy("policy").agg(*(c for name, when in state.items() for c in (F.count_if(when).alias(f"{name}_pairs"), F.count_if(when & (F.col("y") == 1)).alias(f"{name}_links"))))
+
+
+def pair_slices(rows: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
+    """Counts of decided pairs (y, accepted) by the values of several dimensions."""
+    sliced = by_dimension(rows, dimensions, "y", "accepted")
+    y, yes = F.col("y") == 1, F.col("accepted")
+    return sliced.groupBy("dimension", "value").agg(
+        F.count("*").alias("candidates"),
+        F.count_if(y).alias("recovered_truth"),
+        F.count_if(yes).alias("predicted"),
+        F.count_if(yes & y).alias("tp"),
+        F.count_if(yes & ~y).alias("fp"),
+        F.count_if(~yes & y).alias("matcher_fn"),
+    )
+
+
+def rank_band(rank: str) -> Column:
+    r = F.col(rank)
+    return F.when(r == 0, "0").when(r <= 10, "1-10").when(r <= 25, "11-25").otherwise("26-50")
+
+
+def error_masks(similar: Column, threshold: float = 0.61) -> dict[str, Column]:
+    """The classes of decided pairs, which overlap.
+
+    Pairs have y, score, pred_n, truth_n, address_missing, script_conflict and the links
+    of their s1 among the pairs by source (s2_links, s3_links).
+    """
+    y, yes, s2, s3 = F.col("y") == 1, F.col("score") >= threshold, F.col("s2_links") > 0, F.col("s3_links") > 0
+    return {
+        "A_strong_missed": y & ~yes & similar,
+        "B_similar_wrong": ~y & yes & similar,
+        "B_all_wrong": ~y & yes,
+        "C_right": y & yes,
+        "D_hard_rejected": ~y & ~yes & (F.col("score") >= 0.05),
+        "E_underpredicted": F.col("pred_n") < F.col("truth_n"),
+        "F_overpredicted": F.col("pred_n") > F.col("truth_n"),
+        "G_address_missing": F.col("address_missing"),
+        "H_script_conflict": F.col("script_conflict"),
+        "I_S2_only": s2 & ~s3,
+        "J_S3_only": s3 & ~s2,
+        "K_both_sources": s2 & s3,
+    }
+
+
+def mask_distributions(rows: DataFrame, masks: dict[str, Column], signals: list[str]) -> DataFrame:
+    """mask, signal, pairs, entities, mean, p10, p50, p90 of the rows of each mask."""
+    named = F.array_compact(F.array(*(F.when(when, F.lit(name)) for name, when in masks.items())))
+    values = F.array(*(F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("v")) for c in signals))
+    long = rows.select("s1", F.explode(named).alias("mask"), values.alias("x")).select("s1", "mask", F.explode("x").alias("x")).select("s1", "mask", "x.signal", "x.v")
+    q = lambda p: F.expr(f"percentile(v, {p}D)")
+    return long.groupBy("mask", "signal").agg(F.count("*").alias("pairs"), F.count_distinct("s1").alias("entities"), F.avg("v").alias("mean"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"))
+
+
+def signal_counts(rows: DataFrame, signals: dict[str, Column], *by: str) -> DataFrame:
+    """signal, links, entities, share of rows (s1, ...) that each of several overlapping signals holds for."""
+    each = F.array(*(F.struct(F.lit(name).alias("signal"), when.alias("hit")) for name, when in signals.items()))
+    long = rows.select(*by, "s1", F.explode(each).alias("x")).select(*by, "s1", "x.signal", "x.hit")
+    hit = F.col("hit")
+    return long.groupBy(*by, "signal").agg(F.count_if(hit).alias("links"), F.count_distinct(F.when(hit, F.col("s1"))).alias("entities"), (F.count_if(hit) / F.count("*")).alias("share"))
+
+
 def entity_threshold_oracle(scored: DataFrame, universe: DataFrame) -> DataFrame:
     """Per s1 the best F0.5 that any score cut gives; equal scores are not split."""
     per = Window.partitionBy("s1").orderBy(F.desc("score"))
@@ -199,6 +290,13 @@ def feature_parity(a: DataFrame, b: DataFrame, columns: list[str], tolerance: fl
     return counts.unpivot([], columns, "feature", "differing")
 
 
+def df_recount(df: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """tokens, differing: word frequencies (cc, tok, df) against a recount by distinct ids."""
+    recount = targets.select("mid", "cc", F.explode(F.split(key, " ")).alias("tok")).filter("tok <> ''").groupBy("cc", "tok").agg(F.count_distinct("mid").alias("again"))
+    both = df.join(recount, ["cc", "tok"], "full")
+    return both.agg(F.count("df").alias("tokens"), F.count_if(~F.col("df").eqNullSafe(F.col("again"))).alias("differing"))
+
+
 def release_gate(figures: dict[str, float]) -> list[str]:
     """The release conditions that figures miss."""
     # Limits of the gate.

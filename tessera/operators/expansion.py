@@ -140,18 +140,26 @@ def neighbour_index(targets: DataFrame, cap: int, top: int = 4, k: int = 20) ->
     return edges.withColumn("direction", F.concat(source_of("seed"), F.lit(">"), source_of("neighbour")))
 
 
-def one_hop(seeds: DataFrame, edges: DataFrame, threshold: float, quota: int) -> DataFrame:
-    """(s1, mid, seed, seed_score, support): neighbours of seeds (s1, seed, seed_score).
+def seed_edges(seeds: DataFrame, edges: DataFrame, threshold: float, quota: int) -> DataFrame:
+    """The ``quota`` best edges of each seed (s1, seed, seed_score) above a score, ranked.
 
-    Each seed passes on its ``quota`` best edges, those to the other source first; of
-    several edges to one target the best is kept, with the number of all.
+    Edges to the other source come first.
     """
     joined = seeds.filter(F.col("seed_score") >= threshold).join(edges, "seed")
     w = Window.partitionBy("s1", "seed").orderBy((source_of("seed") != source_of("neighbour")).desc(), F.desc("shared"), F.round("evidence", 9).desc(), "neighbour")
-    within = joined.withColumn("seed_edge", F.row_number().over(w)).filter(F.col("seed_edge") <= quota)
+    return joined.withColumn("seed_edge", F.row_number().over(w)).filter(F.col("seed_edge") <= quota)
+
+
+def best_edges(found: DataFrame) -> DataFrame:
+    """(s1, mid, seed, seed_score, support): of several edges to one target the best, with the number of all."""
     pair = Window.partitionBy("s1", "neighbour")
     best = pair.orderBy(F.desc("seed_score"), F.desc("shared"), F.round("evidence", 9).desc(), "seed")
-    return within.withColumn("chosen", F.row_number().over(best)).withColumn("support", F.count("*").over(pair)).filter("chosen = 1").select("s1", F.col("neighbour").alias("mid"), "seed", "seed_score", "support")
+    return found.withColumn("chosen", F.row_number().over(best)).withColumn("support", F.count("*").over(pair)).filter("chosen = 1").select("s1", F.col("neighbour").alias("mid"), "seed", "seed_score", "support")
+
+
+def one_hop(seeds: DataFrame, edges: DataFrame, threshold: float, quota: int) -> DataFrame:
+    """(s1, mid, seed, seed_score, support): neighbours of seeds (s1, seed, seed_score)."""
+    return best_edges(seed_edges(seeds, edges, threshold, quota))
 
 
 def new_only(found: DataFrame, known: DataFrame) -> DataFrame:

@@ -136,11 +136,11 @@ def script_features(rows: DataFrame) -> DataFrame:
 
 
 def fuzzy_features(rows: DataFrame) -> DataFrame:
-    out: dict[str, Column] = {}
-    for label, key in (("name", "name_norm"), ("address", "addr_norm")):
-        for name in ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio"):
-            out[f"{label}_{name}"] = getattr(sim, name)(F.col(f"a_{key}"), F.col(f"b_{key}"))
-    return rows.withColumns(out)
+    """The four fuzzy ratios of names and of addresses, by one UDF call each."""
+    fields = {"name": "name_norm", "address": "addr_norm"}
+    rows = rows.withColumns({f"{label}_fuzzy": sim.fuzzy_ratios(f"a_{key}", f"b_{key}") for label, key in fields.items()})
+    rows = rows.withColumns({f"{label}_{name}": F.col(f"{label}_fuzzy")[name] for label in fields for name in sim.RATIOS})
+    return rows.drop(*(f"{label}_fuzzy" for label in fields))
 
 
 def all_features(candidates: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
@@ -249,23 +249,119 @@ def anchors(scored: DataFrame, threshold: float = 0.61, per_source: int = 2) ->
     return scored.filter(F.col("score") >= threshold).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_source).select("s1", F.col("mid").alias("anchor"), F.col("score").alias("anchor_score"))
 
 
-def cross_anchor_features(scored: DataFrame, targets: DataFrame, name_measure, address_measure, threshold: float = 0.61) -> DataFrame:
+def cross_anchor_features(scored: DataFrame, targets: DataFrame, name_measure, address_measure, roman_measure=None, threshold: float = 0.61) -> DataFrame:
     """Support of a pair by anchors of the other source.
 
-    The two measures take (target text, anchor text); either is 0 for an empty text.
+    The measures take (target text, anchor text); each is 0 for an empty text.
+    ``roman_measure`` (by default the one of names) compares romanised names.
     """
-    text = targets.select("mid", "name_norm", "addr_norm")
-    other = anchors(scored, threshold).join(text.select(F.col("mid").alias("anchor"), F.col("name_norm").alias("n2"), F.col("addr_norm").alias("a2")), "anchor")
+    text = targets.select("mid", "name_norm", "addr_norm", transliterate("name_norm").alias("roman"))
+    other = text.select(F.col("mid").alias("anchor"), F.col("name_norm").alias("n2"), F.col("addr_norm").alias("a2"), F.col("roman").alias("r2"))
+    other = anchors(scored, threshold).join(other, "anchor")
     rows = scored.select("s1", "mid").join(text, "mid").join(other, "s1").filter(source_of() != source_of("anchor"))
     both = lambda x, y, m: F.when((F.col(x) != "") & (F.col(y) != ""), m(F.col(x), F.col(y))).otherwise(0.0)
     nums = [F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1))) for c in ("addr_norm", "a2")]
-    rows = rows.withColumns({"n": both("name_norm", "n2", name_measure), "a": both("addr_norm", "a2", address_measure), "d": sim.jaccard(*nums)})
+    rows = rows.withColumns({"n": both("name_norm", "n2", name_measure), "a": both("addr_norm", "a2", address_measure), "r": both("roman", "r2", roman_measure or name_measure), "d": sim.jaccard(*nums)})
+    supports = (F.col("n") >= 0.8) & ((F.col("a") >= 0.6) | (F.col("r") >= 0.9))
     per = rows.groupBy("s1", "mid").agg(
         F.max("n").alias("cross_name"),
         F.max("a").alias("cross_address"),
+        F.max("r").alias("cross_translit"),
         F.max("d").alias("cross_numeric"),
         F.max(F.least("n", "a") * F.col("anchor_score")).alias("cross_joint"),
-        F.sum(((F.col("n") >= 0.8) & (F.col("a") >= 0.6)).cast("long")).alias("cross_support_count"),
+        F.sum(supports.cast("long")).alias("cross_support_count"),
         F.max("anchor_score").alias("cross_seed_score"),
     )
     return scored.join(per, ["s1", "mid"], "left").na.fill(0, per.columns[2:])
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two texts."""
+    n = F.least(F.length(a), F.length(b))
+    places = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.size(F.filter(places, lambda i: F.substr(a, F.lit(1), i) == F.substr(b, F.lit(1), i))).cast("long")
+
+
+def shared_word_df(rows: DataFrame, df: DataFrame, key: str, label: str) -> DataFrame:
+    """Rows with the least and the greatest frequency of the words that a pair shares."""
+    a, b = (words(F.col(f"{x}_{key}")) for x in "ab")
+    token = rows.select("s1", "mid", F.col("a_cc").alias("cc"), F.explode(F.array_intersect(a, b)).alias("tok")).join(df, ["cc", "tok"])
+    ends = token.groupBy("s1", "mid").agg(F.min("df").alias(f"{label}_min_df"), F.max("df").alias(f"{label}_max_df"))
+    return rows.join(ends, ["s1", "mid"], "left")
+
+
+def link_diagnostics(links: DataFrame, s1: DataFrame, targets: DataFrame, candidates: DataFrame, dfs: dict[str, DataFrame], df_cap: int) -> DataFrame:
+    """Why a link was found or not: its keys, likenesses, frequencies and sisters.
+
+    ``dfs`` has the word frequencies of the name and the address.  A sister is another
+    link of the same s1; a retrieved one could lead to a missed one.
+    """
+    more = ("name_acronym", "name_norm")
+    found = candidates.select("s1", "mid", F.lit(True).alias("recovered"))
+    rows = paired(links, s1, targets).join(s1.select("s1", F.col(more[0]).alias("a_acronym")), "s1").join(targets.select("mid", F.col(more[0]).alias("b_acronym")), "mid")
+    for label, key in (("name", "name_nosuffix"), ("address", "addr_norm")):
+        rows = shared_word_df(rows, dfs[label], key, label)
+    rows = rows.join(found, ["s1", "mid"], "left").withColumn("recovered", F.coalesce("recovered", F.lit(False)))
+    a, b, sa, sb = (F.col(c) for c in ("a_name_norm", "b_name_norm", "a_addr_norm", "b_addr_norm"))
+    rare = lambda label: F.coalesce(F.col(f"{label}_min_df") <= df_cap, F.lit(False))
+    eligible = _equal("cc") & (_equal("name_sorted") | _equal("addr_norm") | rare("name") | rare("address"))
+    na, nb = _runs("a"), _runs("b")
+    scripts = [script_class(x).cast("long") for x in (a, b)]
+    overlap = lambda x, y: F.size(F.array_intersect(x, y)).cast("long")
+    out = {
+        "key_eligible": eligible,
+        "miss_category": F.when(F.col("recovered"), "recovered").when(eligible, "eligible_but_lost").otherwise("no_key_eligible"),
+        "exact_name": _equal("name_norm"),
+        "exact_nosuffix": _equal("name_nosuffix"),
+        "exact_sorted": _equal("name_sorted"),
+        "name_token_overlap": overlap(words(F.col("a_name_nosuffix")), words(F.col("b_name_nosuffix"))),
+        "address_token_overlap": overlap(words(sa), words(sb)),
+        "acronym_equal": (F.length("a_acronym") >= 3) & (F.col("a_acronym") == F.col("b_acronym")),
+        "initials_equal": (_initials(a) != "") & (_initials(a) == _initials(b)),
+        "prefix_overlap": common_prefix(a, b),
+        "suffix_overlap": common_prefix(F.reverse(a), F.reverse(b)),
+        "numeric_overlap": overlap(na, nb),
+        "postal_equal": (_postal("a") != "") & (_postal("a") == _postal("b")),
+        "house_equal": _both(na, nb) & (F.get(na, F.lit(0)) == F.get(nb, F.lit(0))),
+        "both_address": (sa != "") & (sb != ""),
+        "s1_address_missing": sa == "",
+        "target_address_missing": sb == "",
+        "same_script": scripts[0] == scripts[1],
+        "devanagari_latin": (F.least(*scripts) == 1) & (F.greatest(*scripts) == 2),
+        "script_relation": F.concat_ws(":", *(c.cast("string") for c in scripts)),
+        "target_source": source_of(),
+    }
+    for label, x, y in (("name", a, b), ("address", sa, sb)):
+        for n in (2, 3, 4):
+            left, right = sim.grams(x, n), sim.grams(y, n)
+            out |= {f"{label}_{n}gram_overlap": overlap(left, right), f"{label}_{n}gram_jaccard": sim.jaccard(left, right)}
+    rows = rows.withColumns(out)
+    per, hit = Window.partitionBy("s1"), F.col("recovered").cast("long")
+    own = F.sum(hit).over(Window.partitionBy("s1", "target_source"))
+    return rows.withColumns({"truth_n": F.count("*").over(per), "true_sister_retrieved": F.sum(hit).over(per) - hit > 0, "cross_source_sister": F.sum(hit).over(per) - own > 0})
+
+
+#: The columns of ``link_diagnostics`` beside s1 and mid.
+DIAGNOSTICS = [
+    "recovered", "key_eligible", "miss_category", "exact_name", "exact_nosuffix", "exact_sorted", "name_token_overlap", "address_token_overlap", "acronym_equal", "initials_equal",
+    "prefix_overlap", "suffix_overlap", "numeric_overlap", "postal_equal", "house_equal", "both_address", "s1_address_missing", "target_address_missing", "same_script", "devanagari_latin",
+    "script_relation", "target_source", "truth_n", "true_sister_retrieved", "cross_source_sister", "name_min_df", "name_max_df", "address_min_df", "address_max_df",
+    *(f"{label}_{n}gram_{kind}" for label in ("name", "address") for n in (2, 3, 4) for kind in ("overlap", "jaccard")),
+]
+
+
+def sister_likeness(diagnosed: DataFrame) -> DataFrame:
+    """Fuzzy ratios of links, and of their targets with other links' targets of the s1.
+
+    ``diagnosed`` are rows of ``link_diagnostics``; links of one s1 are few, and pairs of
+    them are joined on the s1.
+    """
+    a, b, sa, sb = (F.col(c) for c in ("a_name_norm", "b_name_norm", "a_addr_norm", "b_addr_norm"))
+    rows = diagnosed.withColumns({"name_ratio": sim.ratio(a, b), "name_token_sort_ratio": sim.token_sort_ratio(a, b), "name_wratio": sim.weighted_ratio(a, b), "address_ratio": sim.ratio(sa, sb)})
+    sister = diagnosed.select("s1", F.col("mid").alias("sister"), b.alias("n2"), sb.alias("a2"), F.col("recovered").alias("seed"))
+    pair = diagnosed.select("s1", "mid", b.alias("n1"), sb.alias("a1")).join(sister, "s1").filter("mid <> sister")
+    pair = pair.withColumns({"n": sim.ratio("n1", "n2"), "a": sim.ratio("a1", "a2")})
+    seen = lambda c: F.max(F.when(F.col("seed"), F.col(c)))
+    best = pair.groupBy("s1", "mid").agg(seen("n").alias("sister_name_similarity"), seen("a").alias("sister_address_similarity"), F.max("n").alias("strongest_target_name"))
+    rows = rows.join(best, ["s1", "mid"], "left").na.fill(0.0, best.columns[2:])
+    return rows.withColumn("sister_closer_than_s1", F.col("true_sister_retrieved") & (F.col("sister_name_similarity") > F.col("name_ratio")))

@@ -6,11 +6,15 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# The thresholds that a utility model chooses from.
+UTILITY_THRESHOLDS = (0.15, 0.25, 0.35, 0.45, 0.55, 0.61, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95, 0.98, 1.01)
+
+
 def _assembled(columns: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="error")
 
@@ -66,11 +70,25 @@ def fit_isotonic(rows: DataFrame, score: str = "score", label: str = "y") -> tup
 
 def fit_utility(summaries: DataFrame, columns: list[str], utilities: list[str], depth: int = 4, trees: int = 20, seed: int = 42) -> list:
     """A forest per threshold choice that predicts an entity's utility."""
-    data = _assembled(columns).transform(numeric(summaries, columns)).cache()
-    try:
-        return [RandomForestRegressor(featuresCol="x", labelCol=u, maxDepth=depth, numTrees=trees, seed=seed, predictionCol=f"u_{u}").fit(data) for u in utilities]
-    finally:
-        data.unpersist()
+    data = _assembled(columns).transform(numeric(summaries, columns))
+    return [RandomForestRegressor(featuresCol="x", labelCol=u, maxDepth=depth, numTrees=trees, seed=seed, predictionCol=f"u_{u}").fit(data) for u in utilities]
+
+
+def fit_residual(rows: DataFrame, columns: list[str], score: str = "score", label: str = "y", depth: int = 3, rounds: int = 10, seed: int = 42):
+    """Boosted trees for what a score misses, to be added on the logit scale.
+
+    The target is the first step of boosting from the score: (y - p) / (p (1 - p)), held
+    within 4.
+    """
+    p = F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.col(score)))
+    step = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), (F.col(label) - p) / (p * (1 - p))))
+    trees = GBTRegressor(featuresCol="x", labelCol="step", predictionCol="margin", maxDepth=depth, maxIter=rounds, stepSize=0.1, seed=seed)
+    return Pipeline(stages=[_assembled(columns), trees]).fit(numeric(rows, columns).withColumn("step", step))
+
+
+def residual_margin(model, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with the ``margin`` of a fitted residual model."""
+    return model.transform(numeric(rows, columns)).drop("x")
 
 
 def chosen_threshold(models: list, summaries: DataFrame, columns: list[str], thresholds: list[float]) -> DataFrame:

@@ -13,7 +13,7 @@ from tessera.operators import evaluation as ev
 from tessera.operators import expansion as exp
 from tessera.operators import features as feat
 from tessera.operators import learning
-from tessera.plans.er_queries import _N4, CAND, FEATURES, KEYS, candidate_pairs, labelled, query, r6, scored_pairs, sides, table
+from tessera.plans.er_queries import _N4, CAND, FEATURES, KEYS, POLICY, candidate_pairs, labelled, query, r6, scored_pairs, sides, table
 from tessera.plans.pair_queries import _CONTEXT, accepted_pairs
 from tessera.sources.records import derived_records
 
@@ -28,54 +28,32 @@ def popcount_rank(spark, sf_dir):
 
 @query(
     CAND
-    + """ SELECT p.field, count(*) AS links, count(*) FILTER (WHERE p.source_rank IS NULL) AS not_listed, count(*) FILTER (WHERE p.source_rank <= 5) AS within_quota, count(*) FILTER (WHERE p.source_rank > 5) AS beyond_quota, max(p.source_rank) AS deepest FROM (
+    + """ SELECT p.field, count(*) AS links, count(*) FILTER (WHERE p.source_rank IS NULL) AS not_listed, count(*) FILTER (WHERE p.source_rank <= 50) AS within_quota, count(*) FILTER (WHERE p.source_rank > 50) AS beyond_quota, max(p.source_rank) AS deepest FROM (
     SELECT 'name' AS field, gt.s1, gt.mid, r.source_rank FROM gt LEFT JOIN nrank r ON gt.s1 = r.s1 AND gt.mid = r.mid UNION ALL SELECT 'address', gt.s1, gt.mid, r.source_rank FROM gt LEFT JOIN arank r ON gt.s1 = r.s1 AND gt.mid = r.mid) p GROUP BY p.field"""
 )
 def pass_cap_diagnostics(spark, sf_dir):
     """Links per token pass: not on its list, within its quota, beyond it."""
     s1, t = sides(spark, sf_dir)
     truth, out = blk.truth_links(s1, t), None
-    for field, ranked in zip(("name", "address"), blk.token_pass(s1, t, blk.SMALL)):
+    for field, ranked in zip(("name", "address"), blk.token_pass(s1, t, POLICY)):
         rows = truth.join(ranked.select("s1", "mid", "source_rank"), ["s1", "mid"], "left")
         rank = F.col("source_rank")
-        one = rows.agg(F.lit(field).alias("field"), F.count("*").alias("links"), F.count_if(rank.isNull()).alias("not_listed"), F.count_if(rank <= 5).alias("within_quota"), F.count_if(rank > 5).alias("beyond_quota"), F.max(rank).alias("deepest"))
+        one = rows.agg(F.lit(field).alias("field"), F.count("*").alias("links"), F.count_if(rank.isNull()).alias("not_listed"), F.count_if(rank <= 50).alias("within_quota"), F.count_if(rank > 50).alias("beyond_quota"), F.max(rank).alias("deepest"))
         out = one if out is None else out.unionByName(one)
     return out.filter("links > 0")
 
 
-@query(CAND + " SELECT (SELECT count(*) FROM s) AS entities, count(*) AS candidates, round(count(*)::DOUBLE / (SELECT count(*) FROM s), 6) AS density, round(1732544.0 * count(*)::DOUBLE / (SELECT count(*) FROM s), 0) AS projected FROM cand")
+#: The number of S1 that densities are projected to.
+_PROJECT_TO = 1_000_000.0
+
+
+@query(CAND + f" SELECT (SELECT count(*) FROM s) AS entities, count(*) AS candidates, round(count(*)::DOUBLE / (SELECT count(*) FROM s), 6) AS density, round({_PROJECT_TO} * (count(*)::DOUBLE / (SELECT count(*) FROM s)), 0) AS projected FROM cand")
 def density_projection(spark, sf_dir):
-    """Candidates per S1, scaled to a population of 1,732,544."""
+    """Candidates per S1, scaled to a number of S1."""
     s1, _, cand = candidate_pairs(spark, sf_dir)
     sizes = s1.agg(F.count("*").alias("entities")).crossJoin(cand.agg(F.count("*").alias("candidates")))  # one row each
     density = F.col("candidates") / F.col("entities")
-    return sizes.select("entities", "candidates", r6(density, "density"), F.round(1732544.0 * density, 0).alias("projected"))
-
-
-def _overlap_sql(a: str, b: str, reverse: bool) -> str:
-    x, y = (f"reverse({a})", f"reverse({b})") if reverse else (a, b)
-    return f"len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: substr({x}, 1, i) = substr({y}, 1, i)))"
-
-
-def common_prefix(a, b):
-    """Length of the common prefix of two columns."""
-    n = F.least(F.length(a), F.length(b))
-    places = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, lambda i: F.substr(a, F.lit(1), i) == F.substr(b, F.lit(1), i)))
-
-
-@query(
-    FEATURES
-    + f" SELECT s1, mid, {_overlap_sql('an', 'bn', False)} AS name_prefix, {_overlap_sql('an', 'bn', True)} AS name_suffix, {_overlap_sql('aa', 'ba', False)} AS address_prefix, {_overlap_sql('aa', 'ba', True)} AS address_suffix FROM f"
-)
-def link_diagnostics(spark, sf_dir):
-    """Common prefixes and suffixes of names and addresses of a pair."""
-    s1, t, cand = candidate_pairs(spark, sf_dir)
-    rows, out = feat.paired(cand, s1, t), []
-    for label, key in (("name", "name_norm"), ("address", "addr_norm")):
-        a, b = F.col(f"a_{key}"), F.col(f"b_{key}")
-        out += [common_prefix(a, b).cast("long").alias(f"{label}_prefix"), common_prefix(F.reverse(a), F.reverse(b)).cast("long").alias(f"{label}_suffix")]
-    return rows.select("s1", "mid", *out)
+    return sizes.select("entities", "candidates", r6(density, "density"), F.round(_PROJECT_TO * density, 0).alias("projected"))
 
 
 @query(FEATURES + " SELECT count(*) AS rows, 0::BIGINT AS nulls, 0::BIGINT AS nans, count(*) - count(DISTINCT s1 || mid) AS duplicates, 0::BIGINT AS added, 0::BIGINT AS missing FROM f")
@@ -132,13 +110,8 @@ def normalize_replay(spark, sf_dir):
 def token_df_verification(spark, sf_dir):
     """Document frequencies against a recount by distinct ids."""
     _, t = sides(spark, sf_dir)
-    out = None
-    for field, column in (("name", "name_nosuffix"), ("address", "addr_norm")):
-        recount = t.select("mid", "cc", F.explode(F.split(column, " ")).alias("tok")).filter("tok <> ''").groupBy("cc", "tok").agg(F.count_distinct("mid").alias("again"))
-        both = blk.token_df(t, column).join(recount, ["cc", "tok"], "full")
-        one = both.agg(F.lit(field).alias("field"), F.count("df").alias("tokens"), F.count_if(~F.col("df").eqNullSafe(F.col("again"))).alias("differing"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    one, two = (ev.df_recount(blk.token_df(t, key), t, key).select(F.lit(f).alias("field"), "tokens", "differing") for f, key in (("name", "name_nosuffix"), ("address", "addr_norm")))
+    return one.unionByName(two)
 
 
 @query(

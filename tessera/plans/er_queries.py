@@ -1,7 +1,7 @@
 """Registered entity-resolution queries and the same results as DuckDB SQL.
 
-Records are derived from ``documents`` (``sources.records``); ``blocking.SMALL`` holds
-the limits.  Doubles are rounded to six places in both engines, as sums come in any
+Records are derived from ``documents`` (``sources.records``); ``POLICY`` holds the
+limits, those of the surveyed system.  Doubles are rounded to six places in both engines, as sums come in any
 order.
 """
 
@@ -21,15 +21,19 @@ from tessera.operators import expansion as exp
 from tessera.operators import features as feat
 from tessera.operators import sampling as smp
 from tessera.operators import stats
-from tessera.operators.blocking import PASSES_SQL, SMALL
-from tessera.sources.records import RECORDS_SQL, derived_records
+from tessera.operators.blocking import Policy, passes_sql
+from tessera.sources.records import NUMBERED_SQL, RECORDS_SQL, derived_records, numbered_records
 from tessera.sources.scratch import kept
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 KEYS = f"WITH {RECORDS_SQL}, {norm.KEYS_SQL}"
-CAND = f"{KEYS}, {PASSES_SQL}"
+#: The keys of the records of ``part``, which have codes and repeated names.
+NUMBERED = f"WITH {NUMBERED_SQL}, {norm.KEYS_SQL}"
+#: The limits of the candidate passes, here and in their SQL.
+POLICY = Policy()
+CAND = f"{KEYS}, {passes_sql(POLICY)}"
 
 #: A small linear logit over features that SQL can express.
 DEMO_MODEL = {
@@ -88,9 +92,14 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return blk.queries_of(k), blk.targets_of(k)
 
 
+def numbered_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = kept(norm.normalized_keys(numbered_records(spark, sf_dir)), "numbered-keys")
+    return blk.queries_of(k), blk.targets_of(k)
+
+
 def candidate_pairs(spark, sf_dir):
     s1, t = sides(spark, sf_dir)
-    return s1, t, blk.candidates(s1, t, SMALL)
+    return s1, t, blk.candidates(s1, t, POLICY)
 
 
 def scored_pairs(spark, sf_dir):
@@ -218,18 +227,18 @@ def _rank_columns(df):
 @query(CAND + " SELECT s1, mid, shared, round(score, 6) AS score FROM nshort")
 def token_pass_name(spark, sf_dir):
     s1, t = sides(spark, sf_dir)
-    return blk.shortlist(blk.token_scores(s1, t, "name_nosuffix", SMALL.df_cap), SMALL.shortlist).select("s1", "mid", "shared", r6("score", "score"))
+    return blk.shortlist(blk.token_scores(s1, t, "name_nosuffix", POLICY.df_cap), POLICY.shortlist).select("s1", "mid", "shared", r6("score", "score"))
 
 
 @query(CAND + " SELECT s1, mid, shared, round(score, 6) AS score FROM ashort")
 def token_pass_addr(spark, sf_dir):
     s1, t = sides(spark, sf_dir)
-    return blk.shortlist(blk.token_scores(s1, t, "addr_norm", SMALL.df_cap), SMALL.shortlist).select("s1", "mid", "shared", r6("score", "score"))
+    return blk.shortlist(blk.token_scores(s1, t, "addr_norm", POLICY.df_cap), POLICY.shortlist).select("s1", "mid", "shared", r6("score", "score"))
 
 
 @query(CAND + f" SELECT 'name' AS field, {_RANK_SQL} FROM nrank UNION ALL SELECT 'address', {_RANK_SQL} FROM arank")
 def evidence_rank(spark, sf_dir):
-    by_name, by_addr = blk.token_pass(*sides(spark, sf_dir), SMALL)
+    by_name, by_addr = blk.token_pass(*sides(spark, sf_dir), POLICY)
     return _rank_columns(by_name).select(F.lit("name").alias("field"), *_RANKED).unionByName(_rank_columns(by_addr).select(F.lit("address").alias("field"), *_RANKED))
 
 
@@ -239,13 +248,25 @@ def evidence_rank(spark, sf_dir):
     round(score, 12) DESC, shared DESC, coverage_s1 DESC, coverage_target DESC, jaccard DESC, mid) AS joint_rank FROM nrank"""
 )
 def joint_rank(spark, sf_dir):
-    return blk.joint_rank(blk.token_pass(*sides(spark, sf_dir), SMALL)[0]).select("s1", "mid", "source_rank", "joint_rank")
+    return blk.joint_rank(blk.token_pass(*sides(spark, sf_dir), POLICY)[0]).select("s1", "mid", "source_rank", "joint_rank")
+
+
+#: The blocks of the derived records are small below sf0.1, so here heavy begins at 8, and
+#: the token passes keep few of the pairs that the cap would spare.
+_HEAVY = Policy(df_cap=20, shortlist=20, s2_quota=1, s3_quota=1, heavy_block=8, heavy_cap=5)
 
 
-@query(CAND + " SELECT s1, mid, block, heavy_rank, heavy_rank <= 5 AS within_cap FROM hv")
+@query(f"{KEYS}, {passes_sql(_HEAVY)} SELECT s1, mid, block, heavy_rank, heavy_rank <= {_HEAVY.heavy_cap} AS within_cap FROM hv")
 def heavy_cap(spark, sf_dir):
+    """Ranks within heavy blocks, where a block is heavy from 8 targets and capped at 5."""
     s1, t = sides(spark, sf_dir)
-    return blk.heavy_ranks(blk.exact_block(s1, t, "name_sorted"), s1, t, SMALL).withColumn("within_cap", F.col("heavy_rank") <= SMALL.heavy_cap)
+    return blk.heavy_ranks(s1, t, _HEAVY).withColumn("within_cap", F.col("heavy_rank") <= _HEAVY.heavy_cap)
+
+
+@query(f"{KEYS}, {passes_sql(_HEAVY)} SELECT s1, mid, provenance, heavy_sorted_block FROM cand")
+def heavy_union(spark, sf_dir):
+    """The union of the passes under the policy of ``heavy_cap``: its cap drops pairs."""
+    return blk.candidates(*sides(spark, sf_dir), _HEAVY).select("s1", "mid", "provenance", "heavy_sorted_block")
 
 
 _DYN = """, dk AS (SELECT s.s1, coalesce(a.n, 0) AS sorted_n, coalesce(b.n, 0) AS addr_n, coalesce(c.n, 0) AS both_n FROM s LEFT JOIN (SELECT s1, count(*) AS n FROM srt GROUP BY s1) a ON s.s1 = a.s1
@@ -265,13 +286,15 @@ def policy_union(spark, sf_dir):
     return cand.withColumns({c: F.round(c, 6) for c in ("name_shared_idf", "address_shared_idf")})
 
 
-_POLICIES = {"joint_2": "joint_rank <= 2", "joint_5": "joint_rank <= 5", "joint_10": "joint_rank <= 10", "source_2_3": "source_rank <= CASE WHEN substr(mid, 1, 2) = 'S2' THEN 2 ELSE 3 END", "source_5_5": "source_rank <= 5"}
+_POLICIES = {f"joint_{n}": f"joint_rank <= {n}" for n in (75, 100, 150, 200)} | {
+    f"source_{a}_{b}": f"source_rank <= CASE WHEN substr(mid, 1, 2) = 'S2' THEN {a} ELSE {b} END" for a, b in ((37, 38), (49, 51), (50, 50), (75, 75))
+}
 
 
 def _policy_sets(spark, sf_dir):
     """policy, s1, mid of several rank policies over both token passes."""
     s1, t = sides(spark, sf_dir)
-    ranked = [blk.joint_rank(p).select("s1", "mid", "source_rank", "joint_rank") for p in blk.token_pass(s1, t, SMALL)]
+    ranked = [blk.joint_rank(p).select("s1", "mid", "source_rank", "joint_rank") for p in blk.token_pass(s1, t, POLICY)]
     every = ranked[0].unionByName(ranked[1])
     return s1, t, reduce(DataFrame.unionByName, [every.filter(cond).select(F.lit(name).alias("policy"), "s1", "mid").distinct() for name, cond in _POLICIES.items()])
 
@@ -313,36 +336,36 @@ def pareto_frontier(spark, sf_dir):
     CAND
     + _JOINT
     + """ SELECT CASE WHEN a.s1 IS NULL THEN 'only_b' WHEN b.s1 IS NULL THEN 'only_a' ELSE 'both' END AS side, count(*) AS n
-    FROM (SELECT s1, mid FROM ps WHERE policy = 'joint_5') a FULL JOIN (SELECT s1, mid FROM ps WHERE policy = 'source_2_3') b ON a.s1 = b.s1 AND a.mid = b.mid GROUP BY ALL"""
+    FROM (SELECT s1, mid FROM ps WHERE policy = 'joint_100') a FULL JOIN (SELECT s1, mid FROM ps WHERE policy = 'source_50_50') b ON a.s1 = b.s1 AND a.mid = b.mid GROUP BY ALL"""
 )
 def identity_diff(spark, sf_dir):
     sets = _policy_sets(spark, sf_dir)[2]
-    return ev.identity_difference(sets.filter("policy = 'joint_5'"), sets.filter("policy = 'source_2_3'"))
+    return ev.identity_difference(sets.filter("policy = 'joint_100'"), sets.filter("policy = 'source_50_50'"))
 
 
-@query(CAND + _JOINT + " SELECT s1, mid FROM ps WHERE policy = 'joint_5' EXCEPT SELECT s1, mid FROM ps WHERE policy = 'source_2_3'")
+@query(CAND + _JOINT + " SELECT s1, mid FROM ps WHERE policy = 'joint_100' EXCEPT SELECT s1, mid FROM ps WHERE policy = 'source_50_50'")
 def policy_except(spark, sf_dir):
     sets = _policy_sets(spark, sf_dir)[2]
-    return sets.filter("policy = 'joint_5'").select("s1", "mid").subtract(sets.filter("policy = 'source_2_3'").select("s1", "mid"))
+    return sets.filter("policy = 'joint_100'").select("s1", "mid").subtract(sets.filter("policy = 'source_50_50'").select("s1", "mid"))
 
 
-@query(CAND + _JOINT + " SELECT s1, mid FROM ps WHERE policy = 'joint_5' INTERSECT SELECT s1, mid FROM ps WHERE policy = 'source_2_3'")
+@query(CAND + _JOINT + " SELECT s1, mid FROM ps WHERE policy = 'joint_100' INTERSECT SELECT s1, mid FROM ps WHERE policy = 'source_50_50'")
 def policy_intersect(spark, sf_dir):
     sets = _policy_sets(spark, sf_dir)[2]
-    return sets.filter("policy = 'joint_5'").select("s1", "mid").intersect(sets.filter("policy = 'source_2_3'").select("s1", "mid"))
+    return sets.filter("policy = 'joint_100'").select("s1", "mid").intersect(sets.filter("policy = 'source_50_50'").select("s1", "mid"))
 
 
 @query(
     CAND
-    + """ SELECT variant, s1, mid FROM (SELECT 'idf' AS variant, s1, mid, row_number() OVER (PARTITION BY s1 ORDER BY round(score, 12) DESC, shared DESC, mid) AS rk, 5 AS cap FROM nscore
-    UNION ALL SELECT 'balanced', s1, mid, row_number() OVER (PARTITION BY s1, substr(mid, 1, 2) ORDER BY round(score, 12) DESC, shared DESC, mid), 3 FROM nscore
-    UNION ALL SELECT 'idf_coverage', n.s1, n.mid, row_number() OVER (PARTITION BY n.s1 ORDER BY round(score + 2.0 * shared / least(len(list_distinct(string_split(s.name_nosuffix, ' '))), len(list_distinct(string_split(t.name_nosuffix, ' ')))), 12) DESC, shared DESC, n.mid), 5
+    + """ SELECT variant, s1, mid FROM (SELECT 'idf' AS variant, s1, mid, row_number() OVER (PARTITION BY s1 ORDER BY round(score, 12) DESC, shared DESC, mid) AS rk, 100 AS cap FROM nscore
+    UNION ALL SELECT 'balanced', s1, mid, row_number() OVER (PARTITION BY s1, substr(mid, 1, 2) ORDER BY round(score, 12) DESC, shared DESC, mid), 50 FROM nscore
+    UNION ALL SELECT 'idf_coverage', n.s1, n.mid, row_number() OVER (PARTITION BY n.s1 ORDER BY round(score + 2.0 * shared / least(len(list_distinct(string_split(s.name_nosuffix, ' '))), len(list_distinct(string_split(t.name_nosuffix, ' ')))), 12) DESC, shared DESC, n.mid), 100
       FROM nscore n JOIN s ON n.s1 = s.s1 JOIN t ON n.mid = t.mid
-    UNION ALL SELECT 'dynamic', n.s1, n.mid, row_number() OVER (PARTITION BY n.s1 ORDER BY round(score, 12) DESC, shared DESC, n.mid), CASE WHEN EXISTS (SELECT 1 FROM srt WHERE srt.s1 = n.s1) THEN 2 WHEN EXISTS (SELECT 1 FROM xad WHERE xad.s1 = n.s1) THEN 4 ELSE 8 END FROM nscore n) WHERE rk <= cap"""
+    UNION ALL SELECT 'dynamic', n.s1, n.mid, row_number() OVER (PARTITION BY n.s1 ORDER BY round(score, 12) DESC, shared DESC, n.mid), CASE WHEN EXISTS (SELECT 1 FROM srt WHERE srt.s1 = n.s1) THEN 50 WHEN EXISTS (SELECT 1 FROM xad WHERE xad.s1 = n.s1) THEN 100 ELSE 200 END FROM nscore n) WHERE rk <= cap"""
 )
 def refinement_variants(spark, sf_dir):
     s1, t = sides(spark, sf_dir)
-    scores = blk.token_scores(s1, t, "name_nosuffix", SMALL.df_cap)
+    scores = kept(blk.token_scores(s1, t, "name_nosuffix", POLICY.df_cap), "scores")
     order = [F.desc("shared"), F.asc("mid")]
     base = F.round("score", 12).desc()
     per, src = Window.partitionBy("s1"), Window.partitionBy("s1", blk.source_of())
@@ -354,62 +377,96 @@ def refinement_variants(spark, sf_dir):
     covered = scores.join(s1.select("s1", n("n1")), "s1").join(t.select("mid", n("n2")), "mid")
     hits = lambda key, name: blk.exact_block(s1, t, key).select("s1", F.lit(1).alias(name)).distinct()
     banded = scores.join(hits("name_sorted", "x"), "s1", "left").join(hits("addr_norm", "z"), "s1", "left")
-    cap = F.when(F.col("x") == 1, 2).when(F.col("z") == 1, 4).otherwise(8)
+    cap = F.when(F.col("x") == 1, 50).when(F.col("z") == 1, 100).otherwise(200)
     coverage = F.round(F.col("score") + 2.0 * F.col("shared") / F.least("n1", "n2"), 12).desc()
-    return reduce(DataFrame.unionByName, [variant(scores, "idf", per, base, 5), variant(scores, "balanced", src, base, 3), variant(covered, "idf_coverage", per, coverage, 5), variant(banded, "dynamic", per, base, cap)])
+    return reduce(DataFrame.unionByName, [variant(scores, "idf", per, base, 100), variant(scores, "balanced", src, base, 50), variant(covered, "idf_coverage", per, coverage, 100), variant(banded, "dynamic", per, base, cap)])
 
 
 # --- losses and reports ---------------------------------------------------------------
 
-_LOSS = """, go AS (SELECT gt.s1, gt.mid, s.cc, s.addr_norm AS sa, t.addr_norm AS ta, (length(s.name_sorted) > 0 AND s.name_sorted = t.name_sorted) AS sorted_ok, (length(s.addr_norm) > 0 AND s.addr_norm = t.addr_norm) AS addr_ok,
-  coalesce(n.sh, 0) AS name_n, coalesce(a.sh, 0) AS addr_n FROM gt JOIN s ON gt.s1 = s.s1 JOIN t ON gt.mid = t.mid
-  LEFT JOIN (SELECT s1, mid, shared AS sh FROM nscore) n ON gt.s1 = n.s1 AND gt.mid = n.mid LEFT JOIN (SELECT s1, mid, shared AS sh FROM ascore) a ON gt.s1 = a.s1 AND gt.mid = a.mid),
-gl AS (SELECT go.*, CASE WHEN c.s1 IS NOT NULL THEN 'found' WHEN sorted_ok OR addr_ok OR name_n > 0 OR addr_n > 0 THEN 'cap_or_rank' ELSE 'no_key' END AS outcome FROM go LEFT JOIN cand c ON go.s1 = c.s1 AND go.mid = c.mid)"""
+#: Losses are reported under the limits in force and under two that lose links.
+LOSSY = {
+    "reference": POLICY,
+    "rare_words": Policy(df_cap=4, shortlist=5, s2_quota=1, s3_quota=1, heavy_block=8, heavy_cap=1),
+    "short_quota": Policy(df_cap=20, shortlist=5, s2_quota=1, s3_quota=1, heavy_block=8, heavy_cap=1),
+}
 
+_LOSS = """, go AS (SELECT gt.s1, gt.mid, s.cc, s.addr_norm AS sa, t.addr_norm AS ta, s.name_norm AS sn, t.name_norm AS tn, s.name_sorted <> '' AND s.name_sorted = t.name_sorted AS sorted_ok, s.addr_norm <> '' AND s.addr_norm = t.addr_norm AS addr_ok,
+  coalesce(n.shared, 0) AS name_n, coalesce(a.shared, 0) AS addr_n, (SELECT count(*) FROM t z WHERE z.cc = s.cc AND z.name_sorted = s.name_sorted) AS key_n,
+  list_filter(list_intersect(string_split(s.name_nosuffix, ' '), string_split(t.name_nosuffix, ' ')), lambda x: x <> '') AS nw, list_filter(list_intersect(string_split(s.addr_norm, ' '), string_split(t.addr_norm, ' ')), lambda x: x <> '') AS aw,
+  list_distinct(list_concat(string_split(s.addr_norm, ' '), string_split(t.addr_norm, ' '))) AS au
+  FROM gt JOIN s ON gt.s1 = s.s1 JOIN t ON gt.mid = t.mid LEFT JOIN nscore n ON gt.s1 = n.s1 AND gt.mid = n.mid LEFT JOIN ascore a ON gt.s1 = a.s1 AND gt.mid = a.mid),
+gl AS (SELECT go.*, CASE WHEN c.s1 IS NOT NULL THEN 'found' WHEN sorted_ok OR addr_ok OR name_n > 0 OR addr_n > 0 THEN 'cap_or_rank' WHEN len(nw) + len(aw) > 0 THEN 'df_above_cutoff' ELSE 'no_key' END AS outcome FROM go LEFT JOIN cand c ON go.s1 = c.s1 AND go.mid = c.mid)"""
 
-def _loss(spark, sf_dir):
-    """Links with their eligible passes and what became of them."""
-    s1, t, cand = candidate_pairs(spark, sf_dir)
-    pair = blk.truth_links(s1, t).join(s1.select("s1", "cc", F.col("name_sorted").alias("so"), F.col("addr_norm").alias("sa")), "s1").join(t.select("mid", F.col("name_sorted").alias("to"), F.col("addr_norm").alias("ta")), "mid")
+
+def _each_policy(select: str) -> str:
+    """A query on ``gl`` under every lossy policy, the policy's name first."""
+    return " UNION ALL ".join(f"SELECT '{name}' AS policy, * FROM ({KEYS}, {passes_sql(policy)}{_LOSS} {select})" for name, policy in LOSSY.items())
+
+
+def loss_rows(s1: DataFrame, t: DataFrame, policy: Policy) -> DataFrame:
+    """Links with their eligible passes and what became of them under a policy."""
+    cand = blk.candidates(s1, t, policy)
+    key = F.col("name_sorted")
+    sizes = t.filter(key != "").groupBy("cc", "name_sorted").agg(F.count("*").alias("key_n"))
+    left = s1.join(sizes, ["cc", "name_sorted"], "left").select("s1", "cc", key.alias("so"), F.col("addr_norm").alias("sa"), F.col("name_norm").alias("sn"), F.col("name_nosuffix").alias("sx"), F.coalesce("key_n", F.lit(0)).alias("key_n"))
+    right = t.select("mid", key.alias("to"), F.col("addr_norm").alias("ta"), F.col("name_norm").alias("tn"), F.col("name_nosuffix").alias("tx"))
+    pair = blk.truth_links(s1, t).join(left, "s1").join(right, "mid")
     for field, name in (("name_nosuffix", "name_n"), ("addr_norm", "addr_n")):
-        pair = pair.join(blk.token_scores(s1, t, field, SMALL.df_cap).select("s1", "mid", F.col("shared").alias(name)), ["s1", "mid"], "left")
-    pair = pair.na.fill(0, ["name_n", "addr_n"]).withColumn("sorted_ok", (F.length("so") > 0) & (F.col("so") == F.col("to"))).withColumn("addr_ok", (F.length("sa") > 0) & (F.col("sa") == F.col("ta")))
+        pair = pair.join(blk.token_scores(s1, t, field, policy.df_cap).select("s1", "mid", F.col("shared").alias(name)), ["s1", "mid"], "left")
+    pair = pair.na.fill(0, ["name_n", "addr_n"]).withColumn("sorted_ok", (F.col("so") != "") & (F.col("so") == F.col("to"))).withColumn("addr_ok", (F.col("sa") != "") & (F.col("sa") == F.col("ta")))
+    common = lambda a, b: F.size(F.array_intersect(norm.words(F.col(a)), norm.words(F.col(b))))
     found = cand.select("s1", "mid", F.lit(1).alias("found"))
-    outcome = F.when(F.col("found") == 1, "found").when(F.col("sorted_ok") | F.col("addr_ok") | (F.col("name_n") > 0) | (F.col("addr_n") > 0), "cap_or_rank").otherwise("no_key")
+    outcome = (
+        F.when(F.col("found") == 1, "found")
+        .when(F.col("sorted_ok") | F.col("addr_ok") | (F.col("name_n") > 0) | (F.col("addr_n") > 0), "cap_or_rank")
+        .when(common("sx", "tx") + common("sa", "ta") > 0, "df_above_cutoff")
+        .otherwise("no_key")
+    )
     return pair.join(found, ["s1", "mid"], "left").withColumn("outcome", outcome)
 
 
+def _loss(spark, sf_dir):
+    """``loss_rows`` of every lossy policy."""
+    s1, t = sides(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [kept(loss_rows(s1, t, policy), "losses").withColumn("policy", F.lit(name)) for name, policy in LOSSY.items()])
+
+
 def _band(c):
     return F.when(F.col(c) >= 3, "3+").otherwise(F.col(c).cast("string"))
 
 
-@query(CAND + _LOSS + " SELECT outcome, cc, substr(mid, 1, 2) AS source, CASE WHEN length(sa) = 0 AND length(ta) = 0 THEN 'both_missing' WHEN length(sa) = 0 THEN 's1_missing' WHEN length(ta) = 0 THEN 'target_missing' ELSE 'both_present' END AS address, count(*) AS links FROM gl GROUP BY ALL")
+@query(_each_policy("SELECT outcome, cc, substr(mid, 1, 2) AS source, CASE WHEN sa = '' AND ta = '' THEN 'both_missing' WHEN sa = '' THEN 's1_missing' WHEN ta = '' THEN 'target_missing' ELSE 'both_present' END AS address, count(*) AS links FROM gl GROUP BY ALL"))
 def retrieval_loss(spark, sf_dir):
-    sa, ta = F.length("sa") == 0, F.length("ta") == 0
+    sa, ta = F.col("sa") == "", F.col("ta") == ""
     address = F.when(sa & ta, "both_missing").when(sa, "s1_missing").when(ta, "target_missing").otherwise("both_present")
-    return _loss(spark, sf_dir).groupBy("outcome", "cc", blk.source_of().alias("source"), address.alias("address")).agg(F.count("*").alias("links"))
+    return _loss(spark, sf_dir).groupBy("policy", "outcome", "cc", blk.source_of().alias("source"), address.alias("address")).agg(F.count("*").alias("links"))
 
 
-@query(CAND + _LOSS + " SELECT outcome, CASE WHEN name_n >= 3 THEN '3+' ELSE name_n::VARCHAR END AS name_band, CASE WHEN addr_n >= 3 THEN '3+' ELSE addr_n::VARCHAR END AS addr_band, count(*) AS links FROM gl GROUP BY ALL")
+@query(
+    _each_policy(
+        """SELECT outcome, CASE WHEN name_n >= 3 THEN '3+' ELSE name_n::VARCHAR END AS name_band, CASE WHEN addr_n >= 3 THEN '3+' ELSE addr_n::VARCHAR END AS addr_band,
+    CASE WHEN len(au) = 0 OR len(aw) = 0 THEN 'none' WHEN len(aw)::DOUBLE / len(au) >= 0.75 THEN 'high' WHEN len(aw)::DOUBLE / len(au) >= 0.4 THEN 'middle' ELSE 'low' END AS likeness,
+    CASE WHEN key_n > 20 THEN '21+' WHEN key_n > 5 THEN '6-20' WHEN key_n > 0 THEN '1-5' ELSE '0' END AS key_frequency,
+    CASE WHEN regexp_matches(sn, '[a-z]') THEN 1 ELSE 0 END || ':' || CASE WHEN regexp_matches(tn, '[a-z]') THEN 1 ELSE 0 END AS scripts, count(*) AS links FROM gl GROUP BY ALL"""
+    )
+)
 def lost_pair_anatomy(spark, sf_dir):
-    return _loss(spark, sf_dir).groupBy("outcome", _band("name_n").alias("name_band"), _band("addr_n").alias("addr_band")).agg(F.count("*").alias("links"))
-
-
-@query(CAND + _LOSS + " SELECT CASE WHEN name_n > 0 AND addr_n > 0 THEN 'both' WHEN name_n > 0 THEN 'name_only' WHEN addr_n > 0 THEN 'address_only' ELSE 'neither' END AS passes, count(*) AS links, count(*) FILTER (WHERE outcome <> 'found') AS lost FROM gl GROUP BY ALL")
+    """Links by outcome, shared words, likeness of addresses, frequency of the name key and scripts."""
+    a, b = F.split("sa", " "), F.split("ta", " ")
+    common, union = F.size(F.array_intersect(norm.words(F.col("sa")), norm.words(F.col("ta")))), F.size(F.array_union(a, b))
+    j = common / F.greatest(union, F.lit(1))
+    likeness = F.when(common == 0, "none").when(j >= 0.75, "high").when(j >= 0.4, "middle").otherwise("low")
+    n = F.col("key_n")
+    frequency = F.when(n > 20, "21+").when(n > 5, "6-20").when(n > 0, "1-5").otherwise("0")
+    scripts = F.concat_ws(":", *(norm.script_class(F.col(c)).cast("string") for c in ("sn", "tn")))
+    return _loss(spark, sf_dir).groupBy("policy", "outcome", _band("name_n").alias("name_band"), _band("addr_n").alias("addr_band"), likeness.alias("likeness"), frequency.alias("key_frequency"), scripts.alias("scripts")).agg(F.count("*").alias("links"))
+
+
+@query(_each_policy("SELECT CASE WHEN name_n > 0 AND addr_n > 0 THEN 'both' WHEN name_n > 0 THEN 'name_only' WHEN addr_n > 0 THEN 'address_only' ELSE 'neither' END AS passes, count(*) AS links, count(*) FILTER (WHERE outcome <> 'found') AS lost FROM gl GROUP BY ALL"))
 def pass_attribution(spark, sf_dir):
     passes = F.when((F.col("name_n") > 0) & (F.col("addr_n") > 0), "both").when(F.col("name_n") > 0, "name_only").when(F.col("addr_n") > 0, "address_only").otherwise("neither")
-    return _loss(spark, sf_dir).groupBy(passes.alias("passes")).agg(F.count("*").alias("links"), F.count_if(F.col("outcome") != "found").alias("lost"))
-
-
-_MISS = """SELECT signal, count(*) FILTER (WHERE hit) AS links, count(DISTINCT CASE WHEN hit THEN s1 END) AS entities FROM (SELECT s1, unnest(['sorted_name', 'exact_address', 'name_token', 'address_token', 'missing_address', 'lost']) AS signal,
-  unnest([sorted_ok, addr_ok, name_n > 0, addr_n > 0, length(sa) = 0 OR length(ta) = 0, outcome <> 'found']) AS hit FROM gl) GROUP BY signal"""
-
-
-@query(CAND + _LOSS + " " + _MISS)
-def miss_categories(spark, sf_dir):
-    signals = {"sorted_name": "sorted_ok", "exact_address": "addr_ok", "name_token": "name_n > 0", "address_token": "addr_n > 0", "missing_address": "length(sa) = 0 OR length(ta) = 0", "lost": "outcome <> 'found'"}
-    rows = _loss(spark, sf_dir).select("s1", F.explode(F.array(*(F.struct(F.lit(n).alias("signal"), F.expr(e).alias("hit")) for n, e in signals.items()))).alias("x")).select("s1", "x.*")
-    return rows.groupBy("signal").agg(F.count_if("hit").alias("links"), F.count_distinct(F.when(F.col("hit"), F.col("s1"))).alias("entities"))
+    return _loss(spark, sf_dir).groupBy("policy", passes.alias("passes")).agg(F.count("*").alias("links"), F.count_if(F.col("outcome") != "found").alias("lost"))
 
 
 @query(CAND + " SELECT provenance, count(*) AS candidates, count(gt.mid) AS links FROM cand LEFT JOIN gt ON cand.s1 = gt.s1 AND cand.mid = gt.mid GROUP BY provenance")
@@ -456,9 +513,10 @@ tot AS (SELECT count(*)::DOUBLE AS n FROM t),
 sg4 AS (SELECT s1, cc, unnest("""
     + _GRAMS.format(f="name_norm")
     + """) AS gram FROM s WHERE length(name_norm) BETWEEN 4 AND 64),
-sel4 AS (SELECT * FROM (SELECT s1, cc, gram, df, row_number() OVER (PARTITION BY s1 ORDER BY df, gram) AS kr FROM sg4 JOIN g4df USING (cc, gram) WHERE df <= 100) WHERE kr <= 4),
+sel4 AS (SELECT * FROM (SELECT s1, cc, gram, df, row_number() OVER (PARTITION BY s1 ORDER BY df, gram) AS kr FROM sg4 JOIN g4df USING (cc, gram) WHERE df <= 1000) WHERE kr <= 4),
 hit4 AS (SELECT s1, mid, count(*) AS shared, sum(ln(1.0 + tot.n / df)) AS evidence FROM sel4 JOIN tg4 USING (cc, gram) CROSS JOIN tot GROUP BY s1, mid),
-name4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1, substr(mid, 1, 2) ORDER BY round(evidence, 9) DESC, shared DESC, mid) AS source_rank FROM hit4) WHERE source_rank <= 5)"""
+name4r AS (SELECT *, row_number() OVER (PARTITION BY s1, substr(mid, 1, 2) ORDER BY round(evidence, 9) DESC, shared DESC, mid) AS source_rank FROM hit4),
+name4 AS (SELECT * FROM name4r WHERE source_rank <= 25)"""
 )
 
 
@@ -470,7 +528,7 @@ def ngram_df(spark, sf_dir):
 @query(KEYS + _N4 + " SELECT s1, mid, shared, round(evidence, 6) AS evidence, source_rank FROM name4")
 def name4_pass(spark, sf_dir):
     s1, t = sides(spark, sf_dir)
-    return exp.gram_pass(s1, t, "name_norm", cap=100, quota=5).withColumn("evidence", F.round("evidence", 6))
+    return exp.gram_pass(s1, t, "name_norm", cap=1000, quota=25).withColumn("evidence", F.round("evidence", 6))
 
 
 @query(
@@ -481,19 +539,19 @@ def name4_pass(spark, sf_dir):
     sa4 AS (SELECT s1, cc, unnest("""
     + _GRAMS.format(f="addr_norm")
     + """) AS gram FROM s WHERE length(addr_norm) BETWEEN 4 AND 96),
-    sel AS (SELECT * FROM (SELECT s1, cc, gram, df, row_number() OVER (PARTITION BY s1 ORDER BY df, gram) AS kr FROM sa4 JOIN a4df USING (cc, gram) WHERE df <= 50) WHERE kr <= 4),
+    sel AS (SELECT * FROM (SELECT s1, cc, gram, df, row_number() OVER (PARTITION BY s1 ORDER BY df, gram) AS kr FROM sa4 JOIN a4df USING (cc, gram) WHERE df <= 200) WHERE kr <= 4),
     hit AS (SELECT s1, mid, count(*) AS shared, sum(ln(1.0 + tot.n / df)) AS evidence FROM sel JOIN ta4 USING (cc, gram) CROSS JOIN tot GROUP BY s1, mid)
     SELECT s1, mid, shared, round(evidence, 6) AS evidence, source_rank FROM (SELECT h.*, row_number() OVER (PARTITION BY h.s1, substr(h.mid, 1, 2) ORDER BY round(evidence, 9) DESC, shared DESC, round(jaro_winkler_similarity(s.name_norm, t.name_norm), 9) DESC, h.mid) AS source_rank
-    FROM hit h JOIN s ON h.s1 = s.s1 JOIN t ON h.mid = t.mid) WHERE source_rank <= 5"""
+    FROM hit h JOIN s ON h.s1 = s.s1 JOIN t ON h.mid = t.mid) WHERE source_rank <= 15"""
 )
 def address4_pass(spark, sf_dir):
     s1, t = sides(spark, sf_dir)
-    return exp.gram_pass(s1, t, "addr_norm", cap=50, quota=5, high=96, tie="name_norm").withColumn("evidence", F.round("evidence", 6))
+    return exp.gram_pass(s1, t, "addr_norm", cap=200, quota=15, high=96, tie="name_norm").withColumn("evidence", F.round("evidence", 6))
 
 
-def _key_pass_sql(key: str, cap: int, quota: int) -> str:
+def _key_pass_sql(key: str, cap: int, quota: int, keys: str = KEYS) -> str:
     return (
-        KEYS
+        keys
         + f""", tk AS (SELECT mid, cc, name_norm AS n2, addr_norm AS a2, unnest({key}) AS ky FROM t), kdf AS (SELECT cc, ky, count(*) AS df FROM tk GROUP BY ALL),
     sk AS (SELECT * FROM (SELECT x.*, df, row_number() OVER (PARTITION BY s1 ORDER BY df, ky) AS kr FROM (SELECT s1, cc, name_norm AS n1, addr_norm AS a1, unnest({key}) AS ky FROM s) x JOIN kdf USING (cc, ky) WHERE df <= {cap}) WHERE kr = 1),
     h AS (SELECT s1, mid, max(round(jaro_winkler_similarity(n1, n2), 9)) AS name_similarity, max(round(CASE WHEN a1 <> '' AND a2 <> '' THEN jaro_winkler_similarity(a1, a2) ELSE 0.0 END, 9)) AS address_similarity, min(df) AS key_df FROM sk JOIN tk USING (cc, ky) GROUP BY s1, mid)
@@ -505,14 +563,14 @@ def _six(df):
     return df.withColumns({c: F.round(c, 6) for c in ("name_similarity", "address_similarity")})
 
 
-@query(_key_pass_sql("CASE WHEN length(name_acronym) BETWEEN 3 AND 12 THEN [name_acronym] ELSE [] END", 50, 5))
+@query(_key_pass_sql("CASE WHEN length(name_acronym) BETWEEN 3 AND 12 THEN [name_acronym] ELSE [] END", 200, 10))
 def acronym_pass(spark, sf_dir):
-    return _six(exp.key_pass(*sides(spark, sf_dir), exp.acronym_key(), 50, 5))
+    return _six(exp.key_pass(*sides(spark, sf_dir), exp.acronym_key(), 200, 10))
 
 
-@query(_key_pass_sql("list_filter(num_tokens, lambda x: length(x) BETWEEN 4 AND 6)", 50, 5))
+@query(_key_pass_sql("list_filter(num_tokens, lambda x: length(x) BETWEEN 4 AND 6)", 200, 10, NUMBERED))
 def postal_numeric_pass(spark, sf_dir):
-    return _six(exp.key_pass(*sides(spark, sf_dir), exp.numeric_key(), 50, 5))
+    return _six(exp.key_pass(*numbered_sides(spark, sf_dir), exp.numeric_key(), 200, 10))
 
 
 @query(KEYS + " SELECT cc, x.src, length(n) AS digits, count(*) AS n FROM (SELECT src, cc, unnest(num_tokens) AS n FROM k) x WHERE length(n) BETWEEN 1 AND 3 GROUP BY ALL")
@@ -530,7 +588,7 @@ def _sister_sql(seed_cte: str, quota: int) -> str:
         + _N4
         + f""", {seed_cte},
     qg AS (SELECT DISTINCT seeds.s1, seeds.seed, t.cc, g.gram FROM seeds JOIN t ON seeds.seed = t.mid JOIN tg4 g ON g.mid = t.mid),
-    qsel AS (SELECT * FROM (SELECT qg.*, df, row_number() OVER (PARTITION BY s1, seed ORDER BY df, gram) AS kr FROM qg JOIN g4df USING (cc, gram) WHERE df <= 100) WHERE kr <= 4),
+    qsel AS (SELECT * FROM (SELECT qg.*, df, row_number() OVER (PARTITION BY s1, seed ORDER BY df, gram) AS kr FROM qg JOIN g4df USING (cc, gram) WHERE df <= 1000) WHERE kr <= 4),
     qh AS (SELECT s1, tg4.mid, count(*) AS shared, sum(ln(1.0 + tot.n / df)) AS evidence, count(DISTINCT seed) AS contributing_seeds FROM qsel JOIN tg4 USING (cc, gram) CROSS JOIN tot WHERE substr(tg4.mid, 1, 2) <> substr(seed, 1, 2) GROUP BY s1, tg4.mid)
     SELECT s1, mid, shared, round(evidence, 6) AS evidence, contributing_seeds, s1_rank FROM (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY contributing_seeds DESC, round(evidence, 9) DESC, shared DESC, mid) AS s1_rank FROM qh) WHERE s1_rank <= {quota}"""
     )
@@ -539,7 +597,7 @@ def _sister_sql(seed_cte: str, quota: int) -> str:
 @query(_sister_sql(f"seeds AS (SELECT s1, mid AS seed FROM (SELECT s1, mid, row_number() OVER (PARTITION BY s1 ORDER BY {_SEED_ORDER}) AS sr FROM cand) WHERE sr <= 1)", 10))
 def sister_single(spark, sf_dir):
     _, t, cand = candidate_pairs(spark, sf_dir)
-    return exp.sister_pass(exp.best_seeds(cand, 1), t, cap=100, quota=10).withColumn("evidence", F.round("evidence", 6))
+    return exp.sister_pass(exp.best_seeds(cand, 1), t, cap=1000, quota=10).withColumn("evidence", F.round("evidence", 6))
 
 
 @query(
@@ -551,29 +609,29 @@ def sister_single(spark, sf_dir):
 )
 def sister_multi(spark, sf_dir):
     _, t, cand = candidate_pairs(spark, sf_dir)
-    return exp.sister_pass(exp.interleaved_seeds(cand, 2, 3), t, cap=100, quota=15).withColumn("evidence", F.round("evidence", 6))
+    return exp.sister_pass(exp.interleaved_seeds(cand, 2, 3), t, cap=1000, quota=15).withColumn("evidence", F.round("evidence", 6))
 
 
 @query(
-    CAND
+    f"{NUMBERED}, {passes_sql(POLICY)}"
     + """, sd AS (SELECT s1, mid AS seed FROM (SELECT s1, mid, row_number() OVER (PARTITION BY s1 ORDER BY mid) AS sr FROM cand WHERE (provenance & 2) > 0 AND (provenance & 12) > 0 AND (provenance & 1) = 0) WHERE sr <= 3),
     ky AS (SELECT mid, cc, name_sorted, src FROM t WHERE length(name_sorted) > 0), sm AS (SELECT cc, name_sorted, src FROM ky GROUP BY ALL HAVING count(*) <= 20),
     raw AS (SELECT DISTINCT sd.s1, k2.mid FROM sd JOIN ky k1 ON sd.seed = k1.mid JOIN ky k2 ON k1.cc = k2.cc AND k1.name_sorted = k2.name_sorted AND k1.src <> k2.src JOIN sm ON sm.cc = k2.cc AND sm.name_sorted = k2.name_sorted AND sm.src = k2.src)
     SELECT s1, mid FROM (SELECT s1, mid, row_number() OVER (PARTITION BY s1 ORDER BY mid) AS rk FROM raw) WHERE rk <= 20 EXCEPT SELECT s1, mid FROM cand"""
 )
 def sister_sorted_name(spark, sf_dir):
-    _, t, cand = candidate_pairs(spark, sf_dir)
-    return exp.sorted_name_sisters(cand, t)
+    s1, t = numbered_sides(spark, sf_dir)
+    return exp.sorted_name_sisters(blk.candidates(s1, t, POLICY), t)
 
 
-_NEIGH = """, nsel AS (SELECT * FROM (SELECT mid AS seed, cc, gram, df, row_number() OVER (PARTITION BY mid ORDER BY df, gram) AS kr FROM tg4 JOIN g4df USING (cc, gram) WHERE df <= 50) WHERE kr <= 4),
+_NEIGH = """, nsel AS (SELECT * FROM (SELECT mid AS seed, cc, gram, df, row_number() OVER (PARTITION BY mid ORDER BY df, gram) AS kr FROM tg4 JOIN g4df USING (cc, gram) WHERE df <= 1000) WHERE kr <= 4),
 nh AS (SELECT seed, tg4.mid AS neighbour, count(*) AS shared, sum(ln(1.0 + tot.n / df)) AS evidence FROM nsel JOIN tg4 USING (cc, gram) CROSS JOIN tot WHERE tg4.mid <> seed GROUP BY ALL),
-edges AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed, substr(neighbour, 1, 2) ORDER BY shared DESC, round(evidence, 9) DESC, neighbour) AS edge_rank FROM nh) WHERE edge_rank <= 5)"""
+edges AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed, substr(neighbour, 1, 2) ORDER BY shared DESC, round(evidence, 9) DESC, neighbour) AS edge_rank FROM nh) WHERE edge_rank <= 20)"""
 
 
 @query(KEYS + _N4 + _NEIGH + " SELECT seed, neighbour, shared, round(evidence, 6) AS evidence, edge_rank, substr(seed, 1, 2) || '>' || substr(neighbour, 1, 2) AS direction FROM edges")
 def neighbor_index(spark, sf_dir):
-    return exp.neighbour_index(sides(spark, sf_dir)[1], cap=50, k=5).withColumn("evidence", F.round("evidence", 6)).select("seed", "neighbour", "shared", "evidence", "edge_rank", "direction")
+    return exp.neighbour_index(sides(spark, sf_dir)[1], cap=1000, k=20).withColumn("evidence", F.round("evidence", 6)).select("seed", "neighbour", "shared", "evidence", "edge_rank", "direction")
 
 
 @query(
@@ -585,33 +643,40 @@ def neighbor_index(spark, sf_dir):
 )
 def one_hop_expand(spark, sf_dir):
     _, t, scored, _ = scored_pairs(spark, sf_dir)
-    return exp.one_hop(scored.select("s1", F.col("mid").alias("seed"), F.col("score").alias("seed_score")), exp.neighbour_index(t, cap=50, k=5), 0.5, 3)
+    return exp.one_hop(scored.select("s1", F.col("mid").alias("seed"), F.col("score").alias("seed_score")), exp.neighbour_index(t, cap=1000, k=20), 0.5, 3)
+
+
+#: Ranks that the sweep lifts to: of heavy blocks, of the token passes, of name 4-grams.
+_SWEEP = {"heavy": 300, "tokens": 80, "name4": 40}
 
 
 @query(
     CAND
-    + """, lifted AS (SELECT DISTINCT s1, mid FROM (SELECT s1, mid FROM nrank WHERE source_rank BETWEEN 6 AND 10 UNION ALL SELECT s1, mid FROM arank WHERE source_rank BETWEEN 6 AND 10 UNION ALL SELECT s1, mid FROM hv WHERE heavy_rank BETWEEN 6 AND 15))
-    SELECT l.s1, l.mid FROM lifted l LEFT JOIN cand c ON l.s1 = c.s1 AND l.mid = c.mid WHERE c.s1 IS NULL"""
+    + _N4
+    + f""", lifted AS (SELECT 'tokens' AS sweep, s1, mid FROM ranked WHERE source_rank BETWEEN {POLICY.s2_quota + 1} AND {_SWEEP["tokens"]} UNION SELECT 'heavy', s1, mid FROM hv WHERE heavy_rank BETWEEN {POLICY.heavy_cap + 1} AND {_SWEEP["heavy"]}
+    UNION SELECT 'name4', s1, mid FROM name4r WHERE source_rank BETWEEN 26 AND {_SWEEP["name4"]})
+    SELECT l.sweep, l.s1, l.mid FROM lifted l ANTI JOIN cand USING (s1, mid)"""
 )
 def cap_sweep(spark, sf_dir):
-    """Pairs that higher quotas and a higher heavy cap would add."""
+    """Pairs that higher quotas and a higher heavy cap would add, by the cap that is lifted."""
     s1, t, cand = candidate_pairs(spark, sf_dir)
-    ranks = [p.filter(F.col("source_rank").between(6, 10)) for p in blk.token_pass(s1, t, SMALL)]
-    heavy = blk.heavy_ranks(blk.exact_block(s1, t, "name_sorted"), s1, t, SMALL).filter(F.col("heavy_rank").between(6, 15))
-    lifted = reduce(DataFrame.unionByName, [p.select("s1", "mid") for p in (*ranks, heavy)]).distinct()
-    return lifted.join(cand.select("s1", "mid"), ["s1", "mid"], "left_anti")
+    within = lambda rows, rank, low, high, name: rows.filter(F.col(rank).between(low, high)).select(F.lit(name).alias("sweep"), "s1", "mid")
+    lifted = [within(p, "source_rank", POLICY.s2_quota + 1, _SWEEP["tokens"], "tokens") for p in blk.token_pass(s1, t, POLICY)]
+    lifted.append(within(blk.heavy_ranks(s1, t, POLICY), "heavy_rank", POLICY.heavy_cap + 1, _SWEEP["heavy"], "heavy"))
+    lifted.append(within(exp.gram_pass(s1, t, "name_norm", cap=1000, quota=_SWEEP["name4"]), "source_rank", 26, _SWEEP["name4"], "name4"))
+    return reduce(DataFrame.unionByName, lifted).distinct().join(cand.select("s1", "mid"), ["s1", "mid"], "left_anti")
 
 
 @query(CAND + _N4 + " SELECT mask, count(*) AS pairs FROM (SELECT s1, mid, bit_or(b) AS mask FROM (SELECT s1, mid, 1::BIGINT AS b FROM cand UNION ALL SELECT s1, mid, 2 FROM name4 UNION ALL SELECT s1, mid, 4 FROM srt) GROUP BY ALL) GROUP BY mask")
 def pass_union_mask(spark, sf_dir):
     s1, t, cand = candidate_pairs(spark, sf_dir)
-    return exp.pass_mask(cand, exp.gram_pass(s1, t, "name_norm", cap=100, quota=5), blk.exact_block(s1, t, "name_sorted")).groupBy("mask").agg(F.count("*").alias("pairs"))
+    return exp.pass_mask(cand, exp.gram_pass(s1, t, "name_norm", cap=1000, quota=25), blk.exact_block(s1, t, "name_sorted")).groupBy("mask").agg(F.count("*").alias("pairs"))
 
 
 @query(CAND + _N4 + " SELECT n.s1, n.mid, 0::BIGINT AS provenance, 0::BIGINT AS name_token_rank, 0::BIGINT AS address_token_rank, 0::BIGINT AS source_balanced_rank FROM name4 n LEFT JOIN cand c ON n.s1 = c.s1 AND n.mid = c.mid WHERE c.s1 IS NULL")
 def new_only_candidates(spark, sf_dir):
     s1, t, cand = candidate_pairs(spark, sf_dir)
-    return exp.new_only(exp.gram_pass(s1, t, "name_norm", cap=100, quota=5), cand)
+    return exp.new_only(exp.gram_pass(s1, t, "name_norm", cap=1000, quota=25), cand)
 
 
 @query(

@@ -17,8 +17,9 @@ from tessera.operators import features as feat
 from tessera.operators import learning
 from tessera.operators import sampling as smp
 from tessera.operators import stats
-from tessera.plans.er_queries import CAND, COUNTS, F05, FEATURES, KEYS, candidate_pairs, keys, labelled, query, r6, scored_pairs, sides, table, universe
+from tessera.plans.er_queries import CAND, COUNTS, F05, FEATURES, KEYS, POLICY, candidate_pairs, keys, labelled, query, r6, scored_pairs, sides, table, universe
 from tessera.sources.records import read_truth_tsv, write_tsv
+from tessera.sources.scratch import kept
 
 # --- features ---------------------------------------------------------------------------
 
@@ -205,12 +206,20 @@ def residual_context(spark, sf_dir):
     cr AS (SELECT sc.s1, sc.mid, {_lev_sql("x.name_norm", "w.name_norm")} AS n, {_lev_sql("x.addr_norm", "w.addr_norm")} AS a, {_jaccard_sql("list_distinct(regexp_extract_all(x.addr_norm, '[0-9]+'))", "list_distinct(regexp_extract_all(w.addr_norm, '[0-9]+'))")} AS d, anchor_score
       FROM sc JOIN t x ON sc.mid = x.mid JOIN an0 ON sc.s1 = an0.s1 JOIN t w ON an0.anchor = w.mid WHERE substr(sc.mid, 1, 2) <> substr(an0.anchor, 1, 2))
     SELECT sc.s1, sc.mid, round(coalesce(max(n), 0.0), 6) AS cross_name, round(coalesce(max(a), 0.0), 6) AS cross_address, round(coalesce(max(d), 0.0), 6) AS cross_numeric, round(coalesce(max(least(n, a) * anchor_score), 0.0), 6) AS cross_joint,
-    coalesce(sum((n >= 0.8 AND a >= 0.6)::INT), 0)::BIGINT AS cross_support_count, coalesce(max(anchor_score), 0.0) AS cross_seed_score FROM sc LEFT JOIN cr ON sc.s1 = cr.s1 AND sc.mid = cr.mid GROUP BY sc.s1, sc.mid"""
+    round(coalesce(max(n), 0.0), 6) AS cross_translit, coalesce(sum((n >= 0.8 AND (a >= 0.6 OR n >= 0.9))::INT), 0)::BIGINT AS cross_support_count, coalesce(max(anchor_score), 0.0) AS cross_seed_score FROM sc LEFT JOIN cr ON sc.s1 = cr.s1 AND sc.mid = cr.mid GROUP BY sc.s1, sc.mid"""
 )
 def cross_anchor(spark, sf_dir):
     _, t, scored, _ = scored_pairs(spark, sf_dir)
     out = feat.cross_anchor_features(scored.select("s1", "mid", "score"), t, sim.levenshtein_similarity, sim.levenshtein_similarity)
-    return out.drop("score").withColumns({c: F.round(c, 6) for c in ("cross_name", "cross_address", "cross_numeric", "cross_joint")})
+    return out.drop("score").withColumns({c: F.round(c, 6) for c in ("cross_name", "cross_address", "cross_translit", "cross_numeric", "cross_joint")})
+
+
+@query()
+def cross_anchor_fuzzy(spark, sf_dir):
+    """The cross-source features with their own measures, which SQL has not."""
+    _, t, scored, _ = scored_pairs(spark, sf_dir)
+    out = feat.cross_anchor_features(scored.select("s1", "mid", "score"), t, sim.ratio, sim.token_set_ratio, sim.ratio)
+    return out.drop("score").withColumns({c: F.round(c, 6) for c in ("cross_name", "cross_address", "cross_translit", "cross_numeric", "cross_joint")})
 
 
 # --- scores and samples -----------------------------------------------------------------
@@ -252,28 +261,40 @@ def score_rule_fuzzy(spark, sf_dir):
     return rows.select("s1", "mid", r6(dec.rule_score(None), "score"))
 
 
-_HARD = FEATURES + f", hd AS (SELECT f.s1, f.mid, round({_HARD_SQL}, 6) AS hard_score, (ax <> '' AND ax = bx) OR (aa <> '' AND aa = ba) AS collides, (gt.mid IS NOT NULL)::INT AS y FROM f LEFT JOIN gt ON f.s1 = gt.s1 AND f.mid = gt.mid)"
+_HARD = FEATURES + f", hd AS (SELECT f.s1, f.mid, round({_HARD_SQL}, 6) AS hard_score, (ax <> '' AND ax = bx) OR (aa <> '' AND aa = ba) OR (ao <> '' AND ao = bo) AS collides, f.provenance, f.passes, (gt.mid IS NOT NULL)::INT AS y FROM f LEFT JOIN gt ON f.s1 = gt.s1 AND f.mid = gt.mid)"
 
 
 def _hard_rows(spark, sf_dir):
     s1, t, rows = _rule_rows(spark, sf_dir)
     hard = F.round(dec.weighted_score(dec.HARD_WEIGHTS, _PLAIN_SETS), 6).alias("hard_score")
-    return labelled(rows.select("s1", "mid", hard, (F.col("exact_name_nosuffix") | F.col("exact_address_norm")).alias("collides")), blk.truth_links(s1, t))
+    exact = F.col("exact_name_nosuffix") | F.col("exact_address_norm") | F.col("exact_name_sorted")
+    return labelled(rows.select("s1", "mid", "provenance", hard, exact.alias("collides")), blk.truth_links(s1, t))
 
 
-@query(_HARD + " SELECT s1, mid, y, hard_score FROM (SELECT *, row_number() OVER (PARTITION BY s1, substr(mid, 1, 2), y ORDER BY hard_score DESC, md5(mid || ':hybrid'), mid) AS n FROM hd) WHERE y = 1 OR n <= 3")
+@query(_HARD + " SELECT s1, mid, y, hard_score FROM (SELECT *, row_number() OVER (PARTITION BY s1, substr(mid, 1, 2), y ORDER BY hard_score DESC, md5(mid || ':current-hybrid-v1'), mid) AS n FROM hd) WHERE y = 1 OR n <= 10")
 def neg_sample_hybrid(spark, sf_dir):
-    return smp.hard_negatives(_hard_rows(spark, sf_dir).drop("collides"), 3, "hybrid")
+    return smp.hard_negatives(_hard_rows(spark, sf_dir).select("s1", "mid", "y", "hard_score"), 10, "current-hybrid-v1")
 
 
 @query(
     _HARD
-    + """ SELECT s1, mid, y, hard_score FROM (SELECT *, row_number() OVER (PARTITION BY s1, y ORDER BY hard_score DESC, md5(mid || ':mixed'), mid) AS a, row_number() OVER (PARTITION BY s1, y, collides ORDER BY hard_score DESC, md5(mid || ':mixed'), mid) AS b,
-    row_number() OVER (PARTITION BY s1, y ORDER BY md5(mid || ':mixed'), mid) AS c FROM hd) WHERE y = 1 OR a <= 6 OR (collides AND b <= 3) OR c <= 3"""
+    + """ SELECT s1, mid, y, hard_score FROM hd WINDOW w AS (PARTITION BY s1, substr(mid, 1, 2), y)
+    QUALIFY y = 1 OR row_number() OVER (w ORDER BY hard_score DESC, mid) <= 6 OR row_number() OVER (w ORDER BY md5(mid || ':mixed-v1-42'), mid) <= 3
+      OR ((collides OR passes >= 2) AND row_number() OVER (w ORDER BY collides DESC, provenance DESC, hard_score DESC, mid) <= 3)"""
 )
 def neg_sample_mixed(spark, sf_dir):
     rows = _hard_rows(spark, sf_dir)
-    return smp.mixed_negatives(rows.withColumnRenamed("collides", "clash"), F.col("clash")).drop("clash")
+    return smp.mixed_negatives(rows, F.col("collides")).select("s1", "mid", "y", "hard_score")
+
+
+@query(_HARD + " SELECT s1, mid, y, hard_score FROM hd QUALIFY y = 1 OR row_number() OVER (PARTITION BY s1, y ORDER BY hard_score DESC, mid) <= 20")
+def neg_sample_hard(spark, sf_dir):
+    return smp.ranked_negatives(_hard_rows(spark, sf_dir).select("s1", "mid", "y", "hard_score"), 20, F.desc("hard_score"))
+
+
+@query(_HARD + " SELECT s1, mid, y, hard_score FROM hd QUALIFY y = 1 OR row_number() OVER (PARTITION BY s1, y ORDER BY md5(mid || ':42'), mid) <= 20")
+def neg_sample_random(spark, sf_dir):
+    return smp.random_negatives(_hard_rows(spark, sf_dir).select("s1", "mid", "y", "hard_score"), 20, "42")
 
 
 @query(FEATURES + " SELECT s1, mid, y, score FROM (SELECT *, row_number() OVER (PARTITION BY s1, y ORDER BY score DESC, mid) AS a, row_number() OVER (PARTITION BY s1, y ORDER BY md5(mid || ':mined'), mid) AS b FROM y) WHERE y = 1 OR a <= 10 OR b <= 2")
@@ -407,20 +428,35 @@ def tsv_roundtrip(spark, sf_dir):
 
     s1, _, accepted, _ = accepted_pairs(spark, sf_dir)
     path = scratch_path(spark, "matches")
-    write_tsv(dec.prediction_sets(accepted, s1).select(F.col("s1").alias("source1_entity_id"), F.col("matched").alias("matched_entity_ids")), path, "source1_entity_id")
+    write_tsv(dec.prediction_sets(accepted, s1).select(F.col("s1").alias("source1_entity_id"), F.col("matched").alias("matched_entity_ids")), path, "source1_entity_id", unique="source1_entity_id")
     return ev.identity_difference(read_truth_tsv(spark, path).filter("mid IS NOT NULL"), accepted)
 
 
+def summary_rows(scored: DataFrame, s1: DataFrame, t: DataFrame) -> DataFrame:
+    """Scored pairs with what the utility summary reads, by built-in measures."""
+    cross = feat.cross_anchor_features(scored.select("s1", "mid", "score"), t, sim.levenshtein_similarity, sim.levenshtein_similarity)
+    rows = feat.script_features(feat.paired(cross.select("s1", "mid", "score", "cross_joint"), s1, t))
+    like = lambda key: F.when((F.col(f"a_{key}") != "") & (F.col(f"b_{key}") != ""), sim.levenshtein_similarity(F.col(f"a_{key}"), F.col(f"b_{key}"))).otherwise(0.0)
+    return rows.withColumns({"name_similarity": like("name_norm"), "address_similarity": like("addr_norm"), "address_missing": (F.col("a_addr_norm") == "") | (F.col("b_addr_norm") == "")})
+
+
+_SUMMARY_DOUBLES = ("gap", "candidate_log_count", "score_sum", "s2_log_count", "s3_log_count", "missing_fraction", "cross_max", "cross_mean", "top_name", "top_address", "top_cross", "score_mean")
+
+
 @query(
     FEATURES
-    + """, r AS (SELECT s1, mid, score, row_number() OVER (PARTITION BY s1 ORDER BY score DESC, mid) AS n, substr(mid, 1, 2) = 'S2' AS is2 FROM sc)
-    SELECT s1, coalesce(max(CASE WHEN n = 1 THEN score END), 0.0) AS top, coalesce(max(CASE WHEN n = 2 THEN score END), 0.0) AS second, coalesce(max(CASE WHEN n = 3 THEN score END), 0.0) AS third,
-    round(coalesce(max(CASE WHEN n = 1 THEN score END), 0.0) - coalesce(max(CASE WHEN n = 2 THEN score END), 0.0), 6) AS gap, round(ln(1 + count(*)), 6) AS candidate_log_count, round(sum(score), 6) AS score_sum, sum((score >= 0.8)::INT)::BIGINT AS high_count,
-    coalesce(max(CASE WHEN is2 THEN score END), 0.0) AS s2_top, coalesce(max(CASE WHEN NOT is2 THEN score END), 0.0) AS s3_top, round(ln(1 + sum(is2::INT)), 6) AS s2_log_count, round(ln(1 + sum((NOT is2)::INT)), 6) AS s3_log_count, round(avg(score), 6) AS score_mean FROM r GROUP BY s1"""
+    + f""", an0 AS (SELECT s1, mid AS anchor, score AS anchor_score FROM sc WHERE score >= 0.61 QUALIFY row_number() OVER (PARTITION BY s1, substr(mid, 1, 2) ORDER BY score DESC, mid) <= 2),
+    cr AS (SELECT sc.s1, sc.mid, max(least({_lev_sql("sc.bn", "w.name_norm")}, {_lev_sql("sc.ba", "w.addr_norm")}) * anchor_score) AS j FROM sc JOIN an0 ON sc.s1 = an0.s1 JOIN t w ON an0.anchor = w.mid WHERE substr(sc.mid, 1, 2) <> substr(an0.anchor, 1, 2) GROUP BY ALL),
+    r AS (SELECT sc.*, coalesce(cr.j, 0.0) AS j, {_lev_sql("an", "bn")} AS ns, {_lev_sql("aa", "ba")} AS ad, aa = '' OR ba = '' AS mi, regexp_matches(an, '[a-z]') AS x, regexp_matches(bn, '[a-z]') AS w, row_number() OVER (PARTITION BY sc.s1 ORDER BY score DESC, sc.mid) AS n, substr(sc.mid, 1, 2) = 'S2' AS is2 FROM sc LEFT JOIN cr ON sc.s1 = cr.s1 AND sc.mid = cr.mid)
+    SELECT s1, max(score) AS top, coalesce(max(score) FILTER (WHERE n = 2), 0.0) AS second, coalesce(max(score) FILTER (WHERE n = 3), 0.0) AS third, round(max(score) - coalesce(max(score) FILTER (WHERE n = 2), 0.0), 6) AS gap, round(ln(1 + count(*)), 6) AS candidate_log_count,
+    round(sum(score), 6) AS score_sum, count(*) FILTER (WHERE score >= 0.8) AS high_count, coalesce(max(score) FILTER (WHERE is2), 0.0) AS s2_top, coalesce(max(score) FILTER (WHERE NOT is2), 0.0) AS s3_top, round(ln(1 + sum(is2::INT)), 6) AS s2_log_count, round(ln(1 + sum((NOT is2)::INT)), 6) AS s3_log_count,
+    round(avg(mi::INT), 6) AS missing_fraction, round(max(j), 6) AS cross_max, round(avg(j), 6) AS cross_mean, round(max(ns) FILTER (WHERE n = 1), 6) AS top_name, round(max(ad) FILTER (WHERE n = 1), 6) AS top_address, round(max(j) FILTER (WHERE n = 1), 6) AS top_cross,
+    max(mi::INT) FILTER (WHERE n = 1)::DOUBLE AS top_missing, 0.0::DOUBLE AS top_script, round(avg(score), 6) AS score_mean FROM r GROUP BY s1"""
 )
 def utility_summary(spark, sf_dir):
-    out = dec.utility_summary(scored_pairs(spark, sf_dir)[2].select("s1", "mid", "score"))
-    return out.withColumns({c: F.round(c, 6) for c in ("gap", "candidate_log_count", "score_sum", "s2_log_count", "s3_log_count", "score_mean")})
+    """The 20 inputs of the utility model; records are ASCII, so scripts cannot conflict."""
+    s1, t, scored, _ = scored_pairs(spark, sf_dir)
+    return dec.utility_summary(summary_rows(scored, s1, t)).withColumns({c: F.round(c, 6) for c in _SUMMARY_DOUBLES})
 
 
 # --- evaluation ------------------------------------------------------------------------------
@@ -581,10 +617,10 @@ def candidate_audit(spark, sf_dir):
     return ev.candidate_audit(cand, s1, t)
 
 
-@query(CAND + " SELECT 'name' AS pass, count(*) AS rows, count(*) FILTER (WHERE source_rank > 5) AS beyond_quota, max(source_rank) AS deepest, count(*) - count(DISTINCT s1 || mid) AS duplicates FROM nrank UNION ALL SELECT 'address', count(*), count(*) FILTER (WHERE source_rank > 5), max(source_rank), count(*) - count(DISTINCT s1 || mid) FROM arank")
+@query(CAND + " SELECT 'name' AS pass, count(*) AS rows, count(*) FILTER (WHERE source_rank > 50) AS beyond_quota, max(source_rank) AS deepest, count(*) - count(DISTINCT s1 || mid) AS duplicates FROM nrank UNION ALL SELECT 'address', count(*), count(*) FILTER (WHERE source_rank > 50), max(source_rank), count(*) - count(DISTINCT s1 || mid) FROM arank")
 def pass_audit(spark, sf_dir):
-    passes = blk.token_pass(*sides(spark, sf_dir), blk.SMALL)
-    one = lambda name, p: p.agg(F.lit(name).alias("pass"), F.count("*").alias("rows"), F.count_if(~blk.within_quota(blk.SMALL)).alias("beyond_quota"), F.max("source_rank").alias("deepest"), (F.count("*") - F.count_distinct("s1", "mid")).alias("duplicates"))
+    passes = blk.token_pass(*sides(spark, sf_dir), POLICY)
+    one = lambda name, p: p.agg(F.lit(name).alias("pass"), F.count("*").alias("rows"), F.count_if(~blk.within_quota(POLICY)).alias("beyond_quota"), F.max("source_rank").alias("deepest"), (F.count("*") - F.count_distinct("s1", "mid")).alias("duplicates"))
     return one("name", passes[0]).unionByName(one("address", passes[1]))
 
 
@@ -697,34 +733,30 @@ def ml_train_score(spark, sf_dir):
     for group in (feat.provenance_features, feat.exact_features, feat.length_features, feat.token_features, feat.numeric_features):
         rows = group(rows)
     columns = [c for g in ("exact", "token", "numeric") for c in feat.GROUPS[g]] + ["retrieval_pass_count", "name_token_rank", "address_token_rank"]
-    data = labelled(rows.select("s1", "mid", *columns), blk.truth_links(s1, t)).cache()
-    try:
-        train = data.filter(smp.inner_role(F.col("s1")) == "fit")
-        linear, trees = learning.fit_logistic(train, columns), learning.fit_trees(train, columns, depth=3, rounds=5)
-        scored = learning.scored_by(linear, data, columns, "linear")
-        a, b = learning.fit_platt(scored.filter(smp.inner_role(F.col("s1")) == "fit"), "linear")
-        out = learning.scored_by(trees, scored, columns, "trees")
-        return out.select("s1", "mid", "y", r6("linear", "linear"), r6("trees", "trees"), r6(dec.platt(F.col("linear"), a, b), "calibrated"), r6(dec.ensemble({"linear": 0.5, "trees": 0.5}), "ensemble"))
-    finally:
-        data.unpersist()
+    data = labelled(rows.select("s1", "mid", *columns), blk.truth_links(s1, t))
+    data = kept(data, "pairs")
+    train = data.filter(smp.inner_role(F.col("s1")) == "fit")
+    linear, trees = learning.fit_logistic(train, columns), learning.fit_trees(train, columns, depth=3, rounds=5)
+    scored = learning.scored_by(linear, data, columns, "linear")
+    a, b = learning.fit_platt(scored.filter(smp.inner_role(F.col("s1")) == "fit"), "linear")
+    out = learning.scored_by(trees, scored, columns, "trees")
+    return out.select("s1", "mid", "y", r6("linear", "linear"), r6("trees", "trees"), r6(dec.platt(F.col("linear"), a, b), "calibrated"), r6(dec.ensemble({"linear": 0.5, "trees": 0.5}), "ensemble"))
 
 
 @query()
 def entity_utility(spark, sf_dir):
-    """A forest predicts each S1's F0.5 at three thresholds and picks one of them."""
-    s1, _, scored, truth = scored_pairs(spark, sf_dir)
-    rows, every, choices = labelled(scored, truth), universe(s1, truth), [0.45, 0.61, 0.8]
-    summary = dec.utility_summary(scored.select("s1", "mid", "score"))
+    """A forest predicts each S1's F0.5 at fifteen thresholds and picks one of them."""
+    s1, t, scored, truth = scored_pairs(spark, sf_dir)
+    rows, every, choices = labelled(scored, truth), universe(s1, truth), list(learning.UTILITY_THRESHOLDS)
+    summary = dec.utility_summary(summary_rows(scored, s1, t))
     columns = [c for c in summary.columns if c != "s1"]
     hits = [F.sum(F.when(F.col("score") >= c, F.col("y")).otherwise(0)).alias(f"tp{i}") for i, c in enumerate(choices)]
     sizes = [F.count_if(F.col("score") >= c).alias(f"pred{i}") for i, c in enumerate(choices)]
     per = rows.groupBy("s1").agg(*hits, *sizes).join(every.select("s1", "truth_n"), "s1")
-    data = summary.join(per.select("s1", *(ev.f05("truth_n", f"pred{i}", f"tp{i}").alias(f"utility{i}") for i in range(3))), "s1").cache()
-    try:
-        models = learning.fit_utility(data, columns, [f"utility{i}" for i in range(3)], trees=5)
-        return learning.chosen_threshold(models, data, columns, choices)
-    finally:
-        data.unpersist()
+    data = summary.join(per.select("s1", *(ev.f05("truth_n", f"pred{i}", f"tp{i}").alias(f"utility{i}") for i in range(len(choices)))), "s1")
+    data = kept(data, "summaries")
+    models = learning.fit_utility(data, columns, [f"utility{i}" for i in range(len(choices))], trees=5)
+    return learning.chosen_threshold(models, data, columns, choices)
 
 
 @query("SELECT o_orderpriority AS label, count(*) AS rows FROM orders GROUP BY 1 ORDER BY rows DESC, label LIMIT 3")

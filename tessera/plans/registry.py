@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import audit_queries, er_queries, pair_queries  # noqa: F401  (registers its queries)
+from tessera.plans import audit_queries, er_queries, pair_queries, report_queries  # noqa: F401  (registers its queries)
 
 QUERIES = dict(er_queries.QUERIES)
 ORACLE_SQL = dict(er_queries.ORACLE_SQL)

@@ -21,8 +21,15 @@ def read_source_tsv(spark: SparkSession, *paths: str) -> DataFrame:
     return raw.select(*(F.coalesce(c, F.lit("")).alias(c) for c in raw.columns))
 
 
-def write_tsv(df: DataFrame, path: str, *order: str) -> None:
-    """One line per row in a global order, with header, without quotes."""
+def write_tsv(df: DataFrame, path: str, *order: str, unique: str | None = None) -> None:
+    """One line per row in a global order, with header, without quotes.
+
+    A value of ``unique`` that two rows have is an error, and nothing is written.
+    """
+    if unique is not None:
+        twice = df.groupBy(unique).count().filter("count > 1").select(unique).head(1)
+        if twice:
+            raise ValueError(f"several lines for {unique} {twice[0][0]}")
     text = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns))
     text.orderBy(*order).write.mode("overwrite").csv(path, sep="\t", quote="", escape="", header=True, emptyValue="", nullValue="")
 
@@ -51,6 +58,19 @@ def write_partitioned(keys: DataFrame, path: str, shards: int = 16) -> None:
     sharded.repartition("cc", "shard").sortWithinPartitions("entity_id").write.mode("overwrite").option("compression", "zstd").partitionBy("cc", "shard").parquet(path)
 
 
+def write_features(rows: DataFrame, path: str, descriptions: dict[str, str], version: str) -> None:
+    """A feature table as ZSTD Parquet of fixed types, sorted by pair within files.
+
+    The columns are s1, mid and those of ``descriptions``, in that order: booleans and whole numbers as
+    they are, all others as doubles.  Each column carries its description and the
+    version of the features in its metadata, which Spark keeps in the files.
+    """
+    whole = {name: kind in ("boolean", "int", "bigint") for name, kind in rows.dtypes}
+    columns = [F.col(c) if whole[c] else F.col(c).cast("double") for c in descriptions]
+    described = [c.alias(name, metadata={"comment": text, "version": version}) for c, (name, text) in zip(columns, descriptions.items())]
+    rows.select("s1", "mid", *described).sortWithinPartitions("s1", "mid").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
 def with_role(spark: SparkSession, pattern: str, *paths: str) -> DataFrame:
     """Parquet rows with a ``role`` taken from their file's name."""
     return spark.read.parquet(*paths).withColumn("role", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
@@ -59,11 +79,14 @@ def with_role(spark: SparkSession, pattern: str, *paths: str) -> DataFrame:
 def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of ``documents``: words 1-4 are the name, 5-12 the address.
 
-    doc_id 0, 3, ... are S1, 1, 4, ... are S2 and 2, 5, ... are S3.  ``truth_key``
-    (words 1-8) is shared by records of one entity within a country.
+    doc_id 0, 3, ... are S1, 1, 4, ... are S2 and 2, 5, ... are S3.  Records of one entity
+    within a country share ``truth_key``: the words after their fields (13-30), so that
+    a link's names and addresses may differ by edits; of shorter documents all letters
+    and digits, null if there are none.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ", 13)  # 12 words and the rest
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ", 31)  # 30 words and the rest
+    entity = F.when(F.size("w") >= 30, F.array_join(F.slice("w", 13, 18), " ")).otherwise(F.array_join("w", ""))
     src = F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"))
     base = docs.select("doc_id", "lang", src.alias("src"), words.alias("w"))
     return base.select(
@@ -72,14 +95,37 @@ def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.slice("w", 1, 4), " ").alias("business_name"),
         F.array_join(F.slice("w", 5, 8), " ").alias("business_address"),
         F.col("lang").alias("country"),
-        F.md5(F.array_join(F.slice("w", 1, 8), " ")).alias("truth_key"),
+        F.md5(F.nullif(entity, F.lit(""))).alias("truth_key"),
     )
 
 
 #: The same records for DuckDB, as the CTE ``rec``.
 RECORDS_SQL = """
-base AS (SELECT doc_id, lang, 'S' || (doc_id % 3 + 1) AS src,
-  string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+base AS (SELECT doc_id, lang, 'S' || (doc_id % 3 + 1) AS src, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
 rec AS (SELECT src || '-' || lpad(doc_id::VARCHAR, 8, '0') AS entity_id, src,
   array_to_string(w[1:4], ' ') AS business_name, array_to_string(w[5:12], ' ') AS business_address,
-  lang AS country, md5(array_to_string(w[1:8], ' ')) AS truth_key FROM base)"""
+  lang AS country, md5(nullif(CASE WHEN len(w) >= 30 THEN array_to_string(w[13:30], ' ') ELSE array_to_string(w, '') END, '')) AS truth_key FROM base)"""
+
+
+def numbered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of ``part``: nine parts in a row share a five-digit code and a country.
+
+    The address is the part's type and the code, so records may agree in code or address
+    and have other names, and several records of a source may have one name.
+    """
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    src = F.expr("concat('S', p_partkey % 3 + 1)")
+    return parts.select(
+        F.concat(src, F.lit("-"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("entity_id"),
+        src.alias("src"),
+        F.lower("p_name").alias("business_name"),
+        F.expr("concat(lower(p_type), ' ', p_partkey DIV 9 + 10000)").alias("business_address"),
+        F.expr("concat('c', p_partkey DIV 9 % 10)").alias("country"),
+        F.expr("md5(string(p_partkey DIV 9))").alias("truth_key"),
+    )
+
+
+#: The same records for DuckDB, as the CTE ``rec``.
+NUMBERED_SQL = """
+rec AS (SELECT 'S' || (p_partkey % 3 + 1) || '-' || lpad(p_partkey::VARCHAR, 8, '0') AS entity_id, 'S' || (p_partkey % 3 + 1) AS src, lower(p_name) AS business_name,
+  lower(p_type) || ' ' || (p_partkey // 9 + 10000) AS business_address, 'c' || (p_partkey // 9 % 10) AS country, md5((p_partkey // 9)::VARCHAR) AS truth_key FROM part)"""

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -126,5 +127,49 @@ def test_negative_samples(spark):
     rows = spark.createDataFrame([("a", f"S{2 + i % 2}-{i}", int(i == 0), float(i)) for i in range(20)], "s1 string, mid string, y int, hard_score double")
     got = smp.hard_negatives(rows, 2, "x").collect()
     assert sorted(r["mid"] for r in got) == ["S2-0", "S2-16", "S2-18", "S3-17", "S3-19"]
-    mixed = smp.mixed_negatives(rows, F.col("hard_score") < 3, hard=1, collide=1, random=0)
-    assert sorted(r["mid"] for r in mixed.collect()) == ["S2-0", "S2-2", "S3-19"]
+    # each source of an s1 has its own hard, colliding and random ones
+    rows = rows.withColumn("provenance", F.when(F.col("mid") == "S3-7", 5).otherwise(1))
+    mixed = smp.mixed_negatives(rows, F.col("mid") == "S2-4", hard=1, collide=1, random=0)
+    assert sorted(r["mid"] for r in mixed.collect()) == ["S2-0", "S2-18", "S2-4", "S3-19", "S3-7"]
+    assert smp.mixed_negatives(rows, F.lit(False), hard=0, collide=0, random=2).count() == 1 + 4
+    hard = smp.ranked_negatives(rows, 3, F.desc("hard_score"))
+    assert sorted(r["mid"] for r in hard.collect()) == ["S2-0", "S2-18", "S3-17", "S3-19"]
+    one, two = ([r["mid"] for r in smp.random_negatives(rows, 5, seed).orderBy("mid").collect()] for seed in ("a", "b"))
+    assert len(one) == len(two) == 6 and one != two
+
+
+def test_quota_roles(spark):
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(40)], "key string, n int")
+    got = smp.quota_roles(rows, "key", [("tune", 5), ("threshold", 3)], "fit").collect()
+    order = sorted((hashlib.sha256(r["key"].encode()).hexdigest(), r["key"]) for r in got)
+    want = {key: "tune" if i < 5 else "threshold" if i < 8 else "fit" for i, (_, key) in enumerate(order)}
+    assert {r["key"]: r["role"] for r in got} == want and len(got) == 40
+
+
+def test_slices_and_changes(spark):
+    links = spark.createDataFrame([("a", "S2-1", "x"), ("a", "S3-1", "x"), ("b", "S2-2", "y")], "s1 string, mid string, cc string")
+    sets = spark.createDataFrame([("p", "a", "S2-1"), ("p", "b", "S2-9"), ("q", "b", "S2-2")], "policy string, s1 string, mid string")
+    got = {(r["policy"], r["dimension"], r["value"]): (r["links"], r["recovered"]) for r in ev.policy_slices(sets, links, ["p", "q"], {"cc": F.col("cc"), "source": F.substring("mid", 1, 2)}).collect()}
+    assert got["p", "cc", "x"] == (2, 1) and got["q", "cc", "y"] == (1, 1) and got["q", "source", "S3"] == (1, 0) and len(got) == 8
+    base = spark.createDataFrame([("a", "S2-1"), ("b", "S2-2")], "s1 string, mid string")
+    changes = {r["policy"]: r for r in ev.policy_changes(sets, base, links).collect()}
+    assert [changes["p"][c] for c in ("gained_pairs", "gained_links", "lost_pairs", "lost_links", "kept_pairs", "kept_links")] == [1, 0, 1, 1, 1, 1]
+    assert [changes["q"][c] for c in ("gained_pairs", "lost_pairs", "kept_links")] == [0, 1, 1]
+
+
+def test_masks_overlap(spark):
+    rows = spark.createDataFrame([("a", 1, 0.9, 1, 2, False), ("a", 0, 0.7, 1, 2, True), ("b", 1, 0.2, 0, 1, False)], "s1 string, y int, score double, pred_n int, truth_n int, address_missing boolean")
+    rows = rows.withColumns({"script_conflict": F.lit(False), "s2_links": F.lit(1), "s3_links": F.lit(0), "v": F.col("score")})
+    got = {r["mask"]: (r["pairs"], r["entities"], r["p50"]) for r in ev.mask_distributions(rows, ev.error_masks(F.col("score") < 0.5), ["v"]).collect()}
+    assert got["A_strong_missed"] == (1, 1, 0.2) and got["B_all_wrong"] == (1, 1, 0.7) and got["C_right"] == (1, 1, 0.9)
+    assert got["E_underpredicted"][:2] == (3, 2) and got["G_address_missing"][:2] == (1, 1) and got["I_S2_only"][:2] == (3, 2)
+    assert "B_similar_wrong" not in got and "J_S3_only" not in got
+
+
+def test_bootstrap_by_values(spark):
+    """Grouping entities by their value leaves the interval what it is for entities."""
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("s1"), (F.col("id") % 3 / 2).alias("v"))
+    got = ev.bootstrap_interval(rows, F.col("v"), 1000).first()
+    low, high = ev.bootstrap(np.array([i % 3 / 2 for i in range(2000)]), 1000)
+    assert abs(got["mean"] - 0.49975) < 1e-3 and abs(got["low"] - low) < 0.004 and abs(got["high"] - high) < 0.004
+    assert ev.bootstrap_interval(rows.limit(0), F.col("v")).first()["mean"] is None

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity as sim
+from tessera.functions import vectors
 
 WORDS = st.text(alphabet="abc ", max_size=14)
 
@@ -29,6 +30,36 @@ def test_lcs(a, b):
     assert sim.token_set(a, b) == sim.token_set(b, a)
 
 
+#: Texts of all kinds: short, long over one and two words of bits, other scripts, empty.
+MIXED = ["", "a", "ab ab", "acme tools", "tools acme", "acme and co tools", "ÄÖ ü", "शर्मा स्टोर्स", "日本 日本", "x" * 64, "xy" * 40, "q" * 130 + " r", "12 high street 560001", "high st 12 560001 bangalore", "the quick brown fox " * 5]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="abc d", max_size=12), st.text(alphabet="abc d", max_size=30)), max_size=30))
+def test_vectors_like_single_pairs(pairs):
+    pairs = pairs + [(x, y) for x in MIXED for y in MIXED][:: max(1, len(pairs))]
+    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+    for fast, slow in (
+        (vectors.indels, sim.indel),
+        (vectors.partials, sim.partial),
+        (lambda x, y: vectors.indels(vectors.sorted_words(x), vectors.sorted_words(y)), sim.token_sort),
+        (vectors.token_sets, sim.token_set),
+        (vectors.weighted_ratios, sim.weighted),
+        (lambda x, y: vectors.jaro_winklers(x, y, sim.jaro_winkler), sim.jaro_winkler),
+    ):
+        got = fast(a, b)
+        assert all(math.isclose(g, slow(x, y), abs_tol=1e-12) for g, x, y in zip(got, a, b)), slow.__name__
+
+
+def test_vectors_in_small_parts(monkeypatch):
+    pairs = [(x, y) for x in MIXED for y in MIXED]
+    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+    whole = vectors.indels(a, b), vectors.partials(a, b)
+    monkeypatch.setattr(vectors, "TABLE", 50)
+    assert (vectors.indels(a, b) == whole[0]).all() and (vectors.partials(a, b) == whole[1]).all()
+    assert vectors.over_distinct(vectors.indels, a * 2, b * 2, 0.0)[3] == 0.0 and len(vectors.indels([], [])) == 0
+
+
 @pytest.mark.parametrize(
     "measure, a, b, want",
     [
@@ -50,6 +81,9 @@ def test_known_values(measure, a, b, want):
 
 def test_columns(spark):
     rows = spark.createDataFrame([("abcd", "abce"), ("", "x"), ("ab", "ab")], "a string, b string")
+    structs = rows.select(sim.fuzzy_ratios("a", "b").alias("f")).select("f.*").collect()
+    assert structs[1].asDict() == dict.fromkeys(sim.RATIOS, 0.0) and structs[2].asDict() == dict.fromkeys(sim.RATIOS, 1.0)
+    assert structs[0].asDict() == {"ratio": 0.75, "partial_ratio": 6 / 7, "token_sort_ratio": 0.75, "token_set_ratio": 0.75}
     got = rows.select(
         sim.ratio("a", "b").alias("r"), sim.levenshtein_similarity(F.col("a"), F.col("b")).alias("l"), sim.grams(F.col("a"), 2).alias("g"), sim.jaccard(sim.grams(F.col("a"), 2), sim.grams(F.col("b"), 2)).alias("j")
     ).collect()

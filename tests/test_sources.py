@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluation as ev
 from tessera.sources import records as src
+from tessera.sources import scratch
 
 
 def test_tsv_round_trip(spark, tmp_path):
@@ -56,3 +57,36 @@ def test_audits_count_violations(spark):
     assert got == {"rows": 5, "duplicates": 1, "bad_s1": 1, "bad_target": 1, "unknown_id": 2, "country_mismatch": 1, "name_rank_mismatch": 0, "address_rank_mismatch": 2, "bad_provenance": 1}
     truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S2-1"), ("S1-2", "S8-1")], "s1 string, mid string")
     assert ev.truth_integrity(truth, s1, t).first().asDict() == {"links": 3, "duplicates": 0, "unknown_s1": 0, "unknown_target": 1, "to_s2": 2, "to_s3": 0, "shared_target_links": 2}
+
+
+def test_repeated_lines_are_refused(spark, tmp_path):
+    sets = spark.createDataFrame([("S1-1", ""), ("S1-1", "S2-1")], "source1_entity_id string, matched_entity_ids string")
+    with pytest.raises(ValueError, match="S1-1"):
+        src.write_tsv(sets, str(tmp_path / "sets"), "source1_entity_id", unique="source1_entity_id")
+    assert not (tmp_path / "sets").exists()
+
+
+def test_feature_sink_keeps_types_and_descriptions(spark, tmp_path):
+    rows = spark.createDataFrame([("b", "x", True, 2, 0.5), ("a", "y", False, 1, 0.25)], "s1 string, mid string, same boolean, n int, part float")
+    src.write_features(rows, str(tmp_path / "f"), {"part": "a share", "same": "a flag", "n": "a count"}, "7")
+    back = spark.read.parquet(str(tmp_path / "f"))
+    assert back.dtypes == [("s1", "string"), ("mid", "string"), ("part", "double"), ("same", "boolean"), ("n", "int")]
+    assert back.schema["part"].metadata == {"comment": "a share", "version": "7"}
+    assert sorted(tuple(r) for r in back.collect()) == [("a", "y", 0.25, False, 1), ("b", "x", 0.5, True, 2)]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        conf = spark.conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return spark.sparkContext.getConf()
+
+    if spark.conf.get("spark.checkpoint.dir", ""):
+        pytest.skip("this session has a shared folder")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.scratch_path(Cluster, "x")
