@@ -77,15 +77,21 @@ def numeric_key(low: int = 4, high: int = 6) -> Column:
     return F.filter("num_tokens", lambda x: F.length(x).between(low, high))
 
 
+def _seed_order() -> list[Column]:
+    """Best rank first, then the scores, rounded as sums come in any order."""
+    scores = (F.round(c, 12).desc_nulls_last() for c in ("name_shared_idf", "address_shared_idf"))
+    return [F.col("source_balanced_rank").asc_nulls_last(), *scores, F.asc("mid")]
+
+
 def best_seeds(pairs: DataFrame, seeds: int) -> DataFrame:
     """(s1, seed, seed_rank): the best-ranked targets of each s1; rank 0 is best."""
-    w = Window.partitionBy("s1").orderBy(F.col("source_balanced_rank").asc_nulls_last(), F.col("name_shared_idf").desc_nulls_last(), F.col("address_shared_idf").desc_nulls_last(), "mid")
+    w = Window.partitionBy("s1").orderBy(*_seed_order())
     return pairs.withColumn("seed_rank", F.row_number().over(w).cast("long")).filter(F.col("seed_rank") <= seeds).select("s1", F.col("mid").alias("seed"), "seed_rank")
 
 
 def interleaved_seeds(pairs: DataFrame, per_source: int, seeds: int) -> DataFrame:
     """(s1, seed, seed_rank): up to ``per_source`` of each source, best first of each in turn."""
-    order = [F.col("source_balanced_rank").asc_nulls_last(), F.col("name_shared_idf").desc_nulls_last(), F.col("address_shared_idf").desc_nulls_last(), F.asc("mid")]
+    order = _seed_order()
     first = pairs.withColumn("own", F.row_number().over(Window.partitionBy("s1", source_of()).orderBy(*order))).filter(F.col("own") <= per_source)
     w = Window.partitionBy("s1").orderBy("own", *order)
     return first.withColumn("seed_rank", F.row_number().over(w).cast("long")).filter(F.col("seed_rank") <= seeds).select("s1", F.col("mid").alias("seed"), "seed_rank")

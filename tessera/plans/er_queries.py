@@ -579,7 +579,7 @@ def house_number_profile(spark, sf_dir):
     return rows.groupBy("cc", "src", F.length("n").cast("long").alias("digits")).agg(F.count("*").alias("n"))
 
 
-_SEED_ORDER = "source_balanced_rank ASC NULLS LAST, name_shared_idf DESC NULLS LAST, address_shared_idf DESC NULLS LAST, mid"
+_SEED_ORDER = "source_balanced_rank ASC NULLS LAST, round(name_shared_idf, 12) DESC NULLS LAST, round(address_shared_idf, 12) DESC NULLS LAST, mid"
 
 
 def _sister_sql(seed_cte: str, quota: int) -> str:
