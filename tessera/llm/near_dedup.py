@@ -302,7 +302,7 @@ def _grouped(docs: DataFrame, work: Workspace, id_column: str, text_column: str,
     classes = variants.groupBy("hi", "lo", "exact").agg(first.alias("first"), F.min("doc_id").alias("least"))
     classes = work.keep(classes.select("hi", "lo", "exact", "least", F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.sha").alias("sha")), "classes", rows_of(variants))
     nodes = classes.select("node", "doc_id", "sha")
-    reps = work.keep(signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "sketch", "bands"), "representatives", rows_of(classes))
+    reps = work.keep(signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "sketch", "bands"), "representatives", rows_of(classes), 50_000)
     sketches = reps.select("node", "n_shingles", "sketch")
 
     rows, most = reps.select("node", F.explode("bands").alias("key")), rows_of(reps) * banding(percent)[0]
