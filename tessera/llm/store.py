@@ -20,7 +20,7 @@ from tessera import ship
 
 _LOCAL: dict[str, str] = {}
 #: Rows of a file of a kept table whose size has a known bound.
-ROWS_PER_FILE = 200_000
+ROWS_PER_FILE = 50_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
