@@ -32,6 +32,18 @@ CHECKED = [
     "f05_by_country",
     "candidate_audit",
     "feature_stats",
+    "heavy_union",
+    "link_diagnostics",
+    "policy_changes",
+    "error_masks",
+    "threshold_search",
+    "gt_integrity_planted",
+    "submission_check_planted",
+    "feature_audit_planted",
+    "normalize_keys_unicode",
+    "grouped_holdout",
+    "postal_numeric_pass",
+    "sister_sorted_name",
 ]
 
 
