@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.caching import CACHE_BYTES, GenerationCache, owned
+from tessera.llm.caching import CACHE_BYTES, BytesCache, owned
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -72,12 +72,10 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         self.longest = max(map(len, ranks), default=0)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        #: piece -> its ids, and the ids as decimal text
-        self.pieces = GenerationCache(self._piece, limit, lambda piece, value: 200 + 4 * len(piece) + 36 * len(value[0]) + len(value[1]))
-
-    def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self.merge(piece.encode()))
-        return ids, ",".join(map(str, ids))
+        self.code = "<u2" if max(self.bytes_of, default=0) < 1 << 16 else "<u4"
+        self.digits_of = {rank: str(rank) for rank in self.bytes_of}
+        #: piece -> its ids as integers of ``code``
+        self.pieces = BytesCache(lambda piece: np.array(self.merge(piece.encode()), self.code).tobytes(), limit)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -110,13 +108,12 @@ class ByteBpe:
             i = end[i]
         return out
 
-    def encode_with_text(self, text: str) -> tuple[list[int], str]:
-        """The ids of a text, and the ids as decimal text joined by commas."""
-        found = list(map(self.pieces.__getitem__, self.split(text)))
-        return list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])
-
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([f[0] for f in map(self.pieces.__getitem__, self.split(text))]))
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split(text))), self.code).tolist()
+
+    def digits(self, ids: list[int]) -> str:
+        """The ids as decimal text joined by commas."""
+        return ",".join(map(self.digits_of.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -164,9 +161,9 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_column: str
         for batch in batches:
             counts, sums, back = [], [], []
             for text in batch.column(1):
-                ids, digits = bpe.encode_with_text(text.as_py() or "")
+                ids = bpe.encode(text.as_py() or "")
                 counts.append(len(ids))
-                sums.append(hashlib.sha256(digits.encode()).hexdigest())
+                sums.append(hashlib.sha256(bpe.digits(ids).encode()).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -46,6 +46,33 @@ class GenerationCache(dict):
         return value
 
 
+class BytesCache(GenerationCache):
+    """A ``GenerationCache`` of bytes by bytes or texts, which are reckoned without a call."""
+
+    #: Two objects of 33 to 49 bytes, rounded up, and their slot.
+    FIXED = 82 + SLOT_BYTES
+
+    def __init__(self, make: Callable[[bytes | str], bytes], limit: int):
+        super().__init__(make, limit, lambda key, value: 82 + len(key) + len(value))
+
+    def __missing__(self, key: bytes | str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        size = len(key) + len(value) + self.FIXED
+        if size > self.largest:
+            return value
+        held = self.held + size
+        if held > self.half:
+            self.older = {}
+            self.older = dict(self)
+            self.clear()
+            held = size
+        self.held = held
+        self[key] = value
+        return value
+
+
 _tables: dict[str, dict] = {}
 
 
