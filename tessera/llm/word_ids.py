@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from tessera.llm.caching import CACHE_BYTES, GenerationCache, owned
+from tessera.llm.caching import CACHE_BYTES, BytesCache, owned
 
 #: A longer text is encoded in blocks of about so many bytes, cut at white space.
 BLOCK_BYTES = 1 << 18
@@ -52,10 +52,6 @@ def check_spec(spec: dict) -> str:
     return splits[0]["pattern"]["Regex"]
 
 
-def _packed_size(key: bytes, ids: bytes) -> int:
-    return 82 + len(key) + len(ids)  # two bytes objects of 33 bytes, rounded up
-
-
 class ChunkEncoder:
     """Ids of texts, as little-endian integers of ``code`` (two bytes where they do)."""
 
@@ -73,14 +69,16 @@ class ChunkEncoder:
         size = self.tokenizer.get_vocab_size()
         self.code = "<u2" if size <= 1 << 16 else "<u4"
         self.ids_of = [np.array([i], self.code).tobytes() for i in range(size)]
-        self.words = GenerationCache(self._word, 2 * limit // 3, _packed_size)
-        self.chunks = GenerationCache(self._chunk, limit // 3, _packed_size)
+        self.words = BytesCache(self._word, 2 * limit // 3)
+        self.chunks = BytesCache(self._chunk, limit // 3)
 
     def _word(self, word: bytes) -> bytes:
         """Ids of one lower-cased word, digit or run of marks."""
-        letters = word.decode() if word.isascii() else "".join([self.letters[b] for b in word])
+        tokens = self.merge(word.decode() if word.isascii() else "".join([self.letters[b] for b in word]))
+        if len(tokens) == 1:
+            return self.ids_of[tokens[0].id]
         ids_of = self.ids_of
-        return b"".join([ids_of[t.id] for t in self.merge(letters)])
+        return b"".join([ids_of[t.id] for t in tokens])
 
     def _chunk(self, chunk: bytes) -> bytes:
         if chunk.isalpha():  # ASCII letters
