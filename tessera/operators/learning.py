@@ -38,7 +38,11 @@ def entity_weights(rows: DataFrame) -> DataFrame:
 def fit_logistic(rows: DataFrame, columns: list[str], label: str = "y"):
     """Standardised logistic regression on (weighted) pairs."""
     stages = [_assembled(columns), StandardScaler(inputCol="x", outputCol="z", withMean=True), LogisticRegression(featuresCol="z", labelCol=label, weightCol="weight", maxIter=50, regParam=1e-4)]
-    return Pipeline(stages=stages).fit(class_weights(numeric(rows, columns), label))
+    model = Pipeline(stages=stages).fit(class_weights(numeric(rows, columns), label))
+    # Scoring ships the model to executors, and its training summary holds the session, which
+    # cannot be serialised once a query of it has been observed.
+    model.stages[-1]._java_obj.setSummary(rows.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def fit_trees(rows: DataFrame, columns: list[str], label: str = "y", depth: int = 5, rounds: int = 20, seed: int = 42):
