@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import similarity as sim
 from tessera.functions import vectors
+from tessera.plans import registry
 
 WORDS = st.text(alphabet="abc ", max_size=14)
 
@@ -79,6 +81,25 @@ def test_known_values(measure, a, b, want):
     assert math.isclose(measure(a, b), want, abs_tol=1e-6)
 
 
+def test_jaro_winkler_of_empty_texts():
+    """0 as in DuckDB, also where both are empty."""
+    pairs = [("", ""), ("a", ""), ("", "a"), ("", "q" * 70)]
+    want = [duckdb.execute("SELECT jaro_winkler_similarity(?, ?)", p).fetchone()[0] for p in pairs]
+    assert [sim.jaro_winkler(*p) for p in pairs] == want == [0.0] * 4
+    assert list(vectors.jaro_winklers(*map(list, zip(*pairs)), sim.jaro_winkler)) == want
+
+
+def test_jaro_winkler_query_on_records_without_address(spark, tmp_path):
+    texts = ["one name only here", "one name only here", "one name only there", "", None, "one name only here 5 main street"]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(registry.ORACLE_SQL["jaro_winkler_sim"])
+    got = registry.QUERIES["jaro_winkler_sim"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    assert any(r["address_jaro_winkler"] == 0 for r in got)
+
+
 def test_columns(spark):
     rows = spark.createDataFrame([("abcd", "abce"), ("", "x"), ("ab", "ab")], "a string, b string")
     structs = rows.select(sim.fuzzy_ratios("a", "b").alias("f")).select("f.*").collect()
